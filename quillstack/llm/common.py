@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +52,20 @@ def n_words(text: Column) -> Column:
 def kept(df: DataFrame, keep: tuple[str, ...], new: list[str]) -> list[str]:
     """Names to carry along: those of keep that df has. A result column of the same name takes its place."""
     return [c for c in keep if c in df.columns and c not in new]
+
+
+_shipped: set[str] = set()
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors first, so that they need not have it installed."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp(prefix='quillstack-')}/quillstack_py.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+                z.write(p, p.relative_to(package.parent))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)

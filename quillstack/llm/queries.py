@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.llm.lz_fingerprint import op6_lz_fingerprints
+from quillstack.llm.mixing import op10_mixing
 from quillstack.llm.sharding import op8_jump_sharding
+from quillstack.llm.simhash import op3_simhash
+from quillstack.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
+    "op6_lz_fingerprints": op6_lz_fingerprints,
     "op8_jump_sharding": op8_jump_sharding,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
