@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstack.llm.lz_fingerprint import op6_lz_fingerprints
 from quillstack.llm.mixing import op10_mixing
 from quillstack.llm.pii import op1_personal_data
+from quillstack.llm.quality import op7_quality_rules
 from quillstack.llm.sharding import op8_jump_sharding
 from quillstack.llm.simhash import op3_simhash
 from quillstack.llm.token_counts import op4_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op6_lz_fingerprints": op6_lz_fingerprints,
+    "op7_quality_rules": op7_quality_rules,
     "op8_jump_sharding": op8_jump_sharding,
     "op10_mixing": op10_mixing,
 }
