@@ -10,12 +10,14 @@ from quillstack.llm.lz_fingerprint import op6_lz_fingerprints
 from quillstack.llm.mixing import op10_mixing
 from quillstack.llm.pii import op1_personal_data
 from quillstack.llm.quality import op7_quality_rules
+from quillstack.llm.sentencepiece_codec import op2_sentencepiece
 from quillstack.llm.sharding import op8_jump_sharding
 from quillstack.llm.simhash import op3_simhash
 from quillstack.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op6_lz_fingerprints": op6_lz_fingerprints,
