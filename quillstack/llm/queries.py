@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.llm.line_dedup import op9_line_dedup
 from quillstack.llm.lz_fingerprint import op6_lz_fingerprints
 from quillstack.llm.mixing import op10_mixing
 from quillstack.llm.pii import op1_personal_data
 from quillstack.llm.quality import op7_quality_rules
 from quillstack.llm.sentencepiece_codec import op2_sentencepiece
+from quillstack.llm.secrets import op5_secret_scan
 from quillstack.llm.sharding import op8_jump_sharding
 from quillstack.llm.simhash import op3_simhash
 from quillstack.llm.token_counts import op4_token_counts
@@ -20,9 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_secret_scan": op5_secret_scan,
     "op6_lz_fingerprints": op6_lz_fingerprints,
     "op7_quality_rules": op7_quality_rules,
     "op8_jump_sharding": op8_jump_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
