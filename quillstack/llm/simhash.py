@@ -289,5 +289,24 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, key: str = "doc_id"
     return rows.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame, scheme: Scheme = FUZZY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least key, nulls last, then of the least hash of its text.
+
+    With FUZZY, texts are linked if they share 0.8 or more of 115 bits over five-word shingles and meet in a bucket: two
+    of five segments within two bits each, which all close pairs have and most at the limit. Of rows equal in key and
+    text one stays. Texts without words are one component. Columns are left as they are, whatever their names.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    rows = stored(with_fingerprint(keyed.select("doc_id", "th", "text"), scheme))
+    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    prints = stored(rows.groupBy("fingerprint").agg(F.min(where).alias("first")))
+    roots = components(links_between(prints.select("fingerprint"), scheme)).withColumnRenamed("node", "fingerprint")
+    classed = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    keepers = stored(classed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.th").alias("keep_th")))
+    found = keyed.drop("text").join(keepers, (F.col("th") == F.col("keep_th")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return found.dropDuplicates(["th", "doc_id"]).select("row.*")
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), EXACT)
