@@ -1,0 +1,206 @@
+"""Every query of the archive by name, over the stand-ins, with the same in SQL for the other engine."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstack.operators import explorer, finance, library, receipts
+from quillstack.operators.explorer import TransactionFilter
+from quillstack.operators.library import DocumentFilter
+from quillstack.plans.archive import Archive, sql, stand_ins
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Callable[[Archive], DataFrame], body: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: query(stand_ins(spark, sf_dir))
+    if body:
+        ORACLE_SQL[name] = sql(body)
+
+
+def _fold(c: str) -> str:
+    return f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+IN = "CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DOUBLE)"
+OUT = "CAST(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0) AS DOUBLE)"
+SPEND = "CAST(coalesce(sum(CASE WHEN amount < 0 THEN -amount END), 0) AS DOUBLE)"
+OWN = "category <> 'uebertrag'"
+DATED = "booking_date IS NOT NULL AND booking_date <> ''"
+COST = "CAST(coalesce(sum(CAST(cost_usd AS DECIMAL(18,6))), 0) AS DOUBLE)"
+
+# --- cash flow
+
+add("a13_finance_summary", finance.summary, f"""
+SELECT CAST(coalesce(sum(amount) FILTER ({OWN} AND amount > 0), 0) AS DOUBLE) AS income, CAST(coalesce(sum(amount) FILTER ({OWN} AND amount < 0), 0) AS DOUBLE) AS expense,
+       CAST(coalesce(sum(amount) FILTER ({OWN}), 0) AS DOUBLE) AS net, count(*) FILTER ({OWN}) AS tx_count, count(*) FILTER (category = 'uebertrag') AS transfer_count,
+       CAST(coalesce(sum(amount) FILTER (category = 'uebertrag'), 0) AS DOUBLE) AS transfer_volume,
+       (SELECT count(*) FROM st JOIN doc ON doc.id = st.doc_id WHERE deleted_at IS NULL) AS statement_count, (SELECT count(*) FROM acc) AS account_count FROM live""")
+add("a13_finance_by_category", finance.by_category, f"SELECT category, {IN} AS income, {OUT} AS expense, count(*) AS n FROM live WHERE category <> '' GROUP BY category")
+_MONTHLY = f"""
+, m AS (SELECT substr(booking_date, 1, 7) AS month, {IN} AS income, {OUT} AS expense, count(*) AS n FROM live WHERE {DATED} AND {OWN} GROUP BY 1 %s),
+spine AS (SELECT strftime(d, '%%Y-%%m') AS month FROM (SELECT unnest(generate_series(CAST(min(month) || '-01' AS DATE), CAST(max(month) || '-01' AS DATE), INTERVAL 1 MONTH)) AS d FROM m))
+SELECT month, coalesce(income, 0.0) AS income, coalesce(expense, 0.0) AS expense, coalesce(n, 0) AS n FROM spine LEFT JOIN m USING (month)"""
+
+
+def _monthly(limit: str) -> str:
+    return sql("").rstrip() + (_MONTHLY % limit)
+
+
+add("a14_monthly_cashflow", finance.monthly)
+ORACLE_SQL["a14_monthly_cashflow"] = _monthly("")
+add("a14_monthly_last_12", lambda a: finance.monthly(a, 12))
+ORACLE_SQL["a14_monthly_last_12"] = _monthly("ORDER BY 1 DESC LIMIT 12")
+for _d, _op, _o in (("expense", "<", "ASC"), ("income", ">", "DESC")):
+    add(f"a15_top_counterparties_{_d}", lambda a, d=_d: finance.top_counterparties(a, d), f"""
+SELECT min(counterparty) AS counterparty, count(*) AS times, CAST(sum(amount) AS DOUBLE) AS total FROM live
+WHERE {OWN} AND amount {_op} 0 AND counterparty <> '' GROUP BY {_fold('counterparty')} ORDER BY sum(amount) {_o}, {_fold('counterparty')} LIMIT 15""")
+add("a16_recurring_loose", lambda a: finance.recurring(a, 2, 0.9), f"""
+SELECT counterparty, months, amount, min_amount, max_amount FROM (
+  SELECT key, min(cp) AS counterparty, count(*) AS months, round(CAST(sum(CAST(mean AS DECIMAL(28,8))) AS DOUBLE) / count(*), 4) AS amount, min(mean) AS min_amount, max(mean) AS max_amount
+  FROM (SELECT {_fold('counterparty')} AS key, substr(booking_date, 1, 7) AS month, min(counterparty) AS cp, CAST(sum(amount) AS DOUBLE) / count(*) AS mean FROM live WHERE counterparty <> '' AND {DATED} GROUP BY 1, 2) GROUP BY key)
+WHERE months >= 2 AND abs(max_amount - min_amount) <= abs(amount) * 0.9 ORDER BY months DESC, abs(amount) DESC, key LIMIT 30""")
+add("a21_periods", finance.periods, f"SELECT DISTINCT kind, value FROM (SELECT 'month' AS kind, substr(booking_date, 1, 7) AS value FROM live WHERE {DATED} UNION ALL SELECT 'year', substr(booking_date, 1, 4) FROM live WHERE {DATED})")
+_HEAT = f"SELECT booking_date AS date, {SPEND} AS spend, {IN} AS income, count(*) AS n FROM live WHERE {DATED} AND {OWN} AND %s GROUP BY 1"
+add("a22_heatmap_busiest_year", finance.heatmap, _HEAT % f"substr(booking_date, 1, 4) = (SELECT substr(booking_date, 1, 4) AS y FROM live WHERE {DATED} GROUP BY 1 ORDER BY count(*) DESC, y DESC LIMIT 1)")
+add("a22_heatmap_month", lambda a: finance.heatmap(a, month="1997-03"), _HEAT % "substr(booking_date, 1, 7) = '1997-03'")
+add("w4_calendar_1997", lambda a: finance.calendar(a, "1997"), f"""
+SELECT CAST(CAST(date_trunc('week', d) AS DATE) AS VARCHAR) AS week, CAST(isodow(d) - 1 AS INTEGER) AS dow, CAST(CAST(d AS DATE) AS VARCHAR) AS date, year(d) = 1997 AS in_year, coalesce(spend, 0.0) AS spend, coalesce(n, 0) AS n
+FROM (SELECT unnest(generate_series(date_trunc('week', DATE '1997-01-01'), date_trunc('week', DATE '1997-12-31') + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS d)
+LEFT JOIN ({_HEAT % "substr(booking_date, 1, 4) = '1997'"}) h ON h.date = CAST(CAST(d AS DATE) AS VARCHAR)""")
+add("a37_heat_scale_1997", lambda a: finance.heat_scale(a, "1997"), f"""
+SELECT greatest(coalesce(max(CASE WHEN place = greatest(floor(days * 0.9), 1) THEN spend END), 1.0), 1.0) AS scale
+FROM (SELECT spend, row_number() OVER (ORDER BY spend) AS place, count(*) OVER () AS days FROM ({_HEAT % "substr(booking_date, 1, 4) = '1997'"}) WHERE spend > 0)""")
+add("a23_category_monthly", finance.category_monthly, f"""
+SELECT month, category, CAST(spend AS DOUBLE) AS spend, n, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT substr(booking_date, 1, 7) AS month, coalesce(nullif(category, ''), 'sonstiges') AS category, sum(-amount) AS spend, count(*) AS n FROM live WHERE {DATED} AND {OWN} AND amount < 0 GROUP BY 1, 2)
+JOIN (SELECT coalesce(nullif(category, ''), 'sonstiges') AS category, row_number() OVER (ORDER BY sum(-amount) DESC, coalesce(nullif(category, ''), 'sonstiges')) AS rank FROM live WHERE {DATED} AND {OWN} AND amount < 0 GROUP BY 1) USING (category)""")
+add("a23_category_matrix", lambda a: finance.category_matrix(a, ["building", "automobile"], "1996-01", "1997-12"), f"""
+SELECT substr(booking_date, 1, 7) AS month, CAST(coalesce(sum(-amount) FILTER (category = 'building'), 0) AS DOUBLE) AS building, CAST(coalesce(sum(-amount) FILTER (category = 'automobile'), 0) AS DOUBLE) AS automobile
+FROM live WHERE {DATED} AND {OWN} AND amount < 0 AND substr(booking_date, 1, 7) BETWEEN '1996-01' AND '1997-12' GROUP BY 1""")
+add("a24_by_weekday", finance.by_weekday, f"""
+SELECT dow, coalesce(spend, 0.0) AS spend, coalesce(avg_spend, 0.0) AS avg_spend, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(7)) AS INTEGER) AS dow)
+LEFT JOIN (SELECT CAST(isodow(CAST(booking_date AS DATE)) - 1 AS INTEGER) AS dow, {SPEND} AS spend, {SPEND} / nullif(count(*) FILTER (amount < 0), 0) AS avg_spend, count(*) AS n FROM live WHERE {DATED} AND {OWN} GROUP BY 1) USING (dow)""")
+add("a25_by_day_of_month", finance.by_day_of_month, f"""
+SELECT dom, coalesce(spend, 0.0) AS spend, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1, 32)) AS INTEGER) AS dom)
+LEFT JOIN (SELECT CAST(day(CAST(booking_date AS DATE)) AS INTEGER) AS dom, {SPEND} AS spend, count(*) AS n FROM live WHERE {DATED} AND {OWN} GROUP BY 1) USING (dom)""")
+add("a26_by_tx_type", finance.by_tx_type, f"SELECT coalesce(nullif(tx_type, ''), 'sonstiges') AS tx_type, {SPEND} AS spend, count(*) AS n FROM live WHERE {OWN} AND amount < 0 GROUP BY 1")
+for _d, _op, _s in (("spend", "<", "-"), ("income", ">", "")):
+    add(f"a27_category_totals_{_d}", lambda a, d=_d: finance.category_totals(a, "1996-02", "1999-01", d), f"""
+SELECT coalesce(nullif(category, ''), 'sonstiges') AS category, CAST(sum({_s}amount) AS DOUBLE) AS total, count(*) AS n FROM live
+WHERE {DATED} AND {OWN} AND amount {_op} 0 AND substr(booking_date, 1, 7) BETWEEN '1996-02' AND '1999-01' GROUP BY 1""")
+add("a28_treemap", finance.treemap, f"""
+SELECT trim({_fold('counterparty')}) AS key, max(counterparty) AS counterparty, count(*) AS times, {SPEND} AS spend, max(coalesce(nullif(category, ''), 'sonstiges')) AS dominant_category
+FROM live WHERE {OWN} AND counterparty <> '' AND amount < 0 GROUP BY 1 ORDER BY spend DESC, key LIMIT 25""")
+add("a29_kpis", finance.kpis, f"""
+, own AS (SELECT * FROM live WHERE {OWN}), daily AS (SELECT sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS spend FROM own WHERE booking_date <> '' GROUP BY booking_date),
+big AS (SELECT CAST(amount AS DOUBLE) AS biggest_amount, counterparty AS biggest_counterparty FROM own ORDER BY abs(amount) DESC, id LIMIT 1),
+mon AS (SELECT substr(booking_date, 1, 7) AS busiest_month, count(*) AS busiest_month_n FROM own WHERE booking_date <> '' GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 1),
+cp AS (SELECT min(counterparty) AS top_counterparty, count(*) AS top_counterparty_n FROM own WHERE counterparty <> '' GROUP BY {_fold('counterparty')} ORDER BY 2 DESC, {_fold('counterparty')} LIMIT 1)
+SELECT (SELECT CAST(sum(spend) AS DOUBLE) / count(*) FROM daily) AS avg_daily_spend, (SELECT CAST(max(spend) AS DOUBLE) FROM daily) AS peak_daily_spend, * FROM big, mon, cp""")
+add("a35_accounts", finance.accounts, """
+SELECT acc.id AS account_id, bank_name, iban_last4, coalesce(s.n, 0) AS statement_count, coalesce(t.n, 0) AS tx_count, coalesce(net, 0.0) AS net FROM acc
+LEFT JOIN (SELECT account_id, count(*) AS n FROM st JOIN doc ON doc.id = st.doc_id WHERE deleted_at IS NULL GROUP BY 1) s ON s.account_id = acc.id
+LEFT JOIN (SELECT account_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS net FROM live GROUP BY 1) t ON t.account_id = acc.id""")
+add("o6_largest_transactions", finance.largest, f"""
+SELECT t.id, booking_date, CAST(amount AS DOUBLE) AS amount, counterparty, category, purpose, doc_id, bank_name, iban_last4
+FROM (SELECT * FROM live WHERE {OWN} ORDER BY abs(amount) DESC, id LIMIT 15) t LEFT JOIN acc ON acc.id = t.account_id""")
+_ANCHOR = """SELECT account_id, period_start, CAST(opening_balance AS DOUBLE) AS opening_balance FROM (
+  SELECT st.*, row_number() OVER (PARTITION BY account_id ORDER BY period_start, st.id) AS rn FROM st JOIN doc ON doc.id = st.doc_id WHERE deleted_at IS NULL AND opening_balance IS NOT NULL) WHERE rn = 1"""
+add("w1_anchors", finance.anchors, _ANCHOR)
+add("w2_balance_history", finance.balance_history, f"""
+SELECT n.account_id, date, CAST(coalesce(CAST(opening_balance AS DECIMAL(18,2)), 0) + sum(net) OVER (PARTITION BY n.account_id ORDER BY date) AS DOUBLE) AS balance
+FROM (SELECT account_id, booking_date AS date, sum(amount) AS net FROM live WHERE booking_date <> '' GROUP BY 1, 2) n LEFT JOIN ({_ANCHOR}) a ON a.account_id = n.account_id""")
+add("j7_overrides", lambda a: finance.with_overrides(a).groupBy("category").agg(F.count("*").alias("n")), "SELECT CASE WHEN id % 50 = 0 THEN 'freizeit' ELSE category END AS category, count(*) AS n FROM tx GROUP BY 1")
+
+# --- explorer
+
+_FILTERS = {
+    "all": (TransactionFilter(), "true"),
+    "expense_text": (TransactionFilter(direction="expense", text="urgent, #00000001", start="1996-01-01", end="1998-12-31", exclude_transfers=True), f"amount < 0 AND booking_date BETWEEN '1996-01-01' AND '1998-12-31' AND (category IS NULL OR {OWN}) AND ({' OR '.join(f'contains({_fold(c)}, {v!r})' for v in ('urgent', '#00000001') for c in ('counterparty', 'purpose'))})"),
+    "account_amount": (TransactionFilter(account_id=3, amount_min=1000, amount_max=150000.5), "account_id = 3 AND abs(amount) BETWEEN 1000 AND 150000.5"),
+    "other": (TransactionFilter(category="sonstiges", direction="income"), "coalesce(nullif(category, ''), 'sonstiges') = 'sonstiges' AND amount > 0"),
+}
+for _n, (_f, _w) in _FILTERS.items():
+    add(f"l4_transactions_{_n}", lambda a, f=_f: explorer.page(a, f, 200, 20), f"""
+SELECT t.id, booking_date, CAST(amount AS DOUBLE) AS amount, counterparty, purpose, category, account_id, doc_id, bank_name, iban_last4
+FROM (SELECT * FROM live WHERE {_w} ORDER BY booking_date DESC, id DESC LIMIT 200 OFFSET 20) t LEFT JOIN acc ON acc.id = t.account_id""")
+    add(f"a17_totals_{_n}", lambda a, f=_f: explorer.totals(a, f), f"""
+SELECT count(*) AS count, {IN} AS sum_in, {OUT} AS sum_out, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sum_net, coalesce(min(booking_date), '') AS first_date, coalesce(max(booking_date), '') AS last_date FROM live WHERE {_w}""")
+    for _d, _op, _o in (("expense", "<", "ASC"), ("income", ">", "DESC")):
+        add(f"a18_top_{_d}_{_n}", lambda a, f=_f, d=_d: explorer.top(a, f, d), f"""
+SELECT min(coalesce(nullif(counterparty, ''), '—')) AS counterparty, count(*) AS times, CAST(sum(amount) AS DOUBLE) AS total FROM live WHERE {_w} AND amount {_op} 0
+GROUP BY {_fold("coalesce(nullif(counterparty, ''), '—')")} ORDER BY sum(amount) {_o}, {_fold("coalesce(nullif(counterparty, ''), '—')")} LIMIT 10""")
+    add(f"a19_months_{_n}", lambda a, f=_f: explorer.months(a, f), f"SELECT substr(booking_date, 1, 7) AS month, {IN} AS sum_in, {OUT} AS sum_out, count(*) AS n FROM live WHERE {_w} AND {DATED} GROUP BY 1 ORDER BY 1 DESC LIMIT 36")
+    add(f"a20_categories_{_n}", lambda a, f=_f: explorer.categories(a, f), f"SELECT coalesce(nullif(category, ''), 'sonstiges') AS cat, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM live WHERE {_w} GROUP BY 1")
+
+# --- library
+
+_TOKENS = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"))
+add("a1_library_totals", library.totals, f"SELECT count(*) AS n, {_TOKENS}, {COST} AS cost_usd, count(*) FILTER (status = 'duplicate') AS duplicates FROM lib")
+add("a2_by_category", lambda a: library.counts_by(a, "category"), f"SELECT category, count(*) AS n, {COST} AS cost_usd FROM lib GROUP BY 1")
+add("a3_by_status", lambda a: library.counts_by(a, "status"), f"SELECT status, count(*) AS n, {COST} AS cost_usd FROM lib GROUP BY 1")
+add("a4_by_month", library.by_month, f"SELECT substr(created_at, 1, 7) AS month, count(*) AS n, {COST} AS cost_usd FROM lib GROUP BY 1 ORDER BY 1 DESC LIMIT 12")
+add("a5_trash_count", lambda a: library.count(a, trash=True), "SELECT count(*) AS n FROM doc WHERE deleted_at IS NOT NULL AND category <> '_csv_container'")
+add("a6_count", lambda a: library.count(a, DocumentFilter(category="src1", status="filed")), "SELECT count(*) AS n FROM lib WHERE category = 'src1' AND status = 'filed'")
+add("a7_years", library.years, "SELECT DISTINCT substr(doc_date, 1, 4) AS year FROM lib WHERE doc_date <> ''")
+add("a8_tree", library.tree, f"""
+SELECT year, category, count(*) AS n, {COST} AS cost_usd, CAST(grouping(year) * 2 + grouping(category) AS INTEGER) AS level
+FROM (SELECT coalesce(nullif(substr(doc_date, 1, 4), ''), '—') AS year, category, cost_usd FROM lib) GROUP BY ROLLUP (year, category)""")
+add("a9_tags", library.tags, "SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM lib) GROUP BY 1")
+_COLUMNS = ["id", "filename", "category", "subcategory", "doc_date", "sender", "status", "created_at"]
+_SORTED = "coalesce(nullif(doc_date, ''), created_at) DESC, id DESC"
+_LISTINGS = {
+    "default": ({}, DocumentFilter(), "true", _SORTED),
+    "sender_asc": ({"order_by": "sender", "direction": "asc", "limit": 50, "offset": 10}, DocumentFilter(category="src2", subcategory="en"), "category = 'src2' AND subcategory = 'en'", "sender ASC, id DESC"),
+    "year": ({"order_by": "file_size"}, DocumentFilter(year="2025", status="filed"), "substr(doc_date, 1, 4) = '2025' AND status = 'filed'", "file_size DESC, id DESC"),
+    "unknown": ({}, DocumentFilter(year="unknown"), "(doc_date IS NULL OR doc_date = '')", _SORTED),
+    "tag": ({}, DocumentFilter(tag="prüfen"), "list_contains(tags, 'prüfen')", _SORTED),
+    "dates": ({}, DocumentFilter(doc_from="2024-06-01", doc_to="2026-06-30", scan_from="2024-03-01", scan_to="2025-01-31"), "doc_date BETWEEN '2024-06-01' AND '2026-06-30' AND substr(created_at, 1, 10) BETWEEN '2024-03-01' AND '2025-01-31'", _SORTED),
+}
+for _n, (_k, _f, _w, _o) in _LISTINGS.items():
+    add(f"l1_listing_{_n}", lambda a, k=_k, f=_f: library.listing(a, f, **k).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM lib WHERE {_w} ORDER BY {_o} LIMIT {_k.get('limit', 200)} OFFSET {_k.get('offset', 0)}")
+add("f7_trash_listing", lambda a: library.listing(a, trash=True).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM doc WHERE deleted_at IS NOT NULL ORDER BY {_SORTED} LIMIT 200")
+add("w3_siblings", lambda a: library.siblings(a, 24), f"""
+SELECT id, CAST(position AS INTEGER) AS position, total, prev_id, next_id FROM (SELECT id, row_number() OVER w AS position, count(*) OVER () AS total, lead(id) OVER w AS prev_id, lag(id) OVER w AS next_id
+FROM (SELECT * FROM lib ORDER BY {_SORTED} LIMIT 5000) WINDOW w AS (ORDER BY {_SORTED})) WHERE id = 24""")
+add("a30_duplicate_groups", library.duplicate_groups, "SELECT content_hash, count(*) AS n, list(id ORDER BY created_at, id) AS ids FROM lib WHERE content_hash <> '' GROUP BY 1 HAVING count(*) > 1")
+add("a30_duplicate_members", library.duplicate_members, "SELECT content_hash, n, id, CAST(place AS INTEGER) AS place FROM (SELECT content_hash, count(*) OVER (PARTITION BY content_hash) AS n, id, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS place FROM lib WHERE content_hash <> '') WHERE n > 1")
+add("a32_duplicate_waste", library.duplicate_waste, """
+SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extras, CAST(coalesce(sum(size * (n - 1)), 0) AS BIGINT) AS wasted_bytes
+FROM (SELECT count(*) AS n, first(file_size ORDER BY created_at, id) AS size FROM lib WHERE content_hash <> '' GROUP BY content_hash HAVING count(*) > 1)""")
+add("a33_dashboard", lambda a: library.dashboard(a, "2024-03-05"), """
+SELECT count(*) AS total, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'processing') AS processing,
+       count(*) FILTER (substr(created_at, 1, 10) = '2024-03-05') AS today, (SELECT count(*) FROM st WHERE doc_id IN (SELECT id FROM doc WHERE deleted_at IS NULL) AND id NOT IN (SELECT statement_id FROM tx)) AS empty_statements FROM lib""")
+add("a34_queue", lambda a: library.count(a, DocumentFilter(status="review")), "SELECT count(*) AS n FROM lib WHERE status = 'review'")
+add("o8_recent", library.feed, "SELECT id, filename, status, created_at FROM lib ORDER BY created_at DESC, id DESC LIMIT 20")
+add("o8_problems", lambda a: library.feed(a, ["review", "failed"], 30), "SELECT id, filename, status, created_at FROM lib WHERE status IN ('review', 'failed') ORDER BY created_at DESC, id DESC LIMIT 30")
+add("j6_without_receipt", lambda a: library.without_receipt(a, ["src0", "src1", "src2"]), "SELECT id, category FROM lib WHERE category IN ('src0', 'src1', 'src2') AND id NOT IN (SELECT doc_id FROM rc)")
+add("l10_backfill", lambda a: library.to_backfill(a, ["src1"]), "SELECT id, category FROM lib WHERE status = 'filed' AND (len(tags) = 0 OR (category = 'src1' AND coalesce(subcategory, '') = ''))")
+add("s15_export_selection", lambda a: library.export_selection(a, DocumentFilter(status="filed")), "SELECT library_path, min(id) AS id FROM lib WHERE status = 'filed' GROUP BY 1")
+add("l9_latest_by_name", lambda a: library.latest_by_name(a, "scan-7.pdf"), "SELECT id, original_name, status FROM doc WHERE original_name = 'scan-7.pdf' ORDER BY id DESC LIMIT 1")
+add("c21_collision_suffix", lambda a: library.with_collision_suffix(library.library(a).select("id", "library_path")), """
+SELECT id, library_path, CASE WHEN place = 1 THEN library_path ELSE replace(library_path, '.pdf', '') || '-' || place || '.pdf' END AS final_path
+FROM (SELECT id, library_path, row_number() OVER (PARTITION BY library_path ORDER BY id) AS place FROM lib)""")
+
+# --- receipts
+
+add("a10_receipt_summary", receipts.summary, "SELECT count(*) AS receipt_count, CAST(coalesce(sum(total_amount), 0) AS DOUBLE) AS total_spent, CAST(coalesce(sum(total_amount), 0) AS DOUBLE) / nullif(count(*), 0) AS avg_receipt, (SELECT count(*) FROM lit) AS item_count FROM lrc")
+add("a10_by_shop_type", receipts.by_shop_type, "SELECT shop_type, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS total FROM lrc WHERE shop_type <> '' GROUP BY 1")
+add("a10_by_item_category", receipts.by_item_category, "SELECT item_category, count(*) AS n, CAST(sum(total_price) AS DOUBLE) AS total FROM lit WHERE item_category <> '' GROUP BY 1")
+add("a11_receipts_monthly", receipts.monthly, "SELECT substr(receipt_date, 1, 7) AS month, count(*) AS receipts, CAST(sum(total_amount) AS DOUBLE) AS total FROM lrc WHERE receipt_date <> '' GROUP BY 1 ORDER BY 1 DESC LIMIT 12")
+add("f13_receipts_list", lambda a: receipts.listing(a, "1-URGENT", "1996-01-01", "1997-12-31"), """
+SELECT rc.id, rc.doc_id, shop_name, shop_type, CAST(total_amount AS DOUBLE) AS total_amount, receipt_date, doc.subject AS doc_subject, doc.library_path FROM rc JOIN doc ON doc.id = rc.doc_id
+WHERE deleted_at IS NULL AND shop_type = '1-URGENT' AND receipt_date BETWEEN '1996-01-01' AND '1997-12-31' ORDER BY receipt_date DESC, rc.id DESC LIMIT 200""")
+add("f14_item_search", lambda a: receipts.search_items(a, query="Green", start="1996-01-01"), f"""
+SELECT id, receipt_id, name, CAST(total_price AS DOUBLE) AS total_price, item_category, line_no, shop_name, shop_type, receipt_date, doc_id FROM lit
+WHERE contains({_fold('name')}, 'green') AND receipt_date >= '1996-01-01' ORDER BY receipt_date DESC, receipt_id DESC, line_no LIMIT 200""")
+add("j9_items_of_receipts", receipts.items_of_receipts, "SELECT receipt_id, list(name ORDER BY line_no, id, name) AS items FROM lit GROUP BY 1")
+add("a12_top_items", receipts.top_items, f"""
+SELECT min(name) AS name, count(*) AS times, CAST(sum(total_price) AS DOUBLE) AS spent, CAST(sum(unit_price) AS DOUBLE) / count(unit_price) AS avg_unit FROM lit WHERE name <> ''
+GROUP BY {_fold('name')} ORDER BY times DESC, sum(total_price) DESC, {_fold('name')} LIMIT 10""")
+add("c17_misfiled_receipts", lambda a: receipts.misfiled(a, ["src0", "src3"]))
