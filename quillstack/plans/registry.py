@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.operators import explorer, finance, library, receipts
+from quillstack.functions import scalars
+from quillstack.operators import explorer, finance, library, receipts, search, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.operators.library import DocumentFilter
 from quillstack.plans.archive import Archive, sql, stand_ins
+from quillstack.sources import bank_csv
+from quillstack.streaming import inbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +29,11 @@ def _fold(c: str) -> str:
     return f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _matches(prefix: str) -> str:
+    text = "lower(strip_accents(concat_ws(' | ', filename, sender, subject, '', extracted_text)))"
+    return f"regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}]){prefix}')"
+
+
 IN = "CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DOUBLE)"
 OUT = "CAST(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0) AS DOUBLE)"
 SPEND = "CAST(coalesce(sum(CASE WHEN amount < 0 THEN -amount END), 0) AS DOUBLE)"
@@ -204,3 +212,81 @@ add("a12_top_items", receipts.top_items, f"""
 SELECT min(name) AS name, count(*) AS times, CAST(sum(total_price) AS DOUBLE) AS spent, CAST(sum(unit_price) AS DOUBLE) / count(unit_price) AS avg_unit FROM lit WHERE name <> ''
 GROUP BY {_fold('name')} ORDER BY times DESC, sum(total_price) DESC, {_fold('name')} LIMIT 10""")
 add("c17_misfiled_receipts", lambda a: receipts.misfiled(a, ["src0", "src3"]))
+
+# --- search
+
+add("x3_search_prefix", lambda a: search.match(a, "the ent"), f"SELECT id, category FROM lib WHERE {_matches('the')} AND {_matches('ent')}")
+add("x3_search_umlaut", lambda a: search.match(a, "Über"), f"SELECT id, category FROM lib WHERE {_matches('uber')}")
+add("x4_search_ranked", lambda a: search.ranked(a, "thonre sender"))
+
+# --- bank files: rows of a file built from the bookings, parsed, and parsed again
+
+
+def _bank_rows(a: Archive) -> DataFrame:
+    t = a.transactions
+    day = F.concat_ws(".", F.substring("booking_date", 9, 2), F.substring("booking_date", 6, 2), F.when(F.col("id") % 2 == 0, F.substring("booking_date", 3, 2)).otherwise(F.substring("booking_date", 1, 4)))
+    amount = F.translate(F.format_number(F.col("amount"), 2), ".,", ",.")
+    blank = F.lit("")
+    return t.select(
+        F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("path"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") % 11 == 0, "").otherwise(F.concat(F.lit("de "), F.lpad(F.col("account_id").cast("string"), 4, "0"))).alias("account"),
+        F.when(F.col("id") % 13 == 0, "31.13.2024").otherwise(day).alias("booking_date"), blank.alias("value_date"), F.lit("Überweisung").alias("booking_text"), F.col("purpose"), blank.alias("creditor_id"),
+        F.col("counterparty"), blank.alias("counterparty_iban"), F.when(F.col("id") % 17 == 0, "abc").otherwise(amount).alias("amount"), blank.alias("currency"), blank.alias("info"), F.lit(None).cast("string").alias("problem"),
+    )
+
+
+_PARSED = """SELECT 'f' || CAST(id % 3 AS VARCHAR) AS path, CAST(id AS INTEGER) AS line_no, CASE WHEN id % 11 = 0 THEN 'skipped' WHEN id % 13 = 0 OR id % 17 = 0 THEN 'invalid' ELSE 'ok' END AS status,
+  CASE WHEN id % 13 <> 0 THEN booking_date END AS booking_date, CASE WHEN id % 17 <> 0 THEN CAST(amount AS DOUBLE) END AS amount, 'ueberweisung' AS tx_type FROM tx"""
+add("s5_bank_rows", lambda a: bank_csv.parse(_bank_rows(a)).select("path", "line_no", "status", "booking_date", F.col("amount").cast("double").alias("amount"), "tx_type"), _PARSED)
+add("a38_import_report", lambda a: bank_csv.report(bank_csv.parse(_bank_rows(a)), bank_csv.parse(_bank_rows(a)).where("line_no % 5 = 0").select("tx_hash")), f"""
+SELECT path, count(*) AS rows, count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS errors, count(*) FILTER (status = 'ok' AND line_no % 5 <> 0) AS imported,
+       count(*) FILTER (status = 'ok' AND line_no % 5 = 0) AS duplicates, min(booking_date) FILTER (status = 'ok') AS first_date, max(booking_date) FILTER (status = 'ok') AS last_date FROM ({_PARSED}) GROUP BY path""")
+
+# --- scalars over the documents
+
+add("c9_dates", lambda a: a.documents.select("id", scalars.normalise_date(F.when(F.col("id") % 2 == 0, F.date_format(F.col("doc_date").cast("date"), "d.M.yy")).otherwise(F.date_format(F.col("doc_date").cast("date"), "yyyy/MM/dd"))).alias("date")), "SELECT id, doc_date AS date FROM doc")
+add("c20_target_paths", lambda a: a.documents.select("id", scalars.target_path(F.col("doc_date"), F.col("category"), F.col("subcategory")).alias("path")), "SELECT id, coalesce(substr(doc_date, 1, 4), 'unknown') || '/' || category || '/' || subcategory AS path FROM doc")
+add("c22_token_costs", lambda a: a.documents.select("id", F.round(scalars.token_cost(F.lit("anthropic"), F.when(F.col("id") % 3 == 0, "claude-haiku-1").otherwise("claude-sonnet-1"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens")), 9).alias("usd")), """
+SELECT id, round((input_tokens * p + output_tokens * q + cache_creation_tokens * p * 1.25 + cache_read_tokens * p * 0.1) / 1e6, 9) AS usd
+FROM (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1.0 ELSE 3.0 END AS DOUBLE) AS p, CAST(CASE WHEN id % 3 = 0 THEN 5.0 ELSE 15.0 END AS DOUBLE) AS q FROM doc)""")
+
+# --- changes: what the tables are afterwards
+
+
+def _odd(a: Archive) -> DataFrame:
+    return a.documents.where("id % 3 = 1").select("id")
+
+
+_STATE = "SELECT (SELECT count(*) FROM {d}) AS documents, (SELECT count(*) FROM {s}) AS statements, (SELECT count(*) FROM {t}) AS transactions, (SELECT count(*) FROM {r}) AS receipts, (SELECT count(*) FROM {i}) AS receipt_items"
+
+
+def _state(a: Archive) -> DataFrame:
+    out = None
+    for name in ("documents", "statements", "transactions", "receipts", "receipt_items"):
+        one = getattr(a, name).agg(F.count("*").alias(name), F.lit(1).alias("k"))
+        out = one if out is None else out.join(one, "k")
+    return out.drop("k")
+
+
+_GONE = "(SELECT id FROM doc WHERE deleted_at IS NOT NULL)"
+add("m4_trash", lambda a: writes.to_trash(a.documents, _odd(a), "2026-01-01").select("id", "deleted_at"), "SELECT id, coalesce(deleted_at, CASE WHEN id % 3 = 1 THEN '2026-01-01' END) AS deleted_at FROM doc")
+add("m4_restore", lambda a: writes.restore(a.documents, _odd(a)).select("id", "deleted_at"), "SELECT id, CASE WHEN id % 3 = 1 THEN NULL ELSE deleted_at END AS deleted_at FROM doc")
+add("m4_empty_trash", lambda a: _state(writes.empty_trash(a)), _STATE.format(
+    d="doc WHERE deleted_at IS NULL", s=f"st WHERE doc_id NOT IN {_GONE}", t=f"tx WHERE statement_id NOT IN (SELECT id FROM st WHERE doc_id IN {_GONE})", r=f"rc WHERE doc_id NOT IN {_GONE}", i=f"it WHERE receipt_id NOT IN (SELECT id FROM rc WHERE doc_id IN {_GONE})"))
+add("m2_reclassify", lambda a: writes.reclassify(a.documents, a.documents.where("id % 4 = 0").select("id", F.lit("neu").alias("category"), F.lit(10).cast("long").alias("input_tokens"))).select("id", "category", "input_tokens"), "SELECT id, CASE WHEN id % 4 = 0 THEN 'neu' ELSE category END AS category, input_tokens + CASE WHEN id % 4 = 0 THEN 10 ELSE 0 END AS input_tokens FROM doc")
+add("m8_insert_or_ignore", lambda a: writes.new_transactions(a.transactions.where("id % 2 = 0"), a.transactions.where("id % 3 = 0").unionByName(a.transactions.where("id % 9 = 0"))).select("id", "tx_hash"), "SELECT id, tx_hash FROM tx WHERE id % 3 = 0 AND id % 2 <> 0")
+add("m9_recategorise", lambda a: writes.recategorise(a, a.transactions.where("id % 7 = 0").select("id"), "haushalt", "2026-01-01").overrides.groupBy("category").agg(F.count("*").alias("n")), "SELECT CASE WHEN id % 7 = 0 THEN 'haushalt' ELSE 'freizeit' END AS category, count(*) AS n FROM (SELECT o_orderkey AS id FROM orders) WHERE id % 7 = 0 OR id % 50 = 0 GROUP BY 1")
+add("m11_delete_account", lambda a: writes.delete_account(a, 3).transactions.groupBy("account_id").agg(F.count("*").alias("n")), "SELECT CASE WHEN account_id <> 3 THEN account_id END AS account_id, count(*) AS n FROM tx GROUP BY 1")
+add("m14_clean_duplicates", lambda a: writes.clean_duplicates(a.documents, "2026-01-01").select("id", "deleted_at"), """
+SELECT id, CASE WHEN deleted_at IS NULL AND place > 1 THEN '2026-01-01' ELSE deleted_at END AS deleted_at
+FROM (SELECT id, deleted_at, row_number() OVER (PARTITION BY content_hash, deleted_at IS NULL ORDER BY created_at, id) AS place FROM doc)""")
+add("m13_promote", lambda a: writes.promote(a.documents, _odd(a), "Kassenzettel").groupBy("category", "status").agg(F.count("*").alias("n")), "SELECT CASE WHEN id % 3 = 1 THEN 'Kassenzettel' ELSE category END AS category, CASE WHEN id % 3 = 1 THEN 'review' ELSE status END AS status, count(*) AS n FROM doc GROUP BY 1, 2")
+
+# --- extension: events by the hour, read as a stream
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inbox.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+QUERIES["t_events_by_hour"] = _events
+ORACLE_SQL["t_events_by_hour"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
