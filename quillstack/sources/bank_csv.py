@@ -85,7 +85,10 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The rows of bank files as text: path, line_no, COLUMNS and problem. Files are read in parallel, each by one task."""
+    """The rows of bank files as text: path, line_no, COLUMNS and problem. Files are read in parallel, each by one task.
+
+    A file of no bytes gives no row, as Spark's reader passes over it; one of blank lines gives an error row.
+    """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     fields = ", ".join(f"{c} string" for c in COLUMNS)
     return files.mapInPandas(_lines, f"path string, line_no int, {fields}, problem string")

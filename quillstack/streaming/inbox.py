@@ -82,6 +82,7 @@ def run_inbox(spark: SparkSession, inbox: str, table: str, checkpoint: str, tree
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Extension, not part of the archive: events by window and kind, with a watermark. Works on a stream and on a table."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    # watermarks want timestamps with a zone; the session's is put on and taken off again
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     counts = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
-    return counts.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
