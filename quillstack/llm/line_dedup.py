@@ -139,7 +139,8 @@ def without_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "tex
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), F.col(text).alias("text"))
     runs = repeated_runs(keyed.select("doc_id", "th", F.coalesce("text", F.lit("")).alias("text")), noise, guarantee)
     runs = stored(runs.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "runs"))
-    joined = keyed.drop("text").join(runs, _same("doc_id", "own_id") & (F.col("th") == F.col("own_th")), "left")
+    # the runs grow with the corpus, so they have no bound to be broadcast by: both sides are shuffled at every size
+    joined = keyed.drop("text").join(runs.hint("merge"), _same("doc_id", "own_id") & (F.col("th") == F.col("own_th")), "left")
     lines = F.split(F.col("row")[text], "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
     shorter = F.when(F.col("runs").isNull(), F.col("row")[text]).otherwise(F.array_join(left, "\n"))
