@@ -53,6 +53,9 @@ SPEAKING_FOR = {
 }
 SPEAKING_AGAINST = r"(?i)\b(?:version|release|isbn|order|invoice|serial|sku|part|model|figure|section|chapter|ratio|build)\b"
 
+#: How people write these, which their patterns leave open.
+GROUPED = {"card": r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$", "phone": r"\([0-9]{2,4}\)", "iban": r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){3}"}
+
 LABELERS = ("strict", "gazetteer", "context", "shape")
 VOTES = (-1, 0, 1)
 _CONTEXT = 40
@@ -134,8 +137,8 @@ def _votes(kind: str, strict: bool, valid: Column, found: Column, around: Column
     third = _vote(around.rlike(SPEAKING_FOR[kind]), around.rlike(SPEAKING_AGAINST))
     flat = (F.length(digits) > 6) & digits.rlike(r"^([0-9])\1*$")
     fourth = _vote(never, flat | F.contains(F.lit("01234567890123456789"), digits) & (F.length(digits) > 6))
-    if kind != "email":
-        fourth = F.when(fourth == 0, _vote(found.rlike(r"[\x20().-]"), never)).otherwise(fourth)
+    if kind in GROUPED:  # a form that the pattern doesn't ask for anyway, else the vote would say nothing
+        fourth = F.when(fourth == 0, _vote(found.rlike(GROUPED[kind]), never)).otherwise(fourth)
     return [first, second, third, fourth]
 
 
