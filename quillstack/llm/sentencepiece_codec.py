@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,8 +30,8 @@ from quillstack.llm.common import documents, kept, map_batches
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose encodings a worker keeps; the cache starts anew when it is full.
-CACHED = 500_000
+#: Words whose encodings a worker keeps, and pairs of pieces that it has tested; either starts anew when it is full.
+CACHED, TESTED = 300_000, 600_000
 #: Characters of texts that are encoded together.
 BATCH_CHARS = 4_000_000
 
@@ -67,9 +68,11 @@ class Codec:
         self._fits: dict[str, dict[str, bool]] = {}
         self._fit_count = 0
         self._of_byte = {i: b for b, i in self.bytes.items()}
+        self._is_byte = np.zeros(len(self.pieces), dtype=bool)
+        self._is_byte[list(self._of_byte)] = True
         #: Pieces that merging their own characters gives.
         self.whole = {p for p in self.ids if self._merge(p) == (p,)} if self.bpe else set(self.ids)
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> tuple[str, ...]:
         """The merges of a piece or two, done one at a time: the best score first, the leftmost of equals."""
@@ -87,7 +90,7 @@ class Codec:
 
     def _follows(self, left: str, right: str) -> bool:
         """Whether merging left + right leaves these two pieces."""
-        if self._fit_count > 2_000_000:
+        if self._fit_count > TESTED:
             self._fits.clear()
             self._fit_count = 0
         self._fit_count += 1
@@ -123,7 +126,7 @@ class Codec:
                         best = (score, piece)
             states.append(best)
 
-    def _ids_of(self, pieces: list[str]) -> list[int]:
+    def _ids_of(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for p in pieces:
             i = self.ids.get(p)
@@ -133,11 +136,11 @@ class Codec:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return out
+        return struct.pack(f"<{len(out)}i", *out)
 
-    def encode_words(self, words: Iterator[str]) -> dict[str, list[int]]:
-        """The ids of each word; words are distinct."""
-        found: dict[str, list[int]] = {}
+    def encode_words(self, words: Iterator[str]) -> dict[str, bytes]:
+        """The ids of each word, as little-endian 32-bit numbers; words are distinct."""
+        found: dict[str, bytes] = {}
         if len(self._cache) > CACHED:
             self._cache.clear()
         before, cache = "", self._cache
@@ -167,21 +170,22 @@ class Codec:
     def marked(self, text: str) -> list[str]:
         return self._word.findall(self.prefix + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
         cut = [self.marked(t) for t in texts]
-        known = self.encode_words(set().union(*cut))
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+        known = self.encode_words(set().union(*cut)).__getitem__
+        return [b"".join(map(known, words)) for words in cut]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(raw, dtype="<i4").tolist() for raw in self.encode_raw(texts)]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces, with bytes put together, marks as spaces and without the mark put before the text."""
-        if not self._of_byte.keys() & set(ids):
-            text = "".join([self.pieces[i] for i in ids])
+        ids = np.asarray(ids, dtype=np.int64)
+        some_bytes = bool(self._is_byte[ids].any())
+        ids = ids.tolist()
+        if not some_bytes:
+            text = "".join(map(self.pieces.__getitem__, ids))
         else:
             raw = b"".join([bytes((self._of_byte[i],)) if i in self._of_byte else self.pieces[i].encode() for i in ids])
             text = raw.decode("utf-8", "replace")
@@ -220,12 +224,14 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: tuple[
                     chars += len(texts[end])
                     end += 1
                 part = texts[start:end]
-                ids = c.encode(part)
-                digests = [hashlib.sha256(np.array(i, dtype="<i4").tobytes()).hexdigest() for i in ids]
-                back = [c.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, part)]
-                columns = [*(x.slice(start, end - start) for x in b.columns[:-1]), pa.array(map(len, ids), pa.int64())]
+                raw = c.encode_raw(part)
+                digests = [hashlib.sha256(r).hexdigest() for r in raw]
+                back = [c.decode(np.frombuffer(r, dtype="<i4")) == t.replace(MARK, " ") for r, t in zip(raw, part)]
+                counts = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+                columns = [*(x.slice(start, end - start) for x in b.columns[:-1]), pa.array(counts)]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(raw), dtype="<i4")))
                 columns += [pa.array(digests, pa.string()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 start = end
