@@ -31,7 +31,7 @@ from quillstack.llm.common import documents, kept, map_batches
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a worker keeps, and pairs of pieces that it has tested; either starts anew when it is full.
-CACHED, TESTED = 300_000, 600_000
+CACHED, TESTED = 500_000, 1_000_000
 #: Characters of texts that are encoded together.
 BATCH_CHARS = 4_000_000
 
@@ -57,6 +57,7 @@ class Codec:
         self.scores = [p.score for p in proto.pieces]
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
+        self._score_of = {p: self.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.lowest = min(self.scores) - 10
         inside = set().union(*(p for p in self.ids if len(p) > 1))
@@ -76,16 +77,16 @@ class Codec:
 
     def _merge(self, text: str) -> tuple[str, ...]:
         """The merges of a piece or two, done one at a time: the best score first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if best is None:
-                break
+        parts, score, none = list(text), self._score_of.get, -float("inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], none)
         return tuple(parts)
 
     def _follows(self, left: str, right: str) -> bool:
@@ -138,19 +139,14 @@ class Codec:
                 out.append(self.unknown)
         return struct.pack(f"<{len(out)}i", *out)
 
-    def encode_words(self, words: Iterator[str]) -> dict[str, bytes]:
-        """The ids of each word, as little-endian 32-bit numbers; words are distinct."""
-        found: dict[str, bytes] = {}
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The cache, which then has the ids of each of these words, as little-endian 32-bit numbers."""
         if len(self._cache) > CACHED:
-            self._cache.clear()
+            self._cache = {}
         before, cache = "", self._cache
         step = self._forward_bpe if self.bpe else self._forward_unigram
         states: list = ["" if self.bpe else (0.0, "")]
-        for word in sorted(words):
-            known = cache.get(word)
-            if known is not None:
-                found[word] = known
-                continue
+        for word in sorted(words.difference(cache)):
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
@@ -163,9 +159,9 @@ class Codec:
                 piece = states[end] if self.bpe else states[end][1]
                 pieces.append(piece)
                 end -= len(piece)
-            found[word] = cache[word] = self._ids_of(pieces[::-1])
+            cache[word] = self._ids_of(pieces[::-1])
             before = word
-        return found
+        return cache
 
     def marked(self, text: str) -> list[str]:
         return self._word.findall(self.prefix + text.replace(" ", MARK)) if text else []
