@@ -110,20 +110,23 @@ def _position(turn: Column) -> Column:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """A row for each row of docs: key, size, source_size, target, taken, position.
+    """A row for each row of docs: key, size, source_size, target, taken, position, positions; in the order of position.
 
     size: words of the text, none for null. A source's first passes take all of it; the last takes documents, in the
     order of the MD5 of their key (as text; null as empty), then of their key and size, while half of one still fits the
     target. So the words taken of a source differ from its target by half a document at most, and no document is taken
-    over `most` times. taken: its words over all passes. position: the time, 0 to 1, at which its first pass is due, null
-    if it isn't taken. Null is a source of its own, last in order. Rows that repeat queue one after another. Other
+    over `most` times. taken: its words over all passes. positions: the times, 0 to 1, at which each pass that takes it is
+    due; position: the first of them, by which the rows are range-sorted, null and last if it isn't taken. Null is a source of its own, last in order. Rows that repeat queue one after another. Other
     columns are ignored, whatever their names. An empty table gives no rows.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
     each = _places(narrow, weights, most).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     each = each.withColumn("before", F.col("before") + F.col("copy") * F.col("size")).withColumn("times", _times(most))
-    position = F.when((F.col("times") > 0) & (F.col("size") > 0), _position(F.lit(0)))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), position.alias("position"))
+    turns = F.sequence(F.lit(0).cast("long"), F.col("times") - 1)
+    positions = F.when((F.col("times") > 0) & (F.col("size") > 0), F.transform(turns, _position)).otherwise(F.array().cast("array<double>"))
+    each = each.withColumn("positions", positions).withColumn("position", F.get("positions", F.lit(0)))
+    each = each.orderBy(F.col("position").asc_nulls_last(), "md5", "copy")  # the digest also spreads what isn't taken
+    return each.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "position", "positions")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -140,4 +143,4 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir))

@@ -273,6 +273,21 @@ def test_mixing(which, request):
     assert Counter(map(str, again)) == Counter(map(str, got))
 
 
+def test_every_pass_has_its_position_and_rows_are_sorted(spark, sf, small, monkeypatch):
+    sizes = {r.doc_id: len(words(r.text)) for r in small.collect()}
+    got = mixing.op10_mixing(spark, sf).collect()
+    assert all(len(r.positions) * r.size == r.taken and r.positions == sorted(r.positions) for r in got if r.size)
+    assert any(len(r.positions) > 1 for r in got)
+    taken = [r.position for r in got if r.positions]
+    assert taken == sorted(taken) and all(r.position == r.positions[0] for r in got if r.positions)
+    assert all(r.position is None for r in got[len(taken) :])
+    assert {r.doc_id: r.size for r in got} == sizes
+    monkeypatch.setattr(mixing, "SLOPES", (0.5, -0.5, 0.0))
+    other = mixing.op10_mixing(spark, sf).collect()
+    assert {(r.doc_id, r.taken) for r in other} == {(r.doc_id, r.taken) for r in got}
+    assert [r.doc_id for r in other] != [r.doc_id for r in got]  # the schedule decides the order
+
+
 def test_positions_follow_the_schedule(spark):
     slope = F.lit(0.5)
     df = spark.range(0, 11).select((F.col("id") / 10).alias("p")).select("p", mixing.due(F.col("p"), slope).alias("t"))

@@ -281,6 +281,21 @@ def test_mixed_rows_follow_the_mix(small):
     assert Counter(r.doc_id for r in rows.collect()) == Counter({i: n for i, n in taken.items() if n})
 
 
+def test_training_order_outlives_the_encoding(spark, sf, small, tmp_path):
+    """Many part files, of uneven sizes: readers pack them in another order."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        want = [(r.doc_id, r.source) for r in mixing.mixed(small).collect()]
+        mixing.mixed(small).write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(docs.inputFiles()) > 12
+    got = corpus_pipeline.encoding(spark, docs, sf).collect()
+    assert len({r.training_order for r in got}) == len(got)
+    assert [(r.doc_id, r.source) for r in sorted(got, key=lambda r: r.training_order)] == want
+
+
 def test_stages_keep_the_columns(spark, sf, small, tmp_path):
     docs = small
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
