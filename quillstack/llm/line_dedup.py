@@ -2,8 +2,12 @@
 
 A gram is the shortest run of lines from a line on that has NOISE words. Of the grams inside the shortest run from a line
 on that has GUARANTEE words, the one with the least hash is a fingerprint (Schleimer, Wilkerson and Aiken, 2003, with
-windows measured in words). What is chosen depends on the window's lines alone, so two runs of equal lines with
-GUARANTEE words or more have a fingerprint in common, and equal runs under NOISE words never have.
+windows measured in words). What is chosen depends on the window's lines alone, and equal runs under NOISE words never
+have a fingerprint in common.
+
+A gram's first place may stand in another passage than the one that two later places share, so each window is a
+fingerprint too, by its gram and all its lines: the shortest from each line on, and the shortest up to each line. Every
+line of a run with GUARANTEE words or more is in a window within the run, so all of a later equal run goes.
 
 Each fingerprint's first place in the corpus is joined to its later places: as many rows as there are later places,
 not pairs. From there the match is extended both ways while lines are equal, and the later run is deleted.
@@ -38,8 +42,18 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(hashes, dtype=np.uint64).astype(np.int64), np.array(numbers, dtype=np.int32), np.array(sizes, dtype=np.int32)
 
 
+def _key(raw: bytes) -> int:
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(raw)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def fingerprints(hashes: np.ndarray, sizes: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> list[tuple[int, int]]:
-    """(hash of the gram, its first line) of each chosen gram."""
+    """(hash, first line) of each chosen gram, and of each window of GUARANTEE words: the shortest from a line on or up to a line.
+
+    A window's hash is that of its gram and of all its lines.
+    """
     import xxhash
 
     n = len(hashes)
@@ -50,9 +64,16 @@ def fingerprints(hashes: np.ndarray, sizes: np.ndarray, noise: int = NOISE, guar
     window_end = window_end[window_end <= n]
     raw = hashes.tobytes()
     grams = [xxhash.xxh3_64_intdigest(raw[8 * s : 8 * e]) for s, e in enumerate(gram_end.tolist())]
-    last = np.searchsorted(gram_end, window_end, side="right")  # grams start before that
-    chosen = {min(range(a, b), key=lambda s: (grams[s], s)) for a, b in enumerate(last.tolist()) if a < b}
-    return [(g - (1 << 64) if (g := grams[s]) >> 63 else g, s) for s in sorted(chosen)]
+    ends = np.arange(1, n + 1)[total[1:] >= guarantee]
+    starts = np.searchsorted(total, total[ends] - guarantee, side="right") - 1
+    # grams start before a window's last: all of its grams lie within it
+    forward, backward = enumerate(window_end.tolist()), zip(starts.tolist(), ends.tolist())
+    least = lambda a, e: min(range(a, int(np.searchsorted(gram_end, e, side="right"))), key=lambda s: (grams[s], s))
+    windows = [(a, e, least(a, e)) for a, e in forward]
+    chosen = sorted({s for _, _, s in windows})
+    spans = sorted({*windows, *((a, e, least(a, e)) for a, e in backward)})
+    found = [(g - (1 << 64) if (g := grams[s]) >> 63 else g, s) for s in chosen]
+    return found + [(_key(b"window" + grams[s].to_bytes(8, "little") + raw[8 * a : 8 * e]), a) for a, e, s in spans]
 
 
 def _index(noise: int, guarantee: int):

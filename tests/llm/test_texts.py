@@ -237,6 +237,46 @@ def test_every_repeated_run_of_guaranteed_length_goes(spark):
     assert got[99] == rows[-1][1]
 
 
+def plain_runs_to_go(rows, guarantee=50):
+    """Of each (key, text), in order: the numbers of the lines in runs of `guarantee` words or more that equal an earlier run; over all pairs of places."""
+    split = {i: [(n, tuple(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for i, t in rows}
+    gone = {i: set() for i, _ in rows}
+    for k, (i, _) in enumerate(rows):
+        for j, _ in rows[: k + 1]:
+            a, b = split[i], split[j]
+            for shift in range(1 if i == j else 1 - len(a), len(a) if i == j else len(b)):
+                x = 0 if i != j else None
+                run = []
+                for p in range(len(a)):
+                    q = p - shift if x is None else p + shift
+                    if 0 <= q < len(b) and a[p][1] == b[q][1]:
+                        run.append(p)
+                    if run and (run[-1] != p or p == len(a) - 1):
+                        if sum(len(a[r][1]) for r in run) >= guarantee:
+                            gone[i] |= {a[r][0] for r in run}
+                        run = []
+    return gone
+
+
+def test_every_equal_run_goes_beside_boilerplate(spark):
+    """Later places of a passage meet though its start or end also stands elsewhere, earlier."""
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = []
+    for g in range(40):
+        border, passage = [line(30)], [line(20), line(20)]
+        whole = border + passage if g % 2 else passage + border
+        for lines in (border, whole, whole):
+            rows.append((len(rows), "\n".join([line(7), line(5), *lines, line(9), line(4)])))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_runs_to_go(rows)
+    assert sum(map(len, want.values())) == 120
+    for i, t in rows:
+        left = Counter(got[i])
+        assert all(left[x] == 0 for x in (t.split("\n")[n] for n in want[i]) if t.split("\n").count(x) == 1), i
+        assert len(t.split("\n")) - len([x for x in got[i] if x]) >= len(want[i]), i
+
+
 def test_line_dedup_of_awkward_rows(awkward):
     got = line_dedup.dedup_lines(awkward)
     assert got.columns == awkward.columns
