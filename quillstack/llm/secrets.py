@@ -21,7 +21,7 @@ FINDINGS, TREES, DEPTH = 6000, 24, 6
 _NEAR = 32
 
 # Patterns, in the order of preference at one place (fixed values).
-ASSIGNED = r"""(?<=(?i:passwor[dt]|passwd|pwd|secret|token|key|credential)["']?\s{0,2}[:=]\s{0,2}["']?)[^\s"',;<>]{6,256}+"""
+ASSIGNED = r"""(?<=(?i:passwor[dt]|passwd|pwd|secret|token|key|credential)["']?\s{0,2}[:=]\s{0,2}["']?)[^\s"',;<>]{6,}+"""
 PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 PATTERN = f"{ASSIGNED}|{PRIVATE_KEY}|{TOKEN}"

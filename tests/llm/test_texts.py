@@ -136,6 +136,20 @@ def test_secret_scan(spark, awkward):
     assert secrets.scan(awkward).count() >= 0
 
 
+def test_secrets_are_found_whole(spark):
+    rng = random.Random(12)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long, dotted = pick(base64, 9000), ".".join(pick(base64, n) for n in (40, 700, 60))
+    rows = [
+        (1, f"secret_key={long} end", long), (2, f"token: '{dotted}'", dotted),
+    ]
+    got = secrets.scan(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("source", F.lit("app/.env"))).collect()
+    for i, t, found in rows:
+        at = t.index(found)
+        assert [(r.start, r.end, r.sha256) for r in got if r.doc_id == i] == [(at, at + len(found), hashlib.sha256(found.encode()).hexdigest())], i
+
+
 # --- op7
 
 
