@@ -19,12 +19,18 @@ from quillstack.llm.spans import let, matches
 #: Findings to train from, trees and their depth.
 FINDINGS, TREES, DEPTH = 6000, 24, 6
 _NEAR = 32
+#: Blanks that may align a value with its name's sign, on either side of it.
+_ALIGNED = 64
 
 # Patterns, in the order of preference at one place (fixed values).
-ASSIGNED = r"""(?<=(?i:passwor[dt]|passwd|pwd|secret|token|key|credential)["']?\s{0,2}[:=]\s{0,2}["']?)[^\s"',;<>]{6,}+"""
+_BLANKS = rf"(?:\s{{0,2}}|[ \t]{{3,{_ALIGNED}}})"
+# the first look-behind is the second's end, and spares most places the search for a name
+ASSIGNED = rf"""(?<=[:=]{_BLANKS}["']?)(?<=(?i:passwor[dt]|passwd|pwd|secret|token|key|credential)["']?{_BLANKS}[:=]{_BLANKS}["']?)[^\s"',;<>]{{6,}}+"""
 PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-PATTERN = f"{ASSIGNED}|{PRIVATE_KEY}|{TOKEN}"
+# keys of known formats that TOKEN passes over: without a digit, or short
+FORMATS = r"(?<![A-Za-z0-9+/_-])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|gh[pousr]_[A-Za-z0-9]{20,}+|(?:xox[abprs]-|sk_live_|eyJ)[A-Za-z0-9_-]{10,}+)"
+PATTERN = f"{ASSIGNED}|{PRIVATE_KEY}|{TOKEN}|{FORMATS}"
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-|sk_live_|eyJ[A-Za-z0-9_-]{10,}|-----BEGIN )"
 UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 FOR = r"(?i)(?:passwor|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth)"
@@ -121,13 +127,16 @@ def train(labelled: DataFrame):
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """(doc_id, start, end, found, before, after, path) of each candidate of each text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    may = body.rlike(r"[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9]|[:=]|[0-9]{16}|-----BEGIN")
+    may = body.rlike(r"[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9]|[:=]|[0-9]{16}|-----BEGIN|A[KS]IA[A-Z]{16}|gh[pousr]_|xox[abprs]-|sk_live_|eyJ")
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), body.alias("body"), F.when(may, matches(body, PATTERN)).otherwise(none).alias("all"))
 
     def around(m: Column) -> Column:
-        start = F.greatest(m["start"] - _NEAR + 1, F.lit(1).cast("long")).cast("int")
-        before = F.substring(F.col("body"), start, F.least(m["start"], F.lit(_NEAR).cast("long")).cast("int"))
+        # alignment counts as two blanks, so that the name is near
+        far = 2 * _ALIGNED + _NEAR
+        start = F.greatest(m["start"] - far + 1, F.lit(1).cast("long")).cast("int")
+        before = F.substring(F.col("body"), start, F.least(m["start"], F.lit(far).cast("long")).cast("int"))
+        before = F.substring(F.regexp_replace(before, r"[ \t]{3,}", "  "), -_NEAR, _NEAR)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), before.alias("before"), F.substring(F.col("body"), (m["end"] + 1).cast("int"), F.lit(_NEAR)).alias("after"))
 
     return rows.where(F.size("all") > 0).select("doc_id", "path", F.explode(F.transform("all", around)).alias("c")).select("doc_id", "path", "c.*")

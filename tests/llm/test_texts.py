@@ -140,14 +140,19 @@ def test_secrets_are_found_whole(spark):
     rng = random.Random(12)
     pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    long, dotted = pick(base64, 9000), ".".join(pick(base64, n) for n in (40, 700, 60))
+    long, dotted, padded, letters = pick(base64, 9000), ".".join(pick(base64, n) for n in (40, 700, 60)), pick(base64, 24), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16)
+    ghp, xox = "ghp_" + pick("abcdefghij", 36), "xoxb-" + pick("abcdefghij", 11)
     rows = [
-        (1, f"secret_key={long} end", long), (2, f"token: '{dotted}'", dotted),
-    ]
+        (1, f"secret_key={long} end", long), (2, f"token: '{dotted}'", dotted), (3, f"password{' ' * 12}={' ' * 9}{padded}", padded), (4, f"secret:{' ' * 40}{padded}\nx: 1", padded),
+        (5, f"the id {letters} here", letters), (6, f"use {ghp}", ghp), (7, f"a {xox}.", xox),
+    ]
     got = secrets.scan(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("source", F.lit("app/.env"))).collect()
     for i, t, found in rows:
         at = t.index(found)
         assert [(r.start, r.end, r.sha256) for r in got if r.doc_id == i] == [(at, at + len(found), hashlib.sha256(found.encode()).hexdigest())], i
+    assert all(r.secret for r in got if r.doc_id in (3, 4, 5, 6))
+    plain = secrets.candidates(spark.createDataFrame([(1, f"a xAKIA{'B' * 16} AKIA{'B' * 17} token\n\n\n=\n\n\n{'abcdef'}", None)], "doc_id long, text string, source string"))
+    assert plain.count() == 0
 
 
 # --- op7
