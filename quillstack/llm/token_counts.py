@@ -1,14 +1,17 @@
 """Exact token counts of whole texts, however long.
 
 Ordinary texts go to the library as they are. A text beyond `chunk` characters is encoded in overlapping chunks with
-offsets. Two neighbours are spliced inside their overlap at a boundary that both have and that is proven stable: a
-white-space mark after another character, in a vocabulary where no piece holds a mark after another character, so that
-no merge can cross it. Where an overlap holds no such boundary the chunk is widened, to the whole rest if need be.
+offsets. Two neighbours are spliced inside their overlap at a boundary that both have and that the vocabulary proves
+stable: two characters that stand side by side in no piece, so that no piece and no merge can cross it. Where an overlap
+holds no such place it is widened; where the whole chunk holds none the chunk is doubled, so failures cost no more than
+a constant multiple of the text.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import pyarrow as pa
@@ -20,14 +23,29 @@ from quillstack.llm.common import documents, kept, map_batches
 
 MODEL = "piece_bpe_32k.model"
 CHUNK, OVERLAP, LIMIT = 16_384, 512, 4096
-_MARKS = " ▁"
+
+
+@dataclass(frozen=True)
+class Boundaries:
+    """What a vocabulary proves: the pairs of characters that some piece joins, and the characters that it has."""
+
+    joined: frozenset[str]
+    known: frozenset[str]
+    #: Whether neighbouring unknown characters make one piece, as they do without pieces for bytes.
+    fused: bool
+
+    def last(self, text: str, low: int, high: int) -> int | None:
+        """The last place in low..high-1 that nothing crosses. The text has marks for spaces."""
+        for i in range(high - 1, max(low, 1) - 1, -1):
+            if text[i - 1 : i + 1] not in self.joined and not (self.fused and text[i] not in self.known and text[i - 1] not in self.known):
+                return i
+        return None
 
 
 @cache
 def _library(model: str):
-    """The processor, and whether its vocabulary proves boundaries stable. Loaded once in a worker."""
+    """The processor, and the boundaries that its vocabulary proves, or none. Loaded once in a worker."""
     import os
-    import re
 
     import public_tokenizers
     import sentencepiece
@@ -37,42 +55,48 @@ def _library(model: str):
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    spec = proto.normalizer_spec
-    plain = spec.name == "identity" and not spec.remove_extra_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix
-    proven = plain and not any(p.type == 4 or re.search("[^▁]▁", p.piece) for p in proto.pieces)
-    return sentencepiece.SentencePieceProcessor(model_file=path), proven
+    spec, sp = proto.normalizer_spec, sentencepiece.SentencePieceProcessor(model_file=path)
+    if spec.name != "identity" or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type in (4, 5) for p in proto.pieces):
+        return sp, None
+    pieces = [p.piece for p in proto.pieces if p.type == 1]
+    joined = frozenset(p[i : i + 2] for p in pieces for i in range(len(p) - 1))
+    return sp, Boundaries(joined, frozenset("".join(pieces)), not any(p.type == 6 for p in proto.pieces))
 
 
 def _begins(sp, text: str) -> list[int]:
     return [b for b, _ in sp.encode(text, return_type="offset_mapping")["offsets"]]
 
 
-def _stable(text: str, low: int, high: int) -> list[int]:
-    return [i for i in range(max(low, 1), high) if text[i] in _MARKS and text[i - 1] not in _MARKS]
+def _has(places: list[int], at: int) -> bool:
+    i = bisect_left(places, at)
+    return i < len(places) and places[i] == at
 
 
-def count_spliced(sp, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
-    """(tokens, chunks) of a long text whose boundaries are proven stable."""
-    start, end, cut, total, chunks = 0, min(len(text), chunk), 0, 0, 1
+def count_spliced(sp, proven: Boundaries, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+    """(tokens, chunks) of a long text."""
+    marked, n = text.replace(" ", "▁"), len(text)
+    start, end, cut, total, chunks = 0, min(n, chunk), 0, 0, 1
     begins = _begins(sp, text[:end])
-    while end < len(text):
-        back = overlap
+    while end < n:
+        back, at = overlap, None
         while True:
             after = max(start, end - back)
-            after_end = min(len(text), end + chunk)
-            following = [after + b for b in _begins(sp, text[after:after_end])]
-            both = {start + b for b in begins} & set(following)
-            at = next((b for b in _stable(text, max(after, cut) + 1, end) if b in both), None)
+            at = proven.last(marked, max(after, cut) + 1, end)
             if at is not None or after == start:
                 break
             back *= 2  # alignment failed: widen the overlap
+        if at is not None:
+            after_end = min(n, end + chunk)
+            following = _begins(sp, text[after:after_end])
+            if not (_has(begins, at - start) and _has(following, at - after)):
+                at = None
         if at is None:  # nothing to align on in the whole chunk: make it longer
-            begins, end = [b - start for b in following], after_end
+            end = min(n, start + 2 * (end - start))
+            begins = _begins(sp, text[start:end])
             continue
-        total += sum(cut <= start + b < at for b in begins)
-        begins = [b - after for b in following]
-        start, end, cut, chunks = after, after_end, at, chunks + 1
-    return total + sum(start + b >= cut for b in begins), chunks
+        total += bisect_left(begins, at - start) - bisect_left(begins, cut - start)
+        begins, start, end, cut, chunks = following, after, after_end, at, chunks + 1
+    return total + len(begins) - bisect_left(begins, cut - start), chunks
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -97,7 +121,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk:
             lengths = pa.compute.utf8_length(texts).to_pylist()
             for i, n in enumerate(lengths):
                 if proven and n > chunk:
-                    counts[i], chunks[i] = count_spliced(sp, texts[i].as_py(), chunk, overlap)
+                    counts[i], chunks[i] = count_spliced(sp, proven, texts[i].as_py(), chunk, overlap)
                 else:
                     short.append(i)
             for at in range(0, len(short), 256):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,10 +151,27 @@ def test_token_counts_are_the_librarys(which, request):
 
 
 def test_overlaps_widen_until_they_align():
-    sp, _ = token_counts._library(token_counts.MODEL)
-    for text in ["a" * 900 + " b" * 400, " " * 700, "日本語" * 300 + " x", "é\n" * 500, "one two  three\n" * 99]:
+    sp, proven = token_counts._library(token_counts.MODEL)
+    rng = random.Random(13)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+    for text in ["a" * 900 + " b" * 400, " " * 700, "日本語" * 300 + " x", "é\n" * 500, "one two  three\n" * 99, base64, "▁a ▁" * 300, "\U0001f600" * 400]:
         for chunk, overlap in ((50, 3), (200, 20)):
-            assert token_counts.count_spliced(sp, text, chunk, overlap)[0] == len(sp.encode(text))
+            assert token_counts.count_spliced(sp, proven, text, chunk, overlap)[0] == len(sp.encode(text))
+
+
+def test_texts_without_spaces_are_spliced_in_linear_time():
+    """A megabyte each: many chunks and the library's count; without any boundary, one chunk that was doubled."""
+    sp, proven = token_counts._library(token_counts.MODEL)
+    rng = random.Random(14)
+    japanese = "".join(chr(rng.choice((rng.randrange(0x3041, 0x3096), rng.randrange(0x4E00, 0x9FA0)))) for _ in range(1_000_000))
+    line = "[" + ",".join(f'{{"id":{i},"v":{rng.random()}}}' for i in range(30_000)) + "]"
+    for text, spliced in ((japanese, True), (line, True), ("a" * 300_000, False)):
+        start = time.perf_counter()
+        want = len(sp.encode(text))
+        library = time.perf_counter() - start
+        n, chunks = token_counts.count_spliced(sp, proven, text)
+        assert n == want and (chunks > 20) == spliced
+        assert time.perf_counter() - start - library < 30 * library + 5
 
 
 # --- op6
