@@ -25,6 +25,8 @@ from quillstack.llm.graph import components
 
 #: Distinct fingerprints of one key that a task compares; beyond, the key is dealt out in pairs of blocks of half that.
 HOT = 1 << 15
+#: Rows of one fingerprint that may meet in a task.
+CROWD = 100_000
 #: Hashes of a document that are unpacked to bits at once.
 _SLICE = 1 << 16
 
@@ -69,33 +71,8 @@ def _exact_keys(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield np.broadcast_to(rows[:, None], narrow.shape)[valid], narrow[valid]
 
 
-SEGMENTS = 5
-
-
-def _fuzzy_keys(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys) from each pair of five 23-bit segments: fingerprints share one if two segments are within two bits each."""
-    rows = np.arange(len(prints))
-    near = []
-    for s in range(SEGMENTS):
-        low = 23 * s
-        v = prints[:, low // 64] >> np.uint64(low % 64)
-        if low % 64 > 41:
-            v = v | prints[:, low // 64 + 1] << np.uint64(64 - low % 64)
-        near.append(golay.near((v & np.uint64(0x7FFFFF)).astype(np.int64)))
-    family = 0
-    for i in range(SEGMENTS):
-        for j in range(i):
-            (a, va), (b, vb) = near[i], near[j]
-            keys = (family << 24) | (a[:, :, None] << 12) | b[:, None, :]
-            valid = va[:, :, None] & vb[:, None, :]
-            yield np.broadcast_to(rows[:, None, None], keys.shape)[valid], keys[valid]
-            family += 1
-
-
 #: The contract's: three words, 64 bits, three bits apart at most; every such link is found.
 EXACT = Scheme(3, (42,), 64, 3, _exact_keys)
-#: For whole corpora: five words, 115 bits, a share of 0.8 or more of them equal.
-FUZZY = Scheme(5, (42, 43), 23 * SEGMENTS, 23 * SEGMENTS // 5, _fuzzy_keys)
 
 
 def fingerprint(text: str | None, scheme: Scheme) -> np.ndarray:
@@ -280,32 +257,16 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, key: str = "doc_id"
     repeat are rows of one component. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     rows = stored(with_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), scheme))
-    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     links = links_between(prints.select("fingerprint"), scheme, hot)
     roots = components(links).withColumnRenamed("node", "fingerprint")
     classed = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = classed.join(least, "root").select("fingerprint", "component_id")
-    return rows.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def one_of_each(docs: DataFrame, scheme: Scheme = FUZZY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least key, nulls last, then of the least hash of its text.
-
-    With FUZZY, texts are linked if they share 0.8 or more of 115 bits over five-word shingles and meet in a bucket: two
-    of five segments within two bits each, which all close pairs have and most at the limit. Of rows equal in key and
-    text one stays. Texts without words are one component. Columns are left as they are, whatever their names.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    rows = stored(with_fingerprint(keyed.select("doc_id", "th", "text"), scheme))
-    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    prints = stored(rows.groupBy("fingerprint").agg(F.min(where).alias("first")))
-    roots = components(links_between(prints.select("fingerprint"), scheme)).withColumnRenamed("node", "fingerprint")
-    classed = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    keepers = stored(classed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.th").alias("keep_th")))
-    found = keyed.drop("text").join(keepers, (F.col("th") == F.col("keep_th")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return found.dropDuplicates(["th", "doc_id"]).select("row.*")
+    by_print = stored(classed.join(least, "root").select("fingerprint", "n", "component_id"))
+    # rows of a fingerprint that many share, such as that of blank texts, are not dealt by it; these fingerprints are fewer than rows / CROWD
+    crowds = F.broadcast(by_print.where(F.col("n") > CROWD).select("fingerprint", "component_id"))
+    rest = rows.join(crowds, "fingerprint", "left_anti").join(by_print.where(F.col("n") <= CROWD), "fingerprint")
+    return rows.join(crowds, "fingerprint").unionByName(rest.select("fingerprint", "doc_id", "component_id")).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

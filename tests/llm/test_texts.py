@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_pairs_and_counts import AWKWARD, SCHEMA, words
 
 import corpus_pipeline
-from quillstack.llm import line_dedup, mixing, pii, quality, secrets, sentencepiece_codec, simhash
+from quillstack.llm import line_dedup, mixing, pii, quality, secrets, sentencepiece_codec, similar
 
 CLASH = [f"{c} string" for c in ("row", "deleted", "runs", "th", "spans", "personal", "kept", "ids", "n_tokens", "w", "_m", "features", "prediction")]
 
@@ -318,7 +318,7 @@ def test_near_duplicates_one_of_each(spark):
                 w[rng.randrange(len(w))] = "edited"
             group[len(rows)] = g
             rows.append((len(rows), " ".join(w)))
-    kept = [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kept = [r.doc_id for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     firsts = {}
     for i, g in group.items():
         firsts.setdefault(g, i)
@@ -328,7 +328,7 @@ def test_near_duplicates_one_of_each(spark):
 
 
 def test_one_of_each_of_awkward_rows(awkward):
-    got = simhash.one_of_each(awkward)
+    got = similar.one_of_each(awkward)
     assert got.columns == awkward.columns
     assert 1 <= got.count() < awkward.count()
 
@@ -366,7 +366,7 @@ def test_stages_keep_the_columns(spark, sf, small, tmp_path):
     assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == Counter((r.doc_id, r.ids_sha256) for r in docs.collect())
 
 
-@pytest.mark.parametrize("function", [pii.find_personal_data, sentencepiece_codec.encode, secrets.scan, quality.quality, quality.keep_good, line_dedup.dedup_lines, simhash.one_of_each, mixing.mixed])
+@pytest.mark.parametrize("function", [pii.find_personal_data, sentencepiece_codec.encode, secrets.scan, quality.quality, quality.keep_good, line_dedup.dedup_lines, similar.one_of_each, mixing.mixed])
 def test_empty_tables(awkward, function):
     assert function(awkward.limit(0)).collect() == []
 
