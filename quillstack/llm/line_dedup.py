@@ -2,15 +2,17 @@
 
 A gram is the shortest run of lines from a line on that has NOISE words. Of the grams inside the shortest run from a line
 on that has GUARANTEE words, the one with the least hash is a fingerprint (Schleimer, Wilkerson and Aiken, 2003, with
-windows measured in words). What is chosen depends on the window's lines alone, and equal runs under NOISE words never
-have a fingerprint in common.
+windows measured in words). What is chosen depends on the window's lines alone.
 
 A gram's first place may stand in another passage than the one that two later places share, so each window is a
 fingerprint too, by its gram and all its lines: the shortest from each line on, and the shortest up to each line. Every
-line of a run with GUARANTEE words or more is in a window within the run, so all of a later equal run goes.
+line of a run with GUARANTEE words or more is in a window within the run, so all of a later equal run goes; and a match
+under GUARANTEE words is left alone. So what is deleted is exact, not a matter of which fingerprints were chosen.
 
 Each fingerprint's first place in the corpus is joined to its later places: as many rows as there are later places,
-not pairs. From there the match is extended both ways while lines are equal, and the later run is deleted.
+not pairs. From there the match is extended both ways while lines are equal, and the later run is deleted. Fingerprints
+that stand in very many places are joined without dealing rows by them, and the lines of a document that very many
+others repeat are dealt out in several copies.
 """
 
 from __future__ import annotations
@@ -24,10 +26,19 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import documents, map_batches, stored
 
-NOISE, GUARANTEE = 25, 50
+#: Words of the least gram, and of the least run that is deleted.
+NOISE, GUARANTEE = 4, 8
+#: Places of one fingerprint that may meet in a task, and documents that may meet the lines of one source.
+CROWD, TOGETHER = 50_000, 1024
+#: Rows of a table of such fingerprints or sources that is broadcast, of some 40 bytes each; beyond, it is joined.
+BROADCAST_ROWS = 200_000
 _LINES = "doc_id long, th long, hashes array<long>, at array<int>, sizes array<int>, grams array<struct<gram:long,pos:int>>"
 
 
+#: The number of the last line, whatever it is.
+_LAST = (1 << 31) - 1
+
+
 def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, numbers, words) of the lines with words; white space within lines doesn't count."""
     import xxhash
@@ -52,7 +63,7 @@ def _key(raw: bytes) -> int:
 def fingerprints(hashes: np.ndarray, sizes: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> list[tuple[int, int]]:
     """(hash, first line) of each chosen gram, and of each window of GUARANTEE words: the shortest from a line on or up to a line.
 
-    A window's hash is that of its gram and of all its lines.
+    A window's hash is that of its gram and of all its lines; one that is a gram has the gram's.
     """
     import xxhash
 
@@ -66,14 +77,16 @@ def fingerprints(hashes: np.ndarray, sizes: np.ndarray, noise: int = NOISE, guar
     grams = [xxhash.xxh3_64_intdigest(raw[8 * s : 8 * e]) for s, e in enumerate(gram_end.tolist())]
     ends = np.arange(1, n + 1)[total[1:] >= guarantee]
     starts = np.searchsorted(total, total[ends] - guarantee, side="right") - 1
-    # grams start before a window's last: all of its grams lie within it
-    forward, backward = enumerate(window_end.tolist()), zip(starts.tolist(), ends.tolist())
-    least = lambda a, e: min(range(a, int(np.searchsorted(gram_end, e, side="right"))), key=lambda s: (grams[s], s))
-    windows = [(a, e, least(a, e)) for a, e in forward]
-    chosen = sorted({s for _, _, s in windows})
-    spans = sorted({*windows, *((a, e, least(a, e)) for a, e in backward)})
-    found = [(g - (1 << 64) if (g := grams[s]) >> 63 else g, s) for s in chosen]
-    return found + [(_key(b"window" + grams[s].to_bytes(8, "little") + raw[8 * a : 8 * e]), a) for a, e, s in spans]
+    windows = sorted({*enumerate(window_end.tolist()), *zip(starts.tolist(), ends.tolist())})
+    within = np.searchsorted(gram_end, [e for _, e in windows], side="right").tolist()  # grams that start before this end in the window
+    found: dict[tuple[int, int], None] = {}
+    for (a, e), stop in zip(windows, within):
+        s = a if stop == a + 1 else min(range(a, stop), key=grams.__getitem__)
+        gram = grams[s]
+        found[gram - (1 << 64) if gram >> 63 else gram, s] = None
+        if (a, e) != (s, gram_end[s]):
+            found[_key(b"window" + gram.to_bytes(8, "little") + raw[8 * a : 8 * e]), a] = None
+    return list(found)
 
 
 def _index(noise: int, guarantee: int):
@@ -106,17 +119,17 @@ def extended(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int]])
     return found
 
 
-def _extend(noise: int):
+def _extend(guarantee: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
         for b in batches:
             ids, ths, runs = [], [], []
-            for i, th, anchors, own, at, sizes, other in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
+            for i, th, anchors, own, at, sizes, other, low in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
                 own, other = np.array(own, dtype=np.int64), np.array(other, dtype=np.int64)
                 found = [
-                    {"first": at[f], "last": at[e - 1]}
-                    for f, e in extended(own, other, [(a["pos"], a["src_pos"]) for a in anchors])
-                    if sum(sizes[f:e]) >= noise
+                    {"first": at[f], "last": at[e] - 1 if e < len(at) else _LAST}
+                    for f, e in extended(own, other, [(a["pos"], a["src_pos"] - low) for a in anchors])
+                    if sum(sizes[f:e]) >= guarantee
                 ]
                 if found:
                     ids.append(i), ths.append(th), runs.append(found)
@@ -129,21 +142,49 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
-    """(doc_id, th, runs): of each document (doc_id, th, text) with later runs, the numbers of their first and last lines."""
-    lines = stored(map_batches(docs.select("doc_id", "th", "text"), _index(noise, guarantee), _LINES))
-    places = lines.select("doc_id", "th", F.explode("grams").alias("g")).select(F.col("g.gram").alias("gram"), "doc_id", "th", F.col("g.pos").alias("pos"))
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast what is proven small; else let Spark join it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _later_places(places: DataFrame) -> DataFrame:
+    """places (gram, doc_id, th, pos) but each gram's first, with that: src_id, src_th, src_pos."""
     # nulls last among the documents
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
     first = places.groupBy("gram").agg(F.min(where).alias("src"), F.count("*").alias("n")).where("n > 1")
-    first = stored(first.select("gram", F.col("src.doc_id").alias("src_id"), F.col("src.th").alias("src_th"), F.col("src.pos").alias("src_pos")))
-    later = places.join(first, "gram").where(~(_same("doc_id", "src_id") & _same("th", "src_th") & (F.col("pos") == F.col("src_pos"))))
-    pairs = later.groupBy("doc_id", "th", "src_id", "src_th").agg(F.collect_set(F.struct("pos", "src_pos")).alias("anchors"))
+    first = stored(first.select("gram", "n", F.col("src.doc_id").alias("src_id"), F.col("src.th").alias("src_th"), F.col("src.pos").alias("src_pos")))
+    crowds = first.where(F.col("n") > CROWD).drop("n")  # no more than places / CROWD
+    if crowds.isEmpty():
+        met = places.join(first.drop("n"), "gram")
+    else:
+        crowds = _small(crowds)
+        met = places.join(crowds, "gram").unionByName(places.join(crowds, "gram", "left_anti").join(first.where(F.col("n") <= CROWD).drop("n"), "gram"))
+    return met.where(~(_same("doc_id", "src_id") & _same("th", "src_th") & (F.col("pos") == F.col("src_pos"))))
+
+
+def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
+    """(doc_id, th, runs): of each document (doc_id, th, text) with later runs, the numbers of their first and last lines, with the lines without words after them."""
+    lines = stored(map_batches(docs.select("doc_id", "th", "text"), _index(noise, guarantee), _LINES))
+    places = lines.select("doc_id", "th", F.explode("grams").alias("g")).select(F.col("g.gram").alias("gram"), "doc_id", "th", F.col("g.pos").alias("pos"))
+    pairs = _later_places(places).groupBy("doc_id", "th", "src_id", "src_th").agg(F.collect_set(F.struct("pos", "src_pos")).alias("anchors"))
+    pairs = stored(pairs)
+    many = pairs.groupBy("src_id", "src_th").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1")
+    many = _small(many.select(F.col("src_id").alias("many_id"), F.col("src_th").alias("many_th"), "parts"))  # no more than pairs / TOGETHER
+    dealt = pairs.join(many, _same("src_id", "many_id") & _same("src_th", "many_th"), "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "th"), F.col("parts")).cast("int"), F.lit(0))).drop("many_id", "many_th", "parts")
     own = lines.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "hashes", "at", "sizes").dropDuplicates(["own_id", "own_th"])
     other = lines.select(F.col("doc_id").alias("other_id"), F.col("th").alias("other_th"), F.col("hashes").alias("other")).dropDuplicates(["other_id", "other_th"])
-    sides = stored(pairs).join(own, _same("doc_id", "own_id") & _same("th", "own_th"))
-    sides = sides.join(other, _same("src_id", "other_id") & _same("src_th", "other_th")).select("doc_id", "th", "anchors", "hashes", "at", "sizes", "other")
-    runs = map_batches(sides, _extend(noise), "doc_id long, th long, runs array<struct<first:int,last:int>>")
+    other = other.join(many, _same("other_id", "many_id") & _same("other_th", "many_th"), "left")
+    other = other.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("many_id", "many_th", "parts")
+    sides = dealt.join(own, _same("doc_id", "own_id") & _same("th", "own_th"))
+    # of the other's lines only those that a match can reach
+    shifts = F.transform("anchors", lambda a: a["src_pos"] - a["pos"])
+    low = F.greatest(F.array_min(shifts), F.lit(0))
+    high = F.array_max(shifts) + F.size("hashes")
+    sides = sides.withColumn("low", low).withColumn("high", high)
+    sides = sides.join(other, _same("src_id", "other_id") & _same("src_th", "other_th") & (F.col("part") == F.col("other_part")))
+    sides = sides.select("doc_id", "th", "anchors", "hashes", "at", "sizes", F.slice("other", F.col("low") + 1, F.col("high") - F.col("low")).alias("other"), "low")
+    runs = map_batches(sides, _extend(guarantee), "doc_id long, th long, runs array<struct<first:int,last:int>>")
     return runs.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
@@ -151,10 +192,10 @@ def without_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """(row, deleted): each row of docs as a struct with its text shortened, and how many lines were deleted from it.
 
     Of runs of equal lines with `guarantee` words or more, the first in the corpus stays, by key and then by a hash of
-    the text (nulls last), and later ones go; of runs with `noise` words or more those go that were found; shorter ones
-    stay. Lines are equal if their words are. Lines without words go only with a run around them. A text of which
-    nothing is left is empty, a null text stays null. Rows equal in key and text are one document and stay alike. Columns
-    other than text are left as they are, whatever their names; an empty table gives no rows.
+    the text (nulls last), and later ones go, all of them; shorter ones stay. Lines are equal if their words are. Lines
+    without words go with the line before them. A text of which nothing is left is empty, a null text stays null. Rows
+    equal in key and text are one document and stay alike; of one key, texts are equal if their 64-bit hashes are. Keys are
+    whole numbers. Columns other than text are left as they are, whatever their names; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), F.col(text).alias("text"))

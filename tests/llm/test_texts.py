@@ -210,34 +210,44 @@ def test_estimate_is_close_to_numpy(spark):
 # --- op9
 
 
-def plain_dedup(rows, noise=25, guarantee=50):
-    """(doc_id, text) of each row, by loops; rows have distinct keys, ordered as the operator orders them."""
-    lines = {i: line_dedup.line_hashes(t or "") for i, t in rows}
-    marks = {i: line_dedup.fingerprints(h, s, noise, guarantee) if len(h) else [] for i, (h, _, s) in lines.items()}
-    first = {}
-    for i, _ in rows:
-        for g, p in marks[i]:
-            first.setdefault(g, (i, p))
-    out = {}
+def plain_dedup(rows, guarantee=line_dedup.GUARANTEE):
+    """doc_id: text of each row, by loops over lines of words: each least window of `guarantee` words that stood earlier goes.
+
+    Nothing of the operator is used. Rows have distinct keys, ordered as the operator orders them.
+    """
+    split = {i: [(n, tuple(words(x))) for n, x in enumerate((t or "").split("\n")) if words(x)] for i, t in rows}
+    seen, gone = set(), {i: set() for i, _ in rows}
     for i, t in rows:
-        h, at, _ = lines[i]
-        gone = set()
-        for g, p in marks[i]:
-            if (src := first[g]) != (i, p):
-                o = lines[src[0]][0]
-                a, b, e, f = p, src[1], p, src[1]
-                while a and b and h[a - 1] == o[b - 1]:
-                    a, b = a - 1, b - 1
-                while e < len(h) and f < len(o) and h[e] == o[f]:
-                    e, f = e + 1, f + 1
-                gone |= set(range(at[a], at[e - 1] + 1))
-        out[i] = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
-    return out
-
-
-def test_line_dedup_matches_brute_force(small):
+        lines, spans = split[i], []
+        for a in range(len(lines)):
+            size = 0
+            for e in range(a, len(lines)):
+                size += len(lines[e][1])
+                # least from its first line on, or least up to its last
+                if size >= guarantee and (size - len(lines[e][1]) < guarantee or size - len(lines[a][1]) < guarantee):
+                    spans.append((a, e + 1))
+        for a, e in sorted(spans):
+            window = tuple(x for _, x in lines[a:e])
+            if window in seen:
+                gone[i] |= {n for n, _ in lines[a:e]}
+            seen.add(window)
+        numbers = {n for n, _ in lines}
+        for n in range(len((t or "").split("\n"))):  # lines without words go with the one before
+            if n not in numbers and n - 1 in gone[i]:
+                gone[i].add(n)
+    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in rows}
+
+
+@pytest.mark.parametrize("crowd", [50_000, 3])
+def test_line_dedup_matches_brute_force(spark, small, monkeypatch, crowd):
+    """Also with crowded fingerprints and sources, which are dealt otherwise."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "TOGETHER", 1024 if crowd > 3 else 2)
     rows = [(r.doc_id, r.text) for r in small.orderBy("doc_id").collect()]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(small).collect()}
+    top = max(i for i, _ in rows)
+    lines = ["a line that many texts of this table hold", "one two three four five", "six seven eight"]
+    rows += [(top + 1 + i, "\n".join([*lines[: 1 + i % 3], f"line {i} of its own with eight words or more", *lines[: i % 4], " ", lines[0]])) for i in range(40)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_dedup(rows)
 
 
@@ -256,7 +266,7 @@ def test_every_repeated_run_of_guaranteed_length_goes(spark):
     assert got[99] == rows[-1][1]
 
 
-def plain_runs_to_go(rows, guarantee=50):
+def plain_runs_to_go(rows, guarantee=line_dedup.GUARANTEE):
     """Of each (key, text), in order: the numbers of the lines in runs of `guarantee` words or more that equal an earlier run; over all pairs of places."""
     split = {i: [(n, tuple(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for i, t in rows}
     gone = {i: set() for i, _ in rows}
@@ -287,8 +297,8 @@ def test_every_equal_run_goes_beside_boilerplate(spark):
         whole = border + passage if g % 2 else passage + border
         for lines in (border, whole, whole):
             rows.append((len(rows), "\n".join([line(7), line(5), *lines, line(9), line(4)])))
-    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = plain_runs_to_go(rows)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), noise=25, guarantee=50).collect()}
+    want = plain_runs_to_go(rows, 50)
     assert sum(map(len, want.values())) == 120
     for i, t in rows:
         left = Counter(got[i])
