@@ -22,10 +22,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, one of our own if Spark runs on this machine alone; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "")
     if found:
         return found
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quillstack-"))
     return _own_dir[0]
