@@ -6,9 +6,13 @@ other implementation gives. Everything is built-in Spark expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillstack.llm.common import documents
 
 #: The multiplier of the published generator, in four 16-bit parts from low to high, and its increment 1.
 MULTIPLIER = 2862933555777941757
@@ -34,7 +38,8 @@ def _next(hi: Column, lo: Column) -> tuple[Column, Column]:
 def jump_shard(key: Column, shards: int) -> Column:
     """The shard, 0 to shards - 1, of a 64-bit key; a null key counts as 0.
 
-    Each jump leads to a higher bucket, so there are at most `shards` of them.
+    A key makes about ln(shards) jumps. So many rounds are made for all keys, with a wide margin; keys that are not
+    through by then, which there may never be, go on for the at most `shards` rounds that are possible.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
@@ -51,26 +56,30 @@ def jump_shard(key: Column, shards: int) -> Column:
         moved = F.struct(s["j"].alias("b"), step.cast("long").alias("j"), hi.alias("hi"), lo.alias("lo"))
         return F.when(s["j"] < shards, moved).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda s: F.when(s["j"] < shards, s["j"]).otherwise(s["b"]).cast("int"))
+    usual = min(shards, 16 + 4 * math.ceil(math.log(shards)))
+    go = lambda s, rounds: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), s, jump)
+    whole = lambda s: F.when(s["j"] < shards, go(s, shards)).otherwise(s) if usual < shards else s
+    return F.aggregate(F.sequence(F.lit(1), F.lit(usual)), start, jump, lambda s: whole(s)["b"].cast("int"))
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], rows: int) -> DataFrame:
-    """df with `slot`: the place of the row in its shard, gapless from 0.
+def with_slots(df: DataFrame, shard: str, key: str, more: list[str], rows: int) -> DataFrame:
+    """df with `slot`: the place of the row in its shard, gapless from 0, by the MD5 of the key (as text; null as empty), then by `more`.
 
-    A shard is numbered in blocks that a hash of `order` deals out, so no task holds a shard. Rows that agree on shard
-    and order are counted first and dealt out again, so that copies of one row don't meet in a task either. The
-    numbering depends on the rows and on `rows`, their number, and on nothing else.
+    A shard is numbered in blocks that ranges of the digest make, so no task holds a shard. Rows that agree on all
+    columns are counted first and dealt out again, so that copies of one row don't meet in a task either.
     """
-    shards = df.groupBy(shard, *order).agg(F.count("*").alias("_n"))
+    counted = df.groupBy(shard, key, *more).agg(F.count("*").alias("_n"))
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     blocks = max(1, -(-rows // (ROWS_PER_BLOCK * 16)))
-    shards = shards.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    sizes = shards.groupBy(shard, "_block").agg(F.sum("_n").alias("_size"))
+    block = F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long") * blocks / F.lit(float(1 << 32))).cast("long")
+    counted = counted.withColumn("_md5", digest).withColumn("_block", block)
+    sizes = counted.groupBy(shard, "_block").agg(F.sum("_n").alias("_size"))
     before = W.partitionBy(shard).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(shard, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    inside = W.partitionBy(shard, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    numbered = shards.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sizes, [shard, "_block"])
+    inside = W.partitionBy(shard, "_block").orderBy("_md5", *more).rowsBetween(W.unboundedPreceding, -1)
+    numbered = counted.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sizes, [shard, "_block"])
     place = (F.col("_first") + F.col("_at")).cast("long")
-    return numbered.select(shard, *order, F.explode(F.sequence(place, place + F.col("_n") - 1)).alias("slot"))
+    return numbered.select(shard, key, *more, F.explode(F.sequence(place, place + F.col("_n") - 1)).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,11 +98,42 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         jump_shard(F.col(key), shards).alias("shard"),
     )
     rows = docs.count()
-    placed = with_slots(narrow, "shard", ["doc_id", "size", "text_crc32"], rows)
+    placed = with_slots(narrow, "shard", "doc_id", ["size", "text_crc32"], rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"))
 
 
 def op8_jump_sharding(spark, sf_dir: str) -> DataFrame:
-    from quillstack.llm.common import documents
-
     return shard_documents(documents(spark, sf_dir), shards=16)
+
+
+def _crc_table() -> list[int]:
+    """The table of the CRC-32 polynomial for four bits at a time."""
+    found = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        found.append(n)
+    return found
+
+
+OP8_SQL = f"""
+WITH RECURSIVE jump(k, n, b, j, h) AS (
+    SELECT k, n, 0::BIGINT, 0::BIGINT, (k::HUGEINT + 18446744073709551616) % 18446744073709551616
+    FROM (SELECT DISTINCT coalesce(doc_id, 0) AS k FROM documents), (VALUES (16), (17)) AS s(n)
+    UNION ALL
+    SELECT k, n, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / (g // 8589934592 + 1)::DOUBLE))::BIGINT, g
+    FROM (SELECT k, n, j, (h * {MULTIPLIER} + 1) % 18446744073709551616 AS g FROM jump WHERE j < n)
+),
+fell AS (SELECT k, n, b FROM jump WHERE j >= n),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS l FROM documents),
+crc AS (
+    SELECT doc_id, len(l)::BIGINT + 1 AS size, list_reduce(list_prepend(4294967295::BIGINT, l),
+        lambda c, b: xor(xor(c >> 4, t[(xor(c, b) & 15) + 1]) >> 4, t[(xor(xor(c >> 4, t[(xor(c, b) & 15) + 1]), b >> 4) & 15) + 1])) AS c
+    FROM bytes, (SELECT {_crc_table()}::BIGINT[] AS t)
+),
+placed AS (SELECT c.doc_id, size, xor(c, 4294967295::BIGINT)::BIGINT AS text_crc32, a.b::INTEGER AS shard, z.b::INTEGER AS grown_shard
+    FROM crc c JOIN fell a ON a.k = coalesce(c.doc_id, 0) AND a.n = 16 JOIN fell z ON z.k = coalesce(c.doc_id, 0) AND z.n = 17)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size, text_crc32) - 1 AS slot, grown_shard
+FROM placed
+"""
