@@ -143,4 +143,30 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    """The mix of documents, with the position of each of the passes in a column of its own."""
+    turns = [F.get("positions", F.lit(i)).alias(f"position_{i + 1}") for i in range(1, MOST)]
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", *turns)
+
+
+def _position_sql(turn: int) -> str:
+    words = f"least((queued + {turn} * source_size + size::DOUBLE / 2) / target, 1::DOUBLE)"
+    inverse = f"CASE WHEN slope = 0 THEN {words} ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * {words}) - (1 - slope)) / (2 * slope) END"
+    return f"CASE WHEN times > {turn} AND size > 0 THEN {inverse} END AS position{f'_{turn + 1}' if turn else ''}"
+
+
+# the level is that of the first source, by the words that its weight has to bear, which it leaves below its limit
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, list_extract({list(WEIGHTS)}, rank % {len(WEIGHTS)} + 1) AS weight, list_extract({list(SLOPES)}, rank % {len(SLOPES)} + 1)::DOUBLE AS slope, {MOST} * source_size AS most FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights, coalesce(sum(most) OVER b, 0) AS most_before, coalesce(sum(weight) OVER b, 0) AS weight_before
+    FROM w WINDOW b AS (ORDER BY most::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - most_before)::DOUBLE / (weights - weight_before)::DOUBLE AS share FROM o),
+level AS (SELECT arg_min(share, most::DOUBLE / weight) AS share FROM l WHERE most::DOUBLE > weight * share),
+t AS (SELECT source, source_size, slope, CASE WHEN most::DOUBLE > weight * coalesce(level.share, 0) THEN weight * level.share ELSE most::DOUBLE END AS target FROM w, level),
+q AS (SELECT d.doc_id, size, source_size, slope, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS queued
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM q),
+n AS (SELECT *, least(passes + (queued + size::DOUBLE / 2 < target - passes * source_size AND size > 0)::BIGINT, {MOST}) AS times FROM p)
+SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, {', '.join(map(_position_sql, range(MOST)))} FROM n
+"""

@@ -236,7 +236,7 @@ def test_sharding(which, request):
 def test_jump_of_extreme_keys_and_growth(spark):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for n in (1, 2, 17, 100):
+    for n in (1, 2, 17, 100, 5000):
         got = [r[0] for r in df.select(sharding.jump_shard(F.col("k"), n)).collect()]
         assert got == [plain_jump(k, n) for k in keys]
 
@@ -291,9 +291,9 @@ def test_mixing(which, request):
     assert Counter(map(str, again)) == Counter(map(str, got))
 
 
-def test_every_pass_has_its_position_and_rows_are_sorted(spark, sf, small, monkeypatch):
+def test_every_pass_has_its_position_and_rows_are_sorted(small, monkeypatch):
     sizes = {r.doc_id: len(words(r.text)) for r in small.collect()}
-    got = mixing.op10_mixing(spark, sf).collect()
+    got = mixing.mix(small).collect()
     assert all(len(r.positions) * r.size == r.taken and r.positions == sorted(r.positions) for r in got if r.size)
     assert any(len(r.positions) > 1 for r in got)
     taken = [r.position for r in got if r.positions]
@@ -301,7 +301,7 @@ def test_every_pass_has_its_position_and_rows_are_sorted(spark, sf, small, monke
     assert all(r.position is None for r in got[len(taken) :])
     assert {r.doc_id: r.size for r in got} == sizes
     monkeypatch.setattr(mixing, "SLOPES", (0.5, -0.5, 0.0))
-    other = mixing.op10_mixing(spark, sf).collect()
+    other = mixing.mix(small).collect()
     assert {(r.doc_id, r.taken) for r in other} == {(r.doc_id, r.taken) for r in got}
     assert [r.doc_id for r in other] != [r.doc_id for r in got]  # the schedule decides the order
 
