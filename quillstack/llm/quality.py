@@ -1,12 +1,17 @@
 """Quality rules: plain limits, then robust multivariate outliers of each language and source.
 
-Each text gives a vector of transformed statistics. For each language and source the centre and scatter of the densest
-half are estimated by minimum covariance determinant: concentration steps from a start at medians and absolute
-deviations, each of which keeps the half nearest by Mahalanobis distance and lowers the determinant. After a reweighting
-step, documents beyond a far quantile of chi-square are rejected.
-
-Everything is built-in Spark expressions. A step is one pass of sums and quantiles over the narrow statistics, combined
-before the shuffle, so a source with a third of the rows is no heavier than another; texts are read once to fit.
+Each text gives a vector of transformed statistics, and the variance that counting alone gives each of them in a text of
+its length. For each language and source the centre and scatter of the densest half are estimated by minimum covariance
+determinant (Rousseeuw and Van Driessen, 1999): concentration steps, each of which keeps the half nearest by Mahalanobis
+distance and lowers the determinant, from three deterministic starts (as Hubert, Rousseeuw and Verdonck, 2012). After two
+steps the start with the least determinant goes on until it settles. A reweighting step follows. Documents beyond a far
+quantile of chi-square are rejected.
+
+The same is done for each language and for the corpus, and estimates of few documents are shrunk towards the next wider
+one, so that there is no size at which the rule changes.
+
+Everything is built-in Spark expressions. Quantiles come from counts in bins, and moments from sums, both combined before
+the shuffle, so a source with a third of the rows is no heavier than another; texts are measured once.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import documents, stored, words
@@ -26,17 +32,19 @@ WINDOW = 8
 #: The limits of the base: fewer words, or a larger share of them in repeated windows, fail.
 LEAST_WORDS, MOST_REPEATED = 20, 0.30
 
-#: Each statistic with the standard deviation that is added to its scatter: where most texts agree to the digit, as they
-#: do in having no symbols, that alone says how far is far.
-FEATURES = {"ln_word_length": 0.12, "root_symbols": 0.15, "root_dup_lines": 0.15, "root_repeats": 0.12, "root_capitals": 0.08}
+FEATURES = ("ln_word_length", "root_symbols", "root_dup_lines", "root_repeats", "root_capitals")
+NOISE = tuple(f"{f}_noise" for f in FEATURES)
 P = len(FEATURES)
-#: The share of a group that the estimate rests on, its steps, the quantile kept in reweighting and that of rejection.
-HALF, STEPS, REWEIGHT, REJECT = 0.5, 4, 0.975, 1 - 1e-9
-#: Groups with fewer documents share one estimate for the language; with fewer than that there, nothing is rejected.
-LEAST_GROUP = 50
-#: Groups whose estimates are broadcast, of some 200 bytes each; beyond, they are joined like any table.
+#: The share of a group that the estimate rests on, the quantile kept in reweighting and that of rejection.
+HALF, REWEIGHT, REJECT = 0.5, 0.975, 1 - 1e-6
+#: Starts, steps of each, steps at most, and the change of the determinant's logarithm under which a group stops (cuts move by a bin).
+STARTS, FIRST_STEPS, STEPS, SETTLED = 3, 2, 12, 0.03
+#: An estimate counts as many documents as it has, the next wider one as so many.
+PRIOR = 50
+#: Groups whose estimates are broadcast, of some 300 bytes each; beyond, they are joined like any table.
 BROADCAST_ROWS = 50_000
-_ACCURACY = 2000
+#: Bins of one unit of a statistic, and of a doubling of the squared distance.
+BINS, BINS_OF_TWO = 256, 32
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -82,14 +90,15 @@ def _repeat_words(tokens: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), long(0)).otherwise(let(pairs, lambda p: _covered(places(p))))
 
     hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    windows = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
     return let(hashes, lambda h: F.when(F.size(h) < WINDOW, long(0)).otherwise(let(windows(h), count)))
 
 
 def with_statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the group and the FEATURES.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the group, the FEATURES and their NOISE.
 
-    A column of one of these names is replaced. A null text has no words.
+    The root of a rate of things, each of which counts u, among n has the variance u / 4n by counting alone; of the
+    logarithm of a mean of n lengths that spread by half their mean it is 1 / 4n. A column of one of these names is replaced. A null text has no words.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     length = F.length(body).cast("long")
@@ -103,23 +112,27 @@ def with_statistics(docs: DataFrame, text: str = "text", lang: str = "lang", sou
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         (length - without(_CAPITALS)).alias("capitals"),
     )
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_lang", "_source", *FEATURES]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_lang", "_source", *FEATURES, *NOISE]
     rest = [c for c in docs.columns if c not in own]
     df = docs.withColumn("_m", measured)
     m = F.col("_m")
-    n, chars = F.greatest(m["w"]["n_words"], long(1)), F.greatest(m["word_chars"], long(1))
+    n, chars, n_lines = F.greatest(m["w"]["n_words"], long(1)), F.greatest(m["word_chars"], long(1)), F.greatest(m["lines"]["n"], long(1))
+    noise = (1 / (4 * n), 1 / (4 * n), 1 / (4 * n_lines), 2 * WINDOW / (4 * n), 1 / (4 * chars))
     return df.select(
         *rest, m["w"]["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["lines"]["dup"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"),
         ((m["w"]["n_words"] < LEAST_WORDS) | (100 * m["w"]["n_repeat_words"] > round(100 * MOST_REPEATED) * m["w"]["n_words"])).alias("base_failed"),
         F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("_source"),
         F.ln(chars / n).alias("ln_word_length"), F.sqrt(m["n_symbols"] / n).alias("root_symbols"),
-        F.sqrt(m["lines"]["dup"] / F.greatest(m["lines"]["n"], long(1))).alias("root_dup_lines"),
+        F.sqrt(m["lines"]["dup"] / n_lines).alias("root_dup_lines"),
         F.sqrt(m["w"]["n_repeat_words"] / n).alias("root_repeats"), F.sqrt(m["capitals"] / chars).alias("root_capitals"),
+        *(v.alias(name) for v, name in zip(noise, NOISE)),
     )
 
 
-_GROUP = ["_lang", "_group"]
+_MEANS = [f"mean_{i}" for i in range(P)]
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_SCATTER = [f"c_{i}_{j}" for i, j in _PAIRS]
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -127,74 +140,170 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _distance(x: list[Column]) -> Column:
-    """The squared Mahalanobis distance, by forward substitution in the Cholesky factor l_ij."""
-    y: list[Column] = []
-    for i in range(P):
-        r = x[i] - F.col(f"mean_{i}")
-        for j in range(i):
-            r = r - F.col(f"l_{i}_{j}") * y[j]
-        y.append(r / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
-
-
-def _with_factor(moments: DataFrame, scale: float) -> DataFrame:
-    """Of means and covariances c_ij: the means and the Cholesky factor of the scaled scatter plus the floors."""
-    floors = list(FEATURES.values())
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.col(f"c_{i}_{j}") * scale + (floors[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return moments.select(*_GROUP, *(f"mean_{i}" for i in range(P)), *(f"l_{i}_{j}" for i in range(P) for j in range(i + 1)))
-
-
-def _moments(rows: DataFrame, x: list[Column], scale: float) -> DataFrame:
-    """The estimates from these rows, which have those before; sums are taken about the old centre."""
-    dev = [x[i] - F.col(f"mean_{i}") for i in range(P)]
-    sums = [F.count("*").alias("n"), *(F.first(f"mean_{i}").alias(f"old_{i}") for i in range(P)), *(F.sum(dev[i]).alias(f"s_{i}") for i in range(P))]
-    sums += [F.sum(dev[i] * dev[j]).alias(f"q_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    got = rows.groupBy(*_GROUP).agg(*sums)
-    mean = [(F.col(f"old_{i}") + F.col(f"s_{i}") / F.col("n")).alias(f"mean_{i}") for i in range(P)]
-    cov = [(F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / (F.col("n") * F.col("n"))).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    return stored(_with_factor(got.select(*_GROUP, *mean, *cov), scale))
-
-
-def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, estimates): which group a language and source belong to, and the estimates of each group.
+def _eliminated(state: Column, k: int) -> Column:
+    """The state (a_i_j, r_i, d, log_det) after elimination of variable k: d grows by the square of what is left of r_k over its variance."""
+    pivot = F.greatest(state[f"a_{k}_{k}"], F.lit(1e-12))
+    left = range(k + 1, P)
+    parts = [(state[f"a_{i}_{j}"] - state[f"a_{i}_{k}"] * state[f"a_{j}_{k}"] / pivot).alias(f"a_{i}_{j}") for i in left for j in left if j <= i]
+    parts += [(state[f"r_{i}"] - state[f"a_{i}_{k}"] * state[f"r_{k}"] / pivot).alias(f"r_{i}") for i in left]
+    return F.struct(*parts, (state["d"] + state[f"r_{k}"] * state[f"r_{k}"] / pivot).alias("d"), (state["log_det"] + F.ln(pivot)).alias("log_det"))
+
+
+def _solved(noise: list[Column], r: list[Column]) -> Column:
+    """(d, log_det) of deviations r in the scatter c_i_j with noise added to its diagonal: d is r' (c + noise)^-1 r."""
+    start = [((F.col(f"c_{i}_{j}") + noise[i]) if i == j else F.col(f"c_{i}_{j}")).alias(f"a_{i}_{j}") for i, j in _PAIRS]
+    state = F.struct(*start, *(x.alias(f"r_{i}") for i, x in enumerate(r)), F.lit(0.0).alias("d"), F.lit(0.0).alias("log_det"))
+
+    def after(state: Column, k: int) -> Column:
+        return let(_eliminated(state, k), lambda s: after(s, k + 1)) if k < P - 1 else _eliminated(state, k)
+
+    return let(state, lambda s: after(s, 0))
+
+
+def _with_distance(df: DataFrame) -> DataFrame:
+    """df (FEATURES, NOISE and an estimate) with `d`, the squared Mahalanobis distance in the scatter plus the noise."""
+    return df.withColumn("d", _solved([F.col(v) for v in NOISE], [F.col(f) - F.col(f"mean_{i}") for i, f in enumerate(FEATURES)])["d"])
+
+
+def _with_log_det(estimate: DataFrame) -> DataFrame:
+    """estimate with `log_det`, of the scatter plus the mean noise of the group."""
+    return estimate.withColumn("log_det", _solved([F.col(f"noise_{i}") for i in range(P)], [F.lit(0.0)] * P)["log_det"])
+
+
+def _cut(bins: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Of counts n of bins `at`: for each group, the bin in which the half is reached, as `cut`, and the share up to it."""
+    up_to = F.sum("n").over(W.partitionBy(*by).orderBy(at))  # a group has as many rows as it has bins
+    all_ = F.sum("n").over(W.partitionBy(*by))
+    reached = bins.select(*by, at, (up_to / all_).alias("share")).where(F.col("share") >= HALF)
+    return reached.groupBy(*by).agg(F.min(F.struct(at, "share")).alias("m")).select(*by, F.col(f"m.{at}").alias("cut"), F.col("m.share").alias("share"))
+
+
+def _wide(df: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
+    """df (…, feature, value) with a column for each feature."""
+    return df.groupBy(*by).agg(*(F.max(F.when(F.col("feature") == i, F.col(value))).alias(f"{name}_{i}") for i in range(P)))
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """(_key, med_i, mad_i), medians and median deviations to the width of a bin."""
+    x = F.array(*(F.floor(F.col(f) * BINS).cast("int") for f in FEATURES))
+    bins = stored(rows.select("_key", F.posexplode(x).alias("feature", "bin")).groupBy("_key", "feature", "bin").agg(F.count("*").alias("n")))
+    by = ["_key", "feature"]
+    middle = stored(_cut(bins, by, "bin").select(*by, F.col("cut").alias("middle")))
+    away = bins.join(middle, by).withColumn("away", F.abs(F.col("bin") - F.col("middle")))
+    spread = _cut(away.groupBy(*by, "away").agg(F.sum("n").alias("n")), by, "away")
+    med = _wide(middle.withColumn("middle", (F.col("middle") + 0.5) / BINS), ["_key"], "med", "middle")
+    return med.join(_wide(spread.withColumn("cut", F.col("cut") / BINS), ["_key"], "mad", "cut"), "_key")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(_key, start, noise_i, mean_i, c_i_j): medians, with scatters by deviations alone, by bounded values and by signs."""
+    sizes = rows.groupBy("_key").agg(*(F.avg(v).alias(f"noise_{i}") for i, v in enumerate(NOISE)))
+    middles = stored(sizes.join(_middles(rows), "_key"))
+    scale = [F.sqrt(F.pow(1.4826 * F.col(f"mad_{i}"), F.lit(2.0)) + F.col(f"noise_{i}")) for i in range(P)]
+    z = rows.join(_small(middles), "_key").select("_key", *((F.col(f) - F.col(f"med_{i}")) / scale[i] for i, f in enumerate(FEATURES))).toDF("_key", *(f"z_{i}" for i in range(P)))
+    square = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, P)), F.col("z_0") * F.col("z_0"))
+    z = z.withColumn("far", F.greatest(square, F.lit(1e-12)))
+    t = [F.tanh(f"z_{i}") for i in range(P)]
+    sums = [F.avg(t[i]).alias(f"t_{i}") for i in range(P)] + [F.avg(t[i] * t[j]).alias(f"tt_{i}_{j}") for i, j in _PAIRS]
+    sums += [F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("far")).alias(f"ss_{i}_{j}") for i, j in _PAIRS]
+    got = middles.join(z.groupBy("_key").agg(*sums), "_key")
+    spread = [F.greatest(F.col(f"tt_{i}_{i}") - F.col(f"t_{i}") * F.col(f"t_{i}"), F.lit(1e-12)) for i in range(P)]
+
+    def scatter(i: int, j: int) -> list[Column]:
+        plain = F.pow(1.4826 * F.col(f"mad_{i}"), F.lit(2.0)) if i == j else F.lit(0.0)
+        bounded = (F.col(f"tt_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}")) / F.sqrt(spread[i] * spread[j])
+        return [plain, bounded * scale[i] * scale[j], F.col(f"ss_{i}_{j}") * P * scale[i] * scale[j]]
+
+    every = F.array(*(F.struct(F.lit(s).alias("start"), *(scatter(i, j)[s].alias(f"c_{i}_{j}") for i, j in _PAIRS)) for s in range(STARTS)))
+    means = [F.col(f"med_{i}").alias(f"mean_{i}") for i in range(P)]
+    return got.select("_key", *(f"noise_{i}" for i in range(P)), *means, F.explode(every).alias("s")).select("_key", *(f"noise_{i}" for i in range(P)), *_MEANS, "s.*")
+
+
+def _moments(rows: DataFrame, by: list[str], share: Column) -> DataFrame:
+    """The estimates of rows, which have an estimate and `share`, the share of the group that they are; sums are taken about the old centre."""
+    dev = [F.col(f) - F.col(f"mean_{i}") for i, f in enumerate(FEATURES)]
+    sums = [F.count("*").alias("n"), F.first(share).alias("share"), *(F.first(f"noise_{i}").alias(f"noise_{i}") for i in range(P)), *(F.first(f"mean_{i}").alias(f"old_{i}") for i in range(P))]
+    sums += [F.avg(dev[i]).alias(f"s_{i}") for i in range(P)] + [F.avg(dev[i] * dev[j]).alias(f"q_{i}_{j}") for i, j in _PAIRS]
+    # the factor for each share of a hundredth
+    factors = F.array(*(F.lit(_consistency(k / 100)) for k in range(1, 100)), F.lit(1.0))
+    factor = F.element_at(factors, F.greatest(F.floor(F.col("share") * 100), F.lit(1)).cast("int"))
+    mean = [(F.col(f"old_{i}") + F.col(f"s_{i}")).alias(f"mean_{i}") for i in range(P)]
+    scatter = [((F.col(f"q_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}")) * factor).alias(f"c_{i}_{j}") for i, j in _PAIRS]
+    return rows.groupBy(*by).agg(*sums).select(*by, "n", *(f"noise_{i}" for i in range(P)), *mean, *scatter)
+
+
+def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """A concentration step from each estimate (_key, start, …)."""
+    by = ["_key", "start"]
+    near = _with_distance(rows.join(_small(estimate), "_key"))
+    near = near.withColumn("bin", F.floor(F.log2(F.greatest("d", F.lit(2.0**-30))) * BINS_OF_TWO).cast("int"))
+    cuts = stored(_cut(near.groupBy(*by, "bin").agg(F.count("*").alias("n")), by, "bin"))
+    inner = near.join(_small(cuts), by).where("bin <= cut")
+    return stored(_with_log_det(_moments(inner, by, F.col("share"))))
+
+
+def _determinant(rows: DataFrame) -> DataFrame:
+    """(_key, n, mean_i, c_i_j) of each group: the minimum-covariance-determinant estimates, reweighted."""
+    estimate = stored(_starts(rows))
+    for _ in range(FIRST_STEPS):
+        estimate = _step(rows, estimate)
+    best = estimate.groupBy("_key").agg(F.min(F.struct("log_det", "start")).alias("b")).select("_key", F.col("b.start").alias("start"))
+    moving = stored(estimate.join(best, ["_key", "start"]))
+    settled = moving.limit(0)
+    for _ in range(FIRST_STEPS, STEPS):
+        before = moving.select("_key", F.col("log_det").alias("before"))
+        moved = stored(_step(rows, moving).join(before, "_key").withColumn("still", F.abs(F.col("log_det") - F.col("before")) < SETTLED).drop("before"))
+        settled = settled.unionByName(moved.where("still").drop("still"))
+        moving = moved.where("NOT still").drop("still")
+        if moving.isEmpty():
+            break
+    estimate = stored(settled.unionByName(moving))
+    near = _with_distance(rows.join(_small(estimate), "_key")).where(F.col("d") <= chi2_quantile(REWEIGHT, P))
+    return stored(_moments(near, ["_key"], F.lit(REWEIGHT)))
+
+
+_CORPUS = "all"
+
+
+def _keys(lang: str = "_lang", source: str = "_source") -> list[Column]:
+    """The keys of a row's language and source, of its language, and of the corpus."""
+    wider = F.concat(F.lit("lang:"), F.col(lang))
+    return [F.concat(wider, F.lit("\1source:"), F.col(source)), wider, F.lit(_CORPUS)]
+
+
+def _shrunk(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """own (_key, _wider, n, estimate), drawn to the estimates of wider (_key, estimate)."""
+    part = F.col("n") / (F.col("n") + PRIOR)
+    other = wider.select(F.col("_key").alias("_wider"), *(F.col(c).alias(f"w_{c}") for c in (*_MEANS, *_SCATTER)))
+    joined = own.join(other, "_wider")
+    return joined.select("_key", *((F.col(c) * part + F.col(f"w_{c}") * (1 - part)).alias(c) for c in (*_MEANS, *_SCATTER)))
+
+
+def fit(stats: DataFrame) -> DataFrame:
+    """(_lang, _source, mean_i, c_i_j): the estimates of each language and source.
 
     stats: with_statistics of the documents to learn from, stored. Those that fail the base don't count.
     """
-    good = stats.where(~F.col("base_failed")).select("_lang", "_source", *FEATURES)
-    sizes = good.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    own = F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("="), "_source")).otherwise("rest")
-    groups = stored(sizes.select("_lang", "_source", own.alias("_group")))
-    rows = good.join(_small(groups), ["_lang", "_source"])
-    x = [F.col(f) for f in FEATURES]
-    middle = stored(rows.groupBy(*_GROUP).agg(F.count("*").alias("n"), *(F.percentile_approx(f, F.lit(0.5), F.lit(_ACCURACY)).alias(f"mean_{i}") for i, f in enumerate(FEATURES))).where(F.col("n") >= LEAST_GROUP))
-    spread = rows.join(_small(middle), _GROUP).groupBy(*_GROUP).agg(
-        *(F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(P)),
-        *(F.percentile_approx(F.abs(x[i] - F.col(f"mean_{i}")), F.lit(0.5), F.lit(_ACCURACY)).alias(f"mad_{i}") for i in range(P)),
-    )
-    start = [(F.pow(1.4826 * F.col(f"mad_{i}"), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    estimate = stored(_with_factor(spread.select(*_GROUP, *(f"mean_{i}" for i in range(P)), *start), 1.0))
-    for _ in range(STEPS):
-        with_distance = rows.join(_small(estimate), _GROUP).withColumn("d", _distance(x))
-        cuts = stored(with_distance.groupBy(*_GROUP).agg(F.percentile_approx("d", F.lit(HALF), F.lit(_ACCURACY)).alias("cut")))
-        estimate = _moments(with_distance.join(_small(cuts), _GROUP).where("d <= cut"), x, _consistency(HALF))
-    near = rows.join(_small(estimate), _GROUP).withColumn("d", _distance(x)).where(F.col("d") <= chi2_quantile(REWEIGHT, P))
-    return groups, _moments(near, x, _consistency(REWEIGHT))
-
-
-def judge(stats: DataFrame, groups: DataFrame, estimates: DataFrame, reject: float = REJECT) -> DataFrame:
+    good = stats.where(~F.col("base_failed")).select("_lang", "_source", *FEATURES, *NOISE)
+    rows = good.select(F.explode(F.array(*_keys())).alias("_key"), *FEATURES, *NOISE)
+    found = _determinant(rows)
+    groups = stored(good.select("_lang", "_source").distinct())
+    narrow, lang, all_ = _keys()
+    corpus = found.where(F.col("_key") == _CORPUS)
+    langs = groups.select(lang.alias("_key")).distinct().withColumn("_wider", F.lit(_CORPUS))
+    langs = stored(_shrunk(found.join(langs, "_key"), corpus))
+    sources = groups.select(narrow.alias("_key"), lang.alias("_wider"))
+    sources = _shrunk(found.join(sources, "_key"), langs)
+    return stored(groups.withColumn("_key", narrow).join(sources, "_key").drop("_key"))
+
+
+def judge(stats: DataFrame, estimates: DataFrame, reject: float = REJECT) -> DataFrame:
     """stats with `distance`, squared, null without an estimate, and `kept`; without the helper columns."""
-    cut = chi2_quantile(reject, P)
     own = [c for c in stats.columns if c not in ("distance", "kept")]
-    rows = stats.select(*own).join(_small(groups), ["_lang", "_source"], "left").join(_small(estimates), _GROUP, "left")
-    d = _distance([F.col(f) for f in FEATURES])
-    rest = [c for c in own if c not in ("_lang", "_source", "_group", "_m", *FEATURES)]
-    return rows.select(*rest, d.alias("distance"), (~F.col("base_failed") & F.coalesce(d <= cut, F.lit(True))).alias("kept"))
+    rows = _with_distance(stats.select(*own).join(_small(estimates), ["_lang", "_source"], "left"))
+    rest = [c for c in own if c not in ("_lang", "_source", "_m", *FEATURES, *NOISE)]
+    inside = F.coalesce(F.col("d") <= chi2_quantile(reject, P), F.lit(True))
+    return rows.select(*rest, F.col("d").alias("distance"), (~F.col("base_failed") & inside).alias("kept"))
 
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -203,24 +312,23 @@ _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """A row for each row of docs: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    Null texts have no words and fail. Null languages and sources are groups like others. Groups of under LEAST_GROUP
-    documents share an estimate within their language; where that has too few as well, the base alone decides. Rows that
+    Null texts have no words and fail. Null languages and sources are groups like others. A group of few documents has
+    nearly the estimate of its language, and that of the corpus where the language has few as well. Rows that
     repeat get one verdict; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), F.col(lang).alias("_l"), F.col(source).alias("_s"))
     stats = stored(with_statistics(rows, "_text", "_l", "_s").drop("_text", "_l", "_s"))
-    return judge(stats, *fit(stats)).select("doc_id", *_BASE, "kept", "distance")
+    return judge(stats, fit(stats)).select("doc_id", *_BASE, "kept", "distance")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that quality keeps, with their columns as they are.
 
-    The statistics to fit are stored without texts; the texts are then judged where they lie, in a second reading.
+    Texts are measured once and stored with their statistics; the fit reads the statistics alone.
     """
-    narrow = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_l"), F.col(source).alias("_s"))
-    estimates = fit(stored(with_statistics(narrow, "_text", "_l", "_s").drop("_text", "_l", "_s")))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_l"), F.col(source).alias("_s"))
-    return judge(with_statistics(whole, "_text", "_l", "_s"), *estimates).where("kept").select("_row.*")
+    stats = stored(with_statistics(whole, "_text", "_l", "_s").drop("_text", "_l", "_s"))
+    return judge(stats, fit(stats)).where("kept").select("_row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

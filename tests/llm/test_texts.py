@@ -195,16 +195,89 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert {i for i, k in got.items() if not k} == junk
 
 
-def test_estimate_is_close_to_numpy(spark):
-    """Of plain normal data, centre and scatter come out as those of all rows, but for the floors."""
+def plain_distance(x, noise, mean, scatter):
+    r = x - mean
+    return np.array([d @ np.linalg.solve(scatter + np.diag(v), d) for d, v in zip(r, noise)])
+
+
+def plain_mcd(x, noise, rng):
+    """(rows, mean, scatter) by concentration from random starts, with exact quantiles; the least determinant counts."""
+    p, best = x.shape[1], None
+    factor = lambda q: q / quality.chi2_cdf(quality.chi2_quantile(q, p), p + 2)
+    for _ in range(12):
+        start = x[rng.choice(len(x), min(len(x), 3 * p), replace=False)]
+        mean, scatter, before = start.mean(axis=0), np.cov(start.T, bias=True).reshape(p, p), None
+        for _ in range(30):
+            d = plain_distance(x, noise, mean, scatter)
+            inner = x[d <= np.sort(d)[(len(d) - 1) // 2]]
+            mean, scatter = inner.mean(axis=0), np.cov(inner.T, bias=True).reshape(p, p) * factor(len(inner) / len(x)) if len(inner) < len(x) else np.zeros((p, p))
+            now = np.linalg.slogdet(scatter + np.diag(noise.mean(axis=0)))[1]
+            if before is not None and abs(now - before) < 1e-9:
+                break
+            before = now
+        if best is None or now < best[0]:
+            best = now, mean, scatter
+    inner = x[plain_distance(x, noise, *best[1:]) <= quality.chi2_quantile(0.975, p)]
+    return len(inner), inner.mean(axis=0), np.cov(inner.T, bias=True).reshape(p, p) * factor(0.975)
+
+
+def test_verdicts_are_those_of_an_independent_estimate(spark):
+    """On the table of a thousand documents: NumPy, random starts and exact quantiles give the same languages' estimates and verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = quality.with_statistics(docs).drop("text").toPandas()
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    good = stats[~stats.base_failed].reset_index(drop=True)
+    x, noise = good[list(quality.FEATURES)].to_numpy(), good[list(quality.NOISE)].to_numpy()
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(3000, quality.P)) @ np.diag([3, 2, 1, 4, 5.0])
-    df = spark.createDataFrame([(False, "en", "s", *map(float, r)) for r in x], "base_failed boolean, _lang string, _source string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
-    _, estimate = quality.fit(df)
-    (e,) = estimate.collect()
-    low = np.array([[e[f"l_{i}_{j}"] if j <= i else 0 for j in range(quality.P)] for i in range(quality.P)])
-    assert np.allclose(np.diag(low @ low.T), np.cov(x.T).diagonal(), rtol=0.15)
-    assert np.allclose([e[f"mean_{i}"] for i in range(quality.P)], x.mean(axis=0), atol=0.4)
+
+    def shrunk(own, wider):
+        w = own[0] / (own[0] + quality.PRIOR)
+        return w * own[1] + (1 - w) * wider[0], w * own[2] + (1 - w) * wider[1]
+
+    corpus, want = plain_mcd(x, noise, rng)[1:], {}
+    for _, at in good.groupby("_lang").indices.items():
+        lang = shrunk(plain_mcd(x[at], noise[at], rng), corpus)
+        for _, inside in good.iloc[at].groupby("_source").indices.items():
+            own = at[inside]
+            estimate = shrunk(plain_mcd(x[own], noise[own], rng), lang)
+            want |= dict(zip(good.doc_id[own], plain_distance(x[own], noise[own], *estimate)))
+    cut = quality.chi2_quantile(quality.REJECT, quality.P)
+    assert set(want) == {i for i, r in got.items() if not r.base_failed}
+    assert sum(d > cut for d in want.values()) > 40
+    differ = [i for i, d in want.items() if got[i].kept != (d <= cut)]
+    assert len(differ) <= 2 and all(0.7 < want[i] / cut < 1.4 for i in differ), differ
+    near = [(got[i].distance, d) for i, d in want.items() if d < cut]
+    assert np.corrcoef(np.array(near).T)[0, 1] > 0.95
+
+
+def test_estimate_of_plain_normal_data(spark):
+    """Centre and scatter come out as those of all rows, and a small group is drawn to the rest."""
+    rng = np.random.default_rng(8)
+    mix = np.array([[0.3, 0, 0, 0, 0], [0.2, 0.2, 0, 0, 0], [0, 0.1, 0.3, 0, 0], [0, 0, -0.2, 0.4, 0], [0.1, 0, 0, 0, 0.5]])
+    x = rng.normal(size=(6000, quality.P)) @ mix.T + 2
+    names = ", ".join(f"{f} double" for f in (*quality.FEATURES, *quality.NOISE))
+    rows = [(False, "en", "s", *map(float, r), *[1e-4] * quality.P) for r in x] + [(False, "en", "few", *[9.0] * quality.P, *[1e-4] * quality.P)] * 3
+    found = {r._source: r for r in quality.fit(spark.createDataFrame(rows, f"base_failed boolean, _lang string, _source string, {names}")).collect()}
+    e = found["s"]
+    scatter = np.array([[e[f"c_{max(i, j)}_{min(i, j)}"] for j in range(quality.P)] for i in range(quality.P)])
+    assert np.allclose(scatter, np.cov(x.T), atol=0.04) and np.allclose([e[f"mean_{i}"] for i in range(quality.P)], x.mean(axis=0), atol=0.05)
+    few = [found["few"][f"mean_{i}"] for i in range(quality.P)]
+    assert np.allclose(few, 3 / 53 * 9 + 50 / 53 * x.mean(axis=0), atol=0.05)
+
+
+def test_each_statistic_alone_rejects_at_an_extreme(spark):
+    """A long text of nothing but equal lines, of symbols or of capitals, among clean ones; and clean short texts with one symbol stay."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line(rng.randint(5, 40)) for _ in range(rng.randint(2, 12)))) for i in range(400)]
+    few = [line(2) for _ in range(12)]
+    rows += [(1000, "\n".join(rng.choice(few) for _ in range(150))), (1001, line(300).upper()), (1002, line(300).replace(" ", " # "))]
+    rows += [(2000 + i, line(24) + " #") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001, 1002))
+    assert all(got[i].kept for i in (*range(400), *range(2000, 2020)) if not got[i].base_failed)
 
 
 # --- op9
