@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import documents
-from quillstack.llm.spans import let, matches
+from quillstack.llm.spans import let, matches, no_matches
 
 #: Findings to train from, trees and their depth.
 FINDINGS, TREES, DEPTH = 6000, 24, 6
@@ -128,16 +128,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """(doc_id, start, end, found, before, after, path) of each candidate of each text."""
     body = F.coalesce(F.col(text), F.lit(""))
     may = body.rlike(r"[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9]|[:=]|[0-9]{16}|-----BEGIN|A[KS]IA[A-Z]{16}|gh[pousr]_|xox[abprs]-|sk_live_|eyJ")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), body.alias("body"), F.when(may, matches(body, PATTERN)).otherwise(none).alias("all"))
+    far = 2 * _ALIGNED + _NEAR  # alignment counts as two blanks, so that the name is near
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), F.when(may, matches(body, PATTERN, far)).otherwise(no_matches()).alias("all"))
 
     def around(m: Column) -> Column:
-        # alignment counts as two blanks, so that the name is near
-        far = 2 * _ALIGNED + _NEAR
-        start = F.greatest(m["start"] - far + 1, F.lit(1).cast("long")).cast("int")
-        before = F.substring(F.col("body"), start, F.least(m["start"], F.lit(far).cast("long")).cast("int"))
-        before = F.substring(F.regexp_replace(before, r"[ \t]{3,}", "  "), -_NEAR, _NEAR)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), before.alias("before"), F.substring(F.col("body"), (m["end"] + 1).cast("int"), F.lit(_NEAR)).alias("after"))
+        before = F.right(F.regexp_replace(m["before"], r"[ \t]{3,}", "  "), F.lit(_NEAR))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), before.alias("before"), F.left(m["after"], F.lit(_NEAR)).alias("after"))
 
     return rows.where(F.size("all") > 0).select("doc_id", "path", F.explode(F.transform("all", around)).alias("c")).select("doc_id", "path", "c.*")
 
