@@ -117,11 +117,40 @@ def test_encoding_of_random_text():
 # --- op5
 
 
-def test_forest_on_held_out_findings(spark):
-    every = secrets.labelled_findings(spark, 4000).withColumn("n", F.pmod(F.xxhash64("found", "before"), F.lit(4)))
-    model = secrets.train(every.where("n > 0").drop("n"))
-    held = model.transform(secrets._vectors(every.where("n = 0").drop("n"))).select("label", "prediction").collect()
-    assert len(held) > 500 and np.mean([r.label == r.prediction for r in held]) > 0.95
+def test_forest_on_held_out_families(spark):
+    """Each family of findings is judged by a forest that saw none of it."""
+    every = secrets.labelled_findings(spark, 4000).cache()
+    words = "with from this that have they were been their which when there would about other into could than first time".split()
+    figures = {}
+    for left_out in (["assigned base64", "revision"], ["assigned hex", "uuid"], ["password", "path"], ["cloud key id", "number"], ["web token", "slug"], ["prefixed token", "digest"]):
+        model = secrets.train(every.where(~F.col("family").isin(left_out)), words)
+        held = model.transform(secrets._vectors(every.where(F.col("family").isin(left_out)), words)).select("family", "label", "prediction").collect()
+        for f in left_out:
+            figures[f] = np.mean([r.label == r.prediction for r in held if r.family == f])
+    # of two families of secrets about half are missed when nothing like them was labelled; no other family is taken for one
+    assert np.mean(list(figures.values())) > 0.85 and min(figures.values()) > 0.4, figures
+    assert all(figures[f] > 0.95 for f in ("revision", "uuid", "path", "number", "slug", "digest")), figures
+
+
+def test_planted_secrets_of_the_table(spark):
+    """The table's own secrets stand after `token = `; its other candidates are numbers, copies of cards among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer('token = "([0-9a-f]{40})"', r.text or "")}
+    got = {(r.doc_id, r.start, r.end): r.secret for r in secrets.scan(docs).collect()}
+    found = {k for k, secret in got.items() if secret}
+    assert len(want) > 5 and len(want & found) >= 0.9 * len(want) and len(want & found) >= 0.9 * len(found)
+
+
+def test_candidates_are_all_that_the_patterns_match(spark, small, awkward):
+    """Against another engine for the same patterns, on tables and on hard texts."""
+    import regex
+
+    hard = ["-----BEGIN PRIVATE KEY-----\nMIIE-x\n-----END PRIVATE KEY----- and -----BEGIN RSA PRIVATE KEY-----\nnever ends", "a" * 50_000 + "1", "x=" * 5000, "key=" + "Q" * 20_000, "token:\t\t\tabcdef1 é\U0001f600secret='q1w2e3r4'", "k" * 15 + "1 " + "k" * 16 + "1"]
+    docs = [(r.doc_id, r.text) for r in small.collect()] + [(r.doc_id, r.text) for r in awkward.collect()] + list(enumerate(hard))
+    pattern = regex.compile(secrets.PATTERN)
+    want = Counter((i, m.start(), m.end(), m[0]) for i, t in docs for m in pattern.finditer(t or ""))
+    got = secrets.candidates(spark.createDataFrame([(i, t, None) for i, t in docs], "doc_id long, text string, source string")).collect()
+    assert Counter((r.doc_id, r.start, r.end, r.found) for r in got) == want and len(want) > 8
 
 
 def test_secret_scan(spark, awkward):
@@ -133,7 +162,8 @@ def test_secret_scan(spark, awkward):
     assert got[(1, 4, 24)] and got[(2, 9, 49)] and got[(4, 9, 27)]
     assert not got[(3, 7, 47)] and not got[(7, 3, 39)]
     assert not any(k[0] in (5, 6) for k in got)
-    assert secrets.scan(awkward).count() >= 0
+    found = secrets.scan(awkward).collect()
+    assert {(r.doc_id, r.end - r.start) for r in found} == set()
 
 
 def test_secrets_are_found_whole(spark):
