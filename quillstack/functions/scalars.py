@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,6 +69,12 @@ def tx_hash(account: Column, booking_date: Column, amount: Column, counterparty:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts)), 256)
 
 
+def statement_tx_hash(account_hash: Column, booking_date: Column, amount: Column, purpose: Column) -> Column:
+    """The digest of a booking entered by hand or read from a statement: the account's hash, date, amount and purpose."""
+    parts = [F.coalesce(F.nullif(account_hash, F.lit("")), F.lit("no-iban")), F.coalesce(booking_date, F.lit("")), amount.cast("decimal(18,2)").cast("string"), F.coalesce(purpose, F.lit(""))]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
 def slug(c: Column, longest: int = 60) -> Column:
     """Lower-case ASCII words joined by hyphens; umlauts are written out."""
     t = F.lower(c)
@@ -134,21 +140,35 @@ def display_eur(usd: Column) -> Column:
     return F.format_string("%.4f €", usd * EUR_PER_USD)
 
 
-#: (provider, model prefix, dollars per million input and output tokens), the first match wins. Our own example table.
+#: (provider, model prefix, dollars per million input and output tokens), the first match wins. Public list prices (fixed values).
 PRICES = [
-    ("anthropic", "claude-haiku", 1.0, 5.0),
-    ("anthropic", "claude-sonnet", 3.0, 15.0),
-    ("anthropic", "claude-opus", 15.0, 75.0),
-    ("openai", "gpt-4o-mini", 0.15, 0.6),
-    ("openai", "gpt-4o", 2.5, 10.0),
-    ("local", "", 0.0, 0.0),
+    ("anthropic", "claude-haiku-4-5", 1.0, 5.0),
+    ("anthropic", "claude-sonnet-4-6", 3.0, 15.0),
+    ("anthropic", "claude-opus-4-7", 15.0, 75.0),
+    ("anthropic", "claude-3-5-haiku", 0.80, 4.0),
+    ("anthropic", "claude-3-5-sonnet", 3.0, 15.0),
+    ("openai", "gpt-4o-mini", 0.15, 0.60),
+    ("openai", "gpt-4o", 2.50, 10.0),
+    ("openai", "gpt-4.1-mini", 0.40, 1.60),
+    ("openai", "gpt-4.1", 2.0, 8.0),
+    ("openai", "o4-mini", 1.10, 4.40),
+    ("gemini", "gemini-1.5-flash", 0.075, 0.30),
+    ("gemini", "gemini-1.5-pro", 1.25, 5.0),
+    ("gemini", "gemini-2.0-flash", 0.10, 0.40),
+    ("gemini", "gemini-2.5-flash", 0.075, 0.30),
+    ("gemini", "gemini-2.5-pro", 1.25, 5.0),
 ]
-#: What cached tokens cost, as a multiple of input tokens, by provider: written, read.
+#: What cached tokens cost, as a multiple of input tokens, by provider: written, read (fixed values).
 CACHE = {"anthropic": (1.25, 0.1), "openai": (1.0, 0.5)}
 
 
+def pricing(spark: SparkSession) -> DataFrame:
+    """PRICES as a table: provider, model, input_per_mtok, output_per_mtok, place. A model is priced by the row of least place that its name begins with."""
+    return spark.createDataFrame([(*row, i) for i, row in enumerate(PRICES)], "provider string, model string, input_per_mtok double, output_per_mtok double, place int")
+
+
 def token_cost(provider: Column, model: Column, tokens_in: Column, tokens_out: Column, written: Column, read: Column, prices: list[tuple] = PRICES) -> Column:
-    """Dollars for a call. The first row of the provider whose prefix starts the model's name prices it; none: 0."""
+    """Dollars for a call. The first row of the provider whose prefix starts the model's name prices it; without one, as for local models, it is 0."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
     out = None
     for name, prefix, price_in, price_out in prices:

@@ -64,7 +64,7 @@ def page(a: Archive, f: TransactionFilter, limit: int = 200, offset: int = 0) ->
     """Newest first, with the account's display columns. The page is cut before the accounts are joined."""
     rows = live_transactions(a).where(f.test()).orderBy(F.desc("booking_date"), F.desc("id")).offset(offset).limit(limit)
     accounts = a.accounts.select(F.col("id").alias("account_id"), "bank_name", "iban_last4")
-    return rows.join(accounts, "account_id", "left").select("id", "booking_date", F.col("amount").cast("double").alias("amount"), "counterparty", "purpose", "category", "account_id", "doc_id", "bank_name", "iban_last4")
+    return rows.join(accounts, "account_id", "left").orderBy(F.desc("booking_date"), F.desc("id")).select("id", "booking_date", F.col("amount").cast("double").alias("amount"), "counterparty", "purpose", "category", "account_id", "doc_id", "bank_name", "iban_last4")
 
 
 def totals(a: Archive, f: TransactionFilter) -> DataFrame:
@@ -83,9 +83,9 @@ def top(a: Archive, f: TransactionFilter, direction: str = "expense", n: int = 1
 
 
 def months(a: Archive, f: TransactionFilter, limit: int = 36) -> DataFrame:
-    """The newest months with bookings, without filling gaps."""
+    """The newest months with bookings, oldest first, without filling gaps."""
     rows = live_transactions(a).where(f.test()).where("booking_date IS NOT NULL AND booking_date <> ''")
-    return rows.groupBy(MONTH().alias("month")).agg(_in().alias("sum_in"), _out().alias("sum_out"), F.count("*").alias("n")).orderBy(F.desc("month")).limit(limit)
+    return rows.groupBy(MONTH().alias("month")).agg(_in().alias("sum_in"), _out().alias("sum_out"), F.count("*").alias("n")).orderBy(F.desc("month")).limit(limit).orderBy("month")
 
 
 def categories(a: Archive, f: TransactionFilter) -> DataFrame:

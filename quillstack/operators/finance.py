@@ -85,7 +85,7 @@ def monthly(a: Archive, months: int | None = None) -> DataFrame:
     day = F.try_to_date(F.concat("month", F.lit("-01")), "yyyy-MM-dd")
     ends = rows.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first IS NOT NULL")
     spine = ends.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
-    return spine.join(rows, "month", "left").na.fill({"income": 0.0, "expense": 0.0, "n": 0})
+    return spine.join(rows, "month", "left").na.fill({"income": 0.0, "expense": 0.0, "n": 0}).orderBy("month")
 
 
 def top_counterparties(a: Archive, direction: str = "expense", limit: int = 15) -> DataFrame:
@@ -165,6 +165,11 @@ def category_matrix(a: Archive, categories: list[str], start: str | None = None,
     return category_monthly(a, start, end).groupBy("month").pivot("category", categories).agg(F.sum("spend")).na.fill(0.0)
 
 
+def statement_by_file(a: Archive, file_hash: str) -> DataFrame:
+    """The statement that was read from a file, the newest of several."""
+    return a.statements.where(F.col("file_hash") == file_hash).orderBy(F.desc("id")).limit(1)
+
+
 def _spine(a: Archive, name: str, first: int, last: int) -> DataFrame:
     return a.accounts.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias(name))
 
@@ -190,7 +195,7 @@ def by_tx_type(a: Archive) -> DataFrame:
 def largest(a: Archive, limit: int = 15) -> DataFrame:
     top = _own(live_transactions(a)).orderBy(F.desc(F.abs("amount")), "id").limit(limit)
     accounts = a.accounts.select(F.col("id").alias("account_id"), "bank_name", "iban_last4")
-    return top.join(accounts, "account_id", "left").select("id", "booking_date", F.col("amount").cast("double").alias("amount"), "counterparty", "category", "purpose", "doc_id", "bank_name", "iban_last4")
+    return top.join(accounts, "account_id", "left").orderBy(F.desc(F.abs("amount")), "id").select("id", "booking_date", F.col("amount").cast("double").alias("amount"), "counterparty", "category", "purpose", "doc_id", "bank_name", "iban_last4")
 
 
 def anchors(a: Archive) -> DataFrame:

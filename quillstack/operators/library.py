@@ -16,7 +16,7 @@ DATE = lambda: F.coalesce(F.nullif(F.col("doc_date"), F.lit("")), F.col("created
 #: What a listing can be sorted by.
 ORDERS = {
     "doc_date": DATE, "created_at": lambda: F.col("created_at"), "category": lambda: ascii_lower(F.col("category")), "sender": lambda: ascii_lower(F.col("sender")),
-    "subject": lambda: ascii_lower(F.col("subject")), "file_size": lambda: F.col("file_size"), "status": lambda: F.col("status"), "confidence": lambda: F.col("confidence"),
+    "page_count": lambda: F.col("page_count"), "subject": lambda: ascii_lower(F.col("subject")), "file_size": lambda: F.col("file_size"), "status": lambda: F.col("status"), "confidence": lambda: F.col("confidence"),
 }
 
 
@@ -50,20 +50,20 @@ class DocumentFilter:
         return all_of(tests)
 
 
-def _sorted(order_by: str, direction: str) -> list[Column]:
+def sort_columns(order_by: str, direction: str) -> list[Column]:
     key = ORDERS.get(order_by, DATE)()
     return [key.asc() if direction == "asc" else key.desc(), F.desc("id")]
 
 
 def listing(a: Archive, f: DocumentFilter = DocumentFilter(), trash: bool = False, order_by: str = "doc_date", direction: str = "desc", limit: int = 200, offset: int = 0) -> DataFrame:
     """A page of the library. An order that isn't known is the date's; equals come newest id first."""
-    return library(a, trash).where(f.test()).orderBy(*_sorted(order_by, direction)).offset(offset).limit(limit)
+    return library(a, trash).where(f.test()).orderBy(*sort_columns(order_by, direction)).offset(offset).limit(limit)
 
 
 def siblings(a: Archive, doc_id: int, f: DocumentFilter = DocumentFilter(), order_by: str = "doc_date", direction: str = "desc", limit: int = 5000) -> DataFrame:
     """position, total, prev_id (the older), next_id (the newer) of a document in the first rows of a listing."""
     rows = listing(a, f, order_by=order_by, direction=direction, limit=limit).select("id", DATE().alias("key"), *[c for c in ("category", "sender", "subject", "file_size", "status", "created_at", "doc_date") if c in a.documents.columns])
-    w = W.orderBy(*_sorted(order_by, direction))  # of `limit` rows
+    w = W.orderBy(*sort_columns(order_by, direction))  # of `limit` rows
     placed = rows.select("id", F.row_number().over(w).alias("position"), F.count("*").over(W.partitionBy()).alias("total"), F.lead("id").over(w).alias("prev_id"), F.lag("id").over(w).alias("next_id"))
     return placed.where(F.col("id") == doc_id)
 
@@ -78,11 +78,13 @@ def totals(a: Archive) -> DataFrame:
 
 
 def counts_by(a: Archive, column: str) -> DataFrame:
-    return library(a).groupBy(column).agg(F.count("*").alias("n"), _cost())
+    """A row for each value, the most frequent first."""
+    return library(a).groupBy(column).agg(F.count("*").alias("n"), _cost()).orderBy(F.desc("n"), column)
 
 
 def by_month(a: Archive, months: int = 12) -> DataFrame:
-    return library(a).groupBy(F.substring("created_at", 1, 7).alias("month")).agg(F.count("*").alias("n"), _cost()).orderBy(F.desc("month")).limit(months)
+    """The newest months, oldest first."""
+    return library(a).groupBy(F.substring("created_at", 1, 7).alias("month")).agg(F.count("*").alias("n"), _cost()).orderBy(F.desc("month")).limit(months).orderBy("month")
 
 
 def count(a: Archive, f: DocumentFilter = DocumentFilter(), trash: bool = False) -> DataFrame:
@@ -90,7 +92,8 @@ def count(a: Archive, f: DocumentFilter = DocumentFilter(), trash: bool = False)
 
 
 def years(a: Archive) -> DataFrame:
-    return library(a).where("doc_date <> ''").select(F.substring("doc_date", 1, 4).alias("year")).distinct()
+    """The years of documents, newest first."""
+    return library(a).where("doc_date <> ''").select(F.substring("doc_date", 1, 4).alias("year")).distinct().orderBy(F.desc("year"))
 
 
 def tree(a: Archive) -> DataFrame:
@@ -100,7 +103,8 @@ def tree(a: Archive) -> DataFrame:
 
 
 def tags(a: Archive, trash: bool = False) -> DataFrame:
-    return library(a, trash).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("count"))
+    """Tags with their counts, the most frequent first."""
+    return library(a, trash).select(F.explode("tags").alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
 
 
 def duplicate_groups(a: Archive) -> DataFrame:
@@ -137,9 +141,9 @@ def dashboard(a: Archive, today: str) -> DataFrame:
 
 
 def feed(a: Archive, statuses: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """The newest documents by the moment they were scanned, of some statuses."""
+    """The newest documents by the moment they were scanned, of some statuses; those without a valid one last."""
     rows = library(a) if statuses is None else library(a).where(F.col("status").isin(statuses))
-    return rows.orderBy(F.desc(F.to_timestamp_ntz(F.col("created_at"))), F.desc("id")).limit(limit).select("id", "filename", "status", "created_at")
+    return rows.orderBy(F.desc(F.col("created_at").try_cast("timestamp_ntz")), F.desc("id")).limit(limit).select("id", "filename", "status", "created_at")
 
 
 def without_receipt(a: Archive, categories: list[str]) -> DataFrame:
@@ -167,6 +171,11 @@ def latest_by_hash(a: Archive, digest: str) -> DataFrame:
     return a.documents.where((F.col("content_hash") == digest) & F.col("deleted_at").isNull()).orderBy(F.desc("id")).limit(1).select("id", "content_hash")
 
 
+def by_id(a: Archive, doc_id: int) -> DataFrame:
+    """The document of an id, in the trash or not."""
+    return a.documents.where(F.col("id") == doc_id)
+
+
 def with_collision_suffix(rows: DataFrame, path: str = "library_path") -> DataFrame:
     """rows with `final_path`: the second and later holders of a path get -2, -3 before the suffix."""
     place = F.row_number().over(W.partitionBy(path).orderBy("id"))

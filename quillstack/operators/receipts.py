@@ -41,7 +41,7 @@ def by_item_category(a: Archive) -> DataFrame:
 
 def monthly(a: Archive, months: int = 12) -> DataFrame:
     rows = live_receipts(a).where("receipt_date <> ''").groupBy(F.substring("receipt_date", 1, 7).alias("month")).agg(F.count("*").alias("receipts"), _money("total_amount").alias("total"))
-    return rows.orderBy(F.desc("month")).limit(months)
+    return rows.orderBy(F.desc("month")).limit(months).orderBy("month")  # the newest, oldest first
 
 
 def _dates(rows: DataFrame, start: str | None, end: str | None) -> DataFrame:
@@ -79,9 +79,12 @@ def top_items(a: Archive, limit: int = 10) -> DataFrame:
 
 
 def misfiled(a: Archive, promotable: list[str], limit: int = 200, least: int = 2, most_blockers: int = 2) -> DataFrame:
-    """Documents of other categories that look like receipts: most signals first, among the newest 5 * limit."""
-    rows = live_documents(a).where(F.col("category").isin(promotable)).orderBy(F.desc("created_at"), F.desc("id")).limit(5 * limit)
+    """Documents of other categories whose text looks like a receipt, among the newest 5 * limit with a text: newest first.
+
+    Those that have a receipt already are left out.
+    """
+    rows = live_documents(a).where(F.col("category").isin(promotable)).where("extracted_text <> ''").orderBy(F.desc("id")).limit(5 * limit)
     rows = rows.join(a.receipts.select(F.col("doc_id").alias("id")), "id", "left_anti")
     rows = rows.withColumn("signals", signal_names(F.col("extracted_text"), SIGNALS)).withColumn("blockers", F.size(signal_names(F.col("extracted_text"), BLOCKERS)))
     rows = rows.withColumn("signal_count", F.size("signals")).where((F.col("signal_count") >= least) & (F.col("blockers") < most_blockers))
-    return rows.orderBy(F.desc("signal_count"), "id").limit(limit).select("id", "category", "subject", "signals", "signal_count")
+    return rows.orderBy(F.desc("id")).limit(limit).select("id", "category", "subject", "signals", "signal_count")

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-import math
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.operators.library import library
+from quillstack.operators.library import ORDERS, DocumentFilter, library, sort_columns
 from quillstack.plans.archive import Archive
 
 FIELDS = ("filename", "sender", "subject", "reasoning", "extracted_text")
-#: Letters with marks and the letters they are searched as (fixed values).
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _unmarked() -> dict[str, str]:
+    """Latin letters with marks, in lower case, and the letters they are searched as: what Unicode decomposes them to, and those with strokes."""
+    found = {"ø": "o", "ł": "l", "đ": "d"}
+    for letter in map(chr, range(0xC0, 0x250)):
+        plain = unicodedata.normalize("NFD", letter)
+        if letter.islower() and len(plain) > 1 and plain[0].isascii():
+            found[letter] = plain[0]
+    return found
+
+
+_MARKS = _unmarked()
+_MARKED, _PLAIN = "".join(_MARKS), "".join(_MARKS.values())
 _TOKEN = r"[\p{L}\p{N}]+"
 
 
 def folded(c: Column) -> Column:
-    """Lower case without marks."""
-    return F.translate(F.lower(c), _MARKED, _PLAIN)
+    """Lower case without marks, whether they are part of a letter or stand after it."""
+    return F.regexp_replace(F.translate(F.lower(c), _MARKED, _PLAIN), r"\p{Mn}", "")
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(str.maketrans(_MARKED, _PLAIN))
+    return "".join(c for c in text.lower().translate(str.maketrans(_MARKED, _PLAIN)) if not unicodedata.combining(c))
 
 
 def terms(query: str) -> list[list[str]]:
     """The terms of a query; each is a phrase of adjacent tokens, of which the last is a prefix."""
-    return [[fold(t) for t in re.findall(r"[^\W_]+", run)] for run in re.findall(r"[\wÀ-ÿ]+", query) if re.search(r"[^\W_]", run)]
+    return [re.findall(r"[^\W_]+", fold(run)) for run in re.findall(r"[\w\u0300-\u036f]+", query) if re.search(r"[^\W_]", run)]
 
 
 def tokens(a: Archive) -> DataFrame:
@@ -68,20 +79,45 @@ def match(a: Archive, query: str) -> DataFrame:
     return rows.select("id", "category")
 
 
-def ranked(a: Archive, query: str, k1: float = 1.2, b: float = 0.75, limit: int = 50) -> DataFrame:
-    """id, score: bm25 over all fields together, best first; every term has to occur. A query without terms finds nothing."""
-    index = tokens(a)
-    lengths = index.groupBy("id").agg(F.count("*").alias("length"))
-    whole = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
+def ranked(a: Archive, query: str, k1: float = 1.2, b: float = 0.75, limit: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """id, score: bm25 over all fields together, best first; every term has to occur. A query without terms finds nothing.
+
+    index: `tokens` of the archive, stored; without one they are taken from the texts. Term and document counts of all
+    terms come from one pass over it, lengths and their mean from another.
+    """
     found = terms(query)
-    if not found or not whole.docs:
+    if not found:
         return library(a).select("id", F.lit(0.0).alias("score")).limit(0)
-    out = None
-    for term in found:
-        hits = _hits(index, term).groupBy("id").agg(F.count("*").alias("tf"))
-        n = hits.count()
-        idf = F.lit(max(1e-6, float(math.log((whole.docs - n + 0.5) / (n + 0.5)))))
-        tf = F.col("tf").cast("double")
-        one = hits.join(lengths, "id").select("id", (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / whole.mean))).alias("s"))
-        out = one if out is None else out.join(one.withColumnRenamed("s", "t"), "id").select("id", (F.col("s") + F.col("t")).alias("s"))
-    return out.select("id", F.round("s", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    index = tokens(a) if index is None else index
+    lengths = index.groupBy("id").agg(F.count("*").alias("length"))
+    whole = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), F.lit(1).alias("k"))
+    single = [(i, term[0]) for i, term in enumerate(found) if len(term) == 1]
+    which = F.filter(F.array(*(F.when(F.startswith("token", F.lit(t)), i) for i, t in single)), lambda i: i.isNotNull()) if single else F.array().cast("array<int>")
+    hits = index.select("id", F.explode(which).alias("term"))
+    for i, term in enumerate(found):
+        if len(term) > 1:
+            hits = hits.unionByName(_hits(index, term).select("id", F.lit(i).alias("term")))
+    counts = hits.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    # a row a term: few
+    rare = counts.groupBy("term").agg(F.count("*").alias("n"), F.lit(1).alias("k")).join(whole, "k")
+    idf = F.greatest(F.lit(1e-6), F.ln((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    rare = rare.select("term", idf.alias("idf"), "mean")
+    tf = F.col("tf").cast("double")
+    each = counts.join(F.broadcast(rare), "term").join(lengths, "id")
+    score = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    total = each.groupBy("id").agg(F.sum(score).alias("s"), F.count("*").alias("terms")).where(F.col("terms") == len(found))
+    return total.select("id", F.round("s", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def listing(a: Archive, query: str, f: DocumentFilter = DocumentFilter(), order_by: str = "doc_date", direction: str = "desc", limit: int = 200, offset: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """A page of the documents that a query finds and a filter lets through; by relevance or any order of the library's.
+
+    Descending relevance is the best first. A query without terms is no restriction, and has no relevance: the date's
+    order takes its place.
+    """
+    if order_by != "relevance" or not terms(query):
+        rows = library(a).join(match(a, query).select("id"), "id", "left_semi").where(f.test())
+        return rows.orderBy(*sort_columns(order_by if order_by in ORDERS else "doc_date", direction)).offset(offset).limit(limit)
+    best = ranked(a, query, limit=2**31 - 1, index=index)
+    score = F.desc("score") if direction != "asc" else F.asc("score")
+    return library(a).where(f.test()).join(best, "id").orderBy(score, F.desc("id")).offset(offset).limit(limit).drop("score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,16 @@ class Archive:
     overrides: DataFrame
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; where that is unset, on this machine if Spark runs here alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/archive/{uuid.uuid4().hex}"
+
+
 def open_archive(spark: SparkSession, path: str) -> Archive:
     """The tables stored as Parquet under path, with explicit schemas; a missing table is an error."""
     return Archive(**{name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in SCHEMAS.items()})

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.functions import scalars
+from quillstack.functions import rules, scalars
 from quillstack.operators import explorer, finance, library, receipts, search, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.operators.library import DocumentFilter
-from quillstack.plans.archive import Archive, sql, stand_ins
+from quillstack.plans.archive import Archive, scratch, sql, stand_ins
 from quillstack.sources import bank_csv
 from quillstack.streaming import inbox
 
@@ -204,24 +205,63 @@ add("a11_receipts_monthly", receipts.monthly, "SELECT substr(receipt_date, 1, 7)
 add("f13_receipts_list", lambda a: receipts.listing(a, "1-URGENT", "1996-01-01", "1997-12-31"), """
 SELECT rc.id, rc.doc_id, shop_name, shop_type, CAST(total_amount AS DOUBLE) AS total_amount, receipt_date, doc.subject AS doc_subject, doc.library_path FROM rc JOIN doc ON doc.id = rc.doc_id
 WHERE deleted_at IS NULL AND shop_type = '1-URGENT' AND receipt_date BETWEEN '1996-01-01' AND '1997-12-31' ORDER BY receipt_date DESC, rc.id DESC LIMIT 200""")
-add("f14_item_search", lambda a: receipts.search_items(a, query="Green", start="1996-01-01"), f"""
+add("f14_item_search", lambda a: receipts.search_items(a, query="Widget", start="1996-01-01"), f"""
 SELECT id, receipt_id, name, CAST(total_price AS DOUBLE) AS total_price, item_category, line_no, shop_name, shop_type, receipt_date, doc_id FROM lit
-WHERE contains({_fold('name')}, 'green') AND receipt_date >= '1996-01-01' ORDER BY receipt_date DESC, receipt_id DESC, line_no LIMIT 200""")
+WHERE contains({_fold('name')}, 'widget') AND receipt_date >= '1996-01-01' ORDER BY receipt_date DESC, receipt_id DESC, line_no LIMIT 200""")
 add("j9_items_of_receipts", receipts.items_of_receipts, "SELECT receipt_id, list(name ORDER BY line_no, id, name) AS items FROM lit GROUP BY 1")
 add("a12_top_items", receipts.top_items, f"""
 SELECT min(name) AS name, count(*) AS times, CAST(sum(total_price) AS DOUBLE) AS spent, CAST(sum(unit_price) AS DOUBLE) / count(unit_price) AS avg_unit FROM lit WHERE name <> ''
 GROUP BY {_fold('name')} ORDER BY times DESC, sum(total_price) DESC, {_fold('name')} LIMIT 10""")
-add("c17_misfiled_receipts", lambda a: receipts.misfiled(a, ["src0", "src3"]))
+
+
+#: What is put after the texts of some documents, so that some look like receipts, and some like invoices as well.
+_TILL = ["Bon-Nr 12 Kassierer 3 zu zahlen PFAND", "girocard Payback Rechnungs-Nr: A1 zahlbar bis 1.1.", "Kasse 4 REWE mwst a 19,00 %", "kontaktlos", "Rechnungsnummer: 5 emv-aid Beleg-Nr"]
+
+
+def _with_till_texts(a: Archive) -> Archive:
+    tail = F.element_at(F.array(*map(F.lit, _TILL)), (F.col("id") % 5 + 1).cast("int"))
+    return replace(a, documents=a.documents.withColumn("extracted_text", F.concat("extracted_text", F.lit(" "), tail)), receipts=a.receipts.where("doc_id % 4 = 0"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _named(rules: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(till, {_quoted('(?i)' + p)}) THEN '{n}' END" for n, p in rules) + "], lambda x: x IS NOT NULL)"
+
+
+add("c17_misfiled_receipts", lambda a: receipts.misfiled(_with_till_texts(a), ["src0", "src3"]), f"""
+SELECT id, category, subject, signals, CAST(len(signals) AS INTEGER) AS signal_count FROM (SELECT id, category, subject, {_named(rules.SIGNALS)} AS signals, {_named(rules.BLOCKERS)} AS blockers FROM (
+  SELECT *, extracted_text || ' ' || [{", ".join(map(_quoted, _TILL))}][id % 5 + 1] AS till FROM doc WHERE deleted_at IS NULL AND category IN ('src0', 'src3') AND extracted_text <> '' ORDER BY id DESC LIMIT 1000)
+  WHERE id NOT IN (SELECT doc_id FROM rc WHERE doc_id % 4 = 0)) WHERE len(signals) >= 2 AND len(blockers) < 2 ORDER BY id DESC LIMIT 200""")
 
 # --- search
 
 add("x3_search_prefix", lambda a: search.match(a, "the ent"), f"SELECT id, category FROM lib WHERE {_matches('the')} AND {_matches('ent')}")
 add("x3_search_umlaut", lambda a: search.match(a, "Über"), f"SELECT id, category FROM lib WHERE {_matches('uber')}")
-add("x4_search_ranked", lambda a: search.ranked(a, "thonre sender"))
+
+
+def _ranked(prefixes: list[str]) -> str:
+    """bm25 over all fields of the documents that have a token with each prefix."""
+    term = "CASE " + " ".join(f"WHEN starts_with(token, '{p}') THEN {i}" for i, p in enumerate(prefixes)) + " END"
+    return f"""(WITH tok AS (SELECT id, unnest(regexp_extract_all(lower(strip_accents(body)), '[\\p{{L}}\\p{{N}}]+')) AS token FROM (SELECT id, unnest([filename, sender, subject, extracted_text]) AS body FROM lib)),
+  len AS (SELECT id, count(*) AS length FROM tok GROUP BY 1), whole AS (SELECT count(*) AS docs, avg(length) AS mean FROM len),
+  tf AS (SELECT id, {term} AS term, count(*)::DOUBLE AS tf FROM tok WHERE {term} IS NOT NULL GROUP BY 1, 2),
+  idf AS (SELECT term, greatest(1e-6::DOUBLE, ln((docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE))) AS idf FROM (SELECT term, count(*) AS n FROM tf GROUP BY 1), whole)
+  SELECT id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM tf JOIN idf USING (term) JOIN len USING (id), whole GROUP BY id HAVING count(*) = {len(prefixes)})"""
+
+
+add("x4_search_ranked", lambda a: search.ranked(a, "thonre sender"), f"SELECT id, score FROM {_ranked(['thonre', 'sender'])} ORDER BY score DESC, id LIMIT 50")
+add("l1_listing_search", lambda a: search.listing(a, "the ent", DocumentFilter(status="filed"), order_by="sender", direction="asc", limit=50).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM lib WHERE {_matches('the')} AND {_matches('ent')} AND status = 'filed' ORDER BY sender ASC, id DESC LIMIT 50")
+add("l1_listing_relevance", lambda a: search.listing(a, "thonre", DocumentFilter(status="filed"), order_by="relevance", limit=40).select("id", "status"), f"SELECT id, status FROM lib JOIN {_ranked(['thonre'])} USING (id) WHERE status = 'filed' ORDER BY score DESC, id DESC LIMIT 40")
 
 # --- bank files: rows of a file built from the bookings, parsed, and parsed again
 
 
+_BOOKED = ["Überweisung", "FOLGELASTSCHRIFT", "Kartenzahlung girocard", "Buchung"]
+
+
 def _bank_rows(a: Archive) -> DataFrame:
     t = a.transactions
     day = F.concat_ws(".", F.substring("booking_date", 9, 2), F.substring("booking_date", 6, 2), F.when(F.col("id") % 2 == 0, F.substring("booking_date", 3, 2)).otherwise(F.substring("booking_date", 1, 4)))
@@ -229,26 +269,49 @@ def _bank_rows(a: Archive) -> DataFrame:
     blank = F.lit("")
     return t.select(
         F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("path"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") % 11 == 0, "").otherwise(F.concat(F.lit("de "), F.lpad(F.col("account_id").cast("string"), 4, "0"))).alias("account"),
-        F.when(F.col("id") % 13 == 0, "31.13.2024").otherwise(day).alias("booking_date"), blank.alias("value_date"), F.lit("Überweisung").alias("booking_text"), F.col("purpose"), blank.alias("creditor_id"),
+        F.when(F.col("id") % 13 == 0, "31.13.2024").otherwise(day).alias("booking_date"), blank.alias("value_date"), F.element_at(F.array(*map(F.lit, _BOOKED)), (F.col("id") % 4 + 1).cast("int")).alias("booking_text"), F.col("purpose"), blank.alias("creditor_id"),
         F.col("counterparty"), blank.alias("counterparty_iban"), F.when(F.col("id") % 17 == 0, "abc").otherwise(amount).alias("amount"), blank.alias("currency"), blank.alias("info"), F.lit(None).cast("string").alias("problem"),
     )
 
 
 _PARSED = """SELECT 'f' || CAST(id % 3 AS VARCHAR) AS path, CAST(id AS INTEGER) AS line_no, CASE WHEN id % 11 = 0 THEN 'skipped' WHEN id % 13 = 0 OR id % 17 = 0 THEN 'invalid' ELSE 'ok' END AS status,
-  CASE WHEN id % 13 <> 0 THEN booking_date END AS booking_date, CASE WHEN id % 17 <> 0 THEN CAST(amount AS DOUBLE) END AS amount, 'ueberweisung' AS tx_type FROM tx"""
+  CASE WHEN id % 13 <> 0 THEN booking_date END AS booking_date, CASE WHEN id % 17 <> 0 THEN CAST(amount AS DOUBLE) END AS amount, ['ueberweisung', 'lastschrift', 'kartenzahlung', 'sonstiges'][id % 4 + 1] AS tx_type FROM tx"""
 add("s5_bank_rows", lambda a: bank_csv.parse(_bank_rows(a)).select("path", "line_no", "status", "booking_date", F.col("amount").cast("double").alias("amount"), "tx_type"), _PARSED)
 add("a38_import_report", lambda a: bank_csv.report(bank_csv.parse(_bank_rows(a)), bank_csv.parse(_bank_rows(a)).where("line_no % 5 = 0").select("tx_hash")), f"""
 SELECT path, count(*) AS rows, count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS errors, count(*) FILTER (status = 'ok' AND line_no % 5 <> 0) AS imported,
        count(*) FILTER (status = 'ok' AND line_no % 5 = 0) AS duplicates, min(booking_date) FILTER (status = 'ok') AS first_date, max(booking_date) FILTER (status = 'ok') AS last_date FROM ({_PARSED}) GROUP BY path""")
 
+
+
+def _csv_import(a: Archive) -> DataFrame:
+    """Files are written, imported and imported again: the accounts and bookings that came of it."""
+    headers = {"Auftragskonto": F.concat(F.lit("DE00 "), F.lpad(F.col("account_id").cast("string"), 4, "0")), "Buchungstag": F.date_format(F.col("booking_date").cast("date"), "dd.MM.yyyy"), "Buchungstext": F.lit("LASTSCHRIFT"), "Verwendungszweck": F.col("purpose"), "Beguenstigter/Zahlungspflichtiger": F.col("counterparty"), "Betrag": F.translate(F.format_number("amount", 2), ".,", ",."), "Waehrung": F.lit("EUR")}
+    folder = scratch(a.accounts.sparkSession)
+    a.transactions.where("account_id < 3").select(*(c.alias(h) for h, c in headers.items())).write.csv(folder, header=True, sep=";")
+    once, _ = bank_csv.import_files(a, [folder], "2026-01-01")
+    twice, _ = bank_csv.import_files(replace(once, transactions=once.transactions.where("statement_id IS NULL")), [folder], "2026-01-02")
+    own = twice.accounts.select(F.col("id").alias("account_id"), "iban_last4", "bank_name")
+    rows = twice.transactions.where("statement_id IS NULL").join(own, "account_id")
+    return rows.groupBy("iban_last4", "bank_name", "tx_type").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.min("booking_date").alias("first_date"))
+
+
+add("s7_csv_import", _csv_import, """SELECT lpad(CAST(account_id AS VARCHAR), 4, '0') AS iban_last4, 'Sparkasse' AS bank_name, 'lastschrift' AS tx_type, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, min(booking_date) AS first_date
+FROM (SELECT DISTINCT account_id, booking_date, amount, counterparty, purpose FROM tx WHERE account_id < 3) GROUP BY account_id""")
+
 # --- scalars over the documents
 
 add("c9_dates", lambda a: a.documents.select("id", scalars.normalise_date(F.when(F.col("id") % 2 == 0, F.date_format(F.col("doc_date").cast("date"), "d.M.yy")).otherwise(F.date_format(F.col("doc_date").cast("date"), "yyyy/MM/dd"))).alias("date")), "SELECT id, doc_date AS date FROM doc")
 add("c20_target_paths", lambda a: a.documents.select("id", scalars.target_path(F.col("doc_date"), F.col("category"), F.col("subcategory")).alias("path")), "SELECT id, coalesce(substr(doc_date, 1, 4), 'unknown') || '/' || category || '/' || subcategory AS path FROM doc")
-add("c22_token_costs", lambda a: a.documents.select("id", F.round(scalars.token_cost(F.lit("anthropic"), F.when(F.col("id") % 3 == 0, "claude-haiku-1").otherwise("claude-sonnet-1"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens")), 9).alias("usd")), """
+add("c22_token_costs", lambda a: a.documents.select("id", F.round(scalars.token_cost(F.lit("anthropic"), F.when(F.col("id") % 3 == 0, "claude-haiku-4-5-20251001").otherwise("claude-sonnet-4-6"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens")), 9).alias("usd")), """
 SELECT id, round((input_tokens * p + output_tokens * q + cache_creation_tokens * p * 1.25 + cache_read_tokens * p * 0.1) / 1e6, 9) AS usd
 FROM (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1.0 ELSE 3.0 END AS DOUBLE) AS p, CAST(CASE WHEN id % 3 = 0 THEN 5.0 ELSE 15.0 END AS DOUBLE) AS q FROM doc)""")
 
+_PRICED = ", ".join(f"('{p}', '{m}', {i}, {o}, {n})" for n, (p, m, i, o) in enumerate(scalars.PRICES))
+add("s16_pricing", lambda a: scalars.pricing(a.accounts.sparkSession), f"SELECT column0 AS provider, column1 AS model, CAST(column2 AS DOUBLE) AS input_per_mtok, CAST(column3 AS DOUBLE) AS output_per_mtok, CAST(column4 AS INTEGER) AS place FROM (VALUES {_PRICED}) AS v(column0, column1, column2, column3, column4)")
+add("f1_by_id", lambda a: library.by_id(a, 24).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM doc WHERE id = 24")
+add("f1_by_hash", lambda a: library.latest_by_hash(a, a.documents.where("id = 7").first().content_hash), "SELECT id, content_hash FROM doc WHERE content_hash = (SELECT content_hash FROM doc WHERE id = 7) AND deleted_at IS NULL ORDER BY id DESC LIMIT 1")
+add("f15_statement_by_file", lambda a: finance.statement_by_file(a, a.statements.orderBy("id").first().file_hash).select("id", "account_id", "period_start"), "SELECT id, account_id, period_start FROM st WHERE id = (SELECT min(id) FROM st)")
+
 # --- changes: what the tables are afterwards
 
 
@@ -281,6 +344,57 @@ SELECT id, CASE WHEN deleted_at IS NULL AND place > 1 THEN '2026-01-01' ELSE del
 FROM (SELECT id, deleted_at, row_number() OVER (PARTITION BY content_hash, deleted_at IS NULL ORDER BY created_at, id) AS place FROM doc)""")
 add("m13_promote", lambda a: writes.promote(a.documents, _odd(a), "Kassenzettel").groupBy("category", "status").agg(F.count("*").alias("n")), "SELECT CASE WHEN id % 3 = 1 THEN 'Kassenzettel' ELSE category END AS category, CASE WHEN id % 3 = 1 THEN 'review' ELSE status END AS status, count(*) AS n FROM doc GROUP BY 1, 2")
 
+_NEW = "SELECT 'neu-' || lpad(CAST(id AS VARCHAR), 9, '0') AS filename FROM doc WHERE id % 5 = 0"
+add("m1_insert_documents", lambda a: writes.insert_documents(a.documents.select("id", "filename"), a.documents.where("id % 5 = 0").select(F.concat(F.lit("neu-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("filename"))), f"""
+SELECT id, filename FROM doc UNION ALL SELECT (SELECT max(id) FROM doc) + row_number() OVER (ORDER BY filename) AS id, filename FROM ({_NEW})""")
+
+
+def _edits(a: Archive) -> DataFrame:
+    """Every ninth booking: half with a category that is allowed, half with one that isn't."""
+    return writes.checked_bookings(a.transactions.where("id % 9 = 0").select("id", F.lit(" 12.34").alias("amount"), F.when(F.col("id") % 2 == 0, "Haushalt ").otherwise("nope").alias("category")))
+
+
+_EDITED = "id % 9 = 0 AND id % 2 = 0"
+add("m10_edit_transactions", lambda a: writes.edit_transactions(a, _edits(a)).transactions.select("id", F.col("amount").cast("double").alias("amount"), "category", "tx_hash"), f"""
+SELECT tx.id, CAST(CASE WHEN {_EDITED.replace('id', 'tx.id')} THEN 12.34 ELSE amount END AS DOUBLE) AS amount, CASE WHEN {_EDITED.replace('id', 'tx.id')} THEN 'haushalt' ELSE category END AS category,
+       CASE WHEN {_EDITED.replace('id', 'tx.id')} THEN sha256(iban_hash || '|' || booking_date || '|12.34|' || purpose) ELSE tx_hash END AS tx_hash FROM tx JOIN acc ON acc.id = account_id""")
+add("m10_delete_transactions", lambda a: writes.delete_transactions(a, a.transactions.where("id % 5 = 0").select("id")).transactions.groupBy("account_id").agg(F.count("*").alias("n")), "SELECT account_id, count(*) AS n FROM tx WHERE id % 5 <> 0 GROUP BY 1")
+_ENTERED = [(-1, 3, "1.2.2026", "5", "Laden", "Brot", "lebensmittel"), (-2, 3, "2026-02-03", "abc", "Laden", "x", ""), (-3, 4, "", "7", "", "", ""), (-4, 99, "2026-01-01", "7", "", "", ""), (-5, 4, "2026-03-04", "-8.5", "", "", "")]
+add("m10_add_transactions", lambda a: writes.add_transactions(a, writes.checked_bookings(a.accounts.sparkSession.createDataFrame(_ENTERED, "id long, account_id long, booking_date string, amount string, counterparty string, purpose string, category string"))).transactions.where("id < 0").select("id", "account_id", "booking_date", F.col("amount").cast("double").alias("amount"), "category", "tx_type", "currency", "tx_hash"), """
+SELECT CAST(v.id AS BIGINT) AS id, CAST(v.a AS BIGINT) AS account_id, d AS booking_date, CAST(m AS DOUBLE) AS amount, c AS category, 'sonstiges' AS tx_type, 'EUR' AS currency, sha256(iban_hash || '|' || d || '|' || m || '|' || p) AS tx_hash
+FROM (VALUES (-1, 3, '2026-02-01', '5.00', 'Brot', 'lebensmittel'), (-5, 4, '2026-03-04', '-8.50', '', 'sonstiges')) AS v(id, a, d, m, p, c) JOIN acc ON acc.id = v.a""")
+_BY_HAND = [
+    (10, "  Laden ", "Supermarkt", "bar", "12.5", "", "2026-01-02", [("Brot", "1", None, "2.5", "Lebensmittel"), (" ", None, None, None, None), ("Tüte", None, None, "10", "")]),
+    (11, "Laden", "kiosk", "", "1", "EUR", "", []), (12, "Laden", "", "", "viel", "EUR", "", []), (-5, "Laden", "", "", "1", "EUR", "", []),
+]
+_BY_HAND_DDL = "doc_id long, shop_name string, shop_type string, payment_method string, total_amount string, currency string, receipt_date string, items array<struct<name:string,quantity:string,unit_price:string,total_price:string,item_category:string>>"
+
+
+def _receipts_by_hand(a: Archive) -> DataFrame:
+    after = writes.edit_receipts(a, writes.checked_receipts(a.accounts.sparkSession.createDataFrame(_BY_HAND, _BY_HAND_DDL)))
+    items = after.receipt_items.groupBy(F.col("receipt_id").alias("id")).agg(F.count("*").alias("items"), F.sum("total_price").cast("double").alias("of_items"))
+    return after.receipts.where("doc_id BETWEEN 9 AND 13").join(items, "id", "left").select("doc_id", "shop_name", F.col("total_amount").cast("double").alias("total_amount"), "items", "of_items")
+
+
+add("m16_edit_receipts", _receipts_by_hand, """
+SELECT doc_id, shop_name, CAST(total_amount AS DOUBLE) AS total_amount, items, of_items FROM rc LEFT JOIN (SELECT receipt_id, count(*) AS items, CAST(sum(total_price) AS DOUBLE) AS of_items FROM it GROUP BY 1) ON receipt_id = rc.id WHERE doc_id BETWEEN 9 AND 13 AND doc_id <> 10
+UNION ALL SELECT 10, 'Laden', 12.5, 2, 12.5""")
+add("m16_delete_receipts", lambda a: _state(writes.delete_receipts(a, _odd(a))), _STATE.format(d="doc", s="st", t="tx", r="rc WHERE doc_id NOT IN (SELECT id FROM doc WHERE id % 3 = 1)", i="it WHERE receipt_id NOT IN (SELECT id FROM rc WHERE doc_id IN (SELECT id FROM doc WHERE id % 3 = 1))"))
+add("m12_reset_dry_run", lambda a: writes.finance_counts(writes.reset_finance(a, dry_run=True)), "SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM st) AS statements, (SELECT count(*) FROM acc) AS accounts")
+
+
+def _meta(a: Archive) -> DataFrame:
+    table = lambda rows: a.accounts.sparkSession.createDataFrame(rows, "key string, value string")
+    once, meta = writes.reset_once(a, writes.put_meta(table([("lang", "de"), ("theme", "dark")]), table([("lang", "en"), ("new", "1")])))
+    again, meta = writes.reset_once(a, meta)
+    counts = writes.finance_counts(once).select("accounts").withColumn("again", F.lit(1)).join(writes.finance_counts(again).select(F.col("accounts").alias("kept"), F.lit(1).alias("again")), "again")
+    return meta.withColumn("again", F.lit(1)).join(counts, "again").drop("again")
+
+
+add("m18_meta", _meta, f"SELECT k AS key, v AS value, CAST(0 AS BIGINT) AS accounts, (SELECT count(*) FROM acc) AS kept FROM (VALUES ('lang', 'en'), ('theme', 'dark'), ('new', '1'), ('{writes.RESET_FLAG}', '1')) AS m(k, v)")
+add("m18_set_overrides", lambda a: writes.set_overrides(a.overrides, a.transactions.where("id % 25 = 0").select("tx_hash", F.lit("bildung").alias("category")), "2026-01-01").groupBy("category", "set_at").agg(F.count("*").alias("n")), """
+SELECT category, set_at, count(*) AS n FROM (SELECT 'bildung' AS category, '2026-01-01' AS set_at FROM tx WHERE id % 25 = 0 UNION ALL SELECT 'freizeit', '2025-01-01' FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey NOT IN (SELECT id FROM tx WHERE id % 25 = 0)) GROUP BY 1, 2""")
+
 # --- extension: events by the hour, read as a stream
 
 

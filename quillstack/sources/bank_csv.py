@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.functions import rules
 from quillstack.functions.scalars import iban_hash, normalise_date, normalise_iban, parse_amount, tx_hash
+from quillstack.operators import writes
+from quillstack.plans.archive import Archive
 
 #: The columns that are read, with the spellings of their headers after folding (fixed values).
 COLUMNS = {
@@ -106,7 +110,7 @@ def parse(rows: DataFrame) -> DataFrame:
         "path", "line_no", status.alias("status"), account.alias("iban"), iban_hash(F.col("account")).alias("iban_hash"), F.substring(account, -4, 4).alias("iban_last4"),
         date.alias("booking_date"), normalise_date(F.col("value_date")).alias("value_date"), amount.alias("amount"), F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit("EUR")).alias("currency"),
         F.substring("counterparty", 1, 200).alias("counterparty"), normalise_iban(F.col("counterparty_iban")).alias("counterparty_iban"), purpose.alias("purpose"),
-        rules.tx_type(F.col("booking_text")).alias("tx_type"), rules.category(F.col("counterparty"), F.col("purpose")).alias("category"),
+        rules.tx_type(F.col("booking_text"), F.col("counterparty"), F.col("purpose")).alias("tx_type"), rules.category(F.col("counterparty"), F.col("purpose")).alias("category"),
         F.when(status == "ok", tx_hash(account, date, amount, F.substring("counterparty", 1, 200), purpose)).alias("tx_hash"),
     )
 
@@ -127,3 +131,27 @@ def report(bookings: DataFrame, known: DataFrame) -> DataFrame:
     when = lambda s: F.count(F.when(F.col("status") == s, 1))
     counts = bookings.groupBy("path").agg((F.count("*") - when("error")).alias("rows"), when("invalid").alias("invalid"), when("skipped").alias("skipped"), when("error").alias("errors"))
     return counts.join(imported, "path", "left").na.fill({"imported": 0, "duplicates": 0})
+
+
+def import_files(a: Archive, paths: list[str], now: str, bank_name: str = "Sparkasse", known_as: str = "") -> tuple[Archive, DataFrame]:
+    """(the archive afterwards, one report row a file): files are read, their accounts put, and bookings that aren't stored appended.
+
+    Account ids that are new follow the greatest by the order of their hashes; bookings' ids come from their hashes. A
+    booking belongs to no statement until one is read. Reading the same file again changes nothing.
+    """
+    bookings = parse(read_files(a.accounts.sparkSession, paths))
+    ok = bookings.where("status = 'ok'")
+    seen = ok.groupBy("iban_hash").agg(F.min("iban").alias("iban"), F.min("iban_last4").alias("iban_last4"), F.min("currency").alias("currency"))
+    last = a.accounts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"), F.lit(1).alias("k"))
+    # the accounts of the files: few
+    place = F.row_number().over(W.partitionBy("k").orderBy("iban_hash"))
+    fresh = seen.join(a.accounts.select("iban_hash"), "iban_hash", "left_anti").withColumn("k", F.lit(1)).withColumn("_place", place).join(last, "k")
+    ids = fresh.select("iban_hash", (F.col("last") + F.col("_place")).cast("long").alias("id"))
+    new = seen.join(ids, "iban_hash", "left").withColumns({"bank_name": F.lit(bank_name), "account_holder": F.lit(known_as), "created_at": F.lit(now)})
+    accounts = writes.put_accounts(a.accounts, new.select(*[c for c in a.accounts.columns if c in new.columns]))
+    owned = with_transfers(ok, accounts).join(accounts.select("iban_hash", F.col("id").alias("account_id")), "iban_hash")
+    rows = owned.withColumn("value_date", F.coalesce("value_date", "booking_date")).withColumn("id", F.xxhash64("tx_hash").bitwiseAND(F.lit((1 << 62) - 1)))
+    keep = [c for c in a.transactions.columns if c in rows.columns]
+    appended = writes.new_transactions(a.transactions, rows.select(*dict.fromkeys([*keep, "path", "line_no"])))
+    after = replace(a, accounts=accounts, transactions=a.transactions.unionByName(appended.select(*keep), True))
+    return after, report(bookings, a.transactions)

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.scalars import clamp, normalise_date, to_number
+from quillstack.functions.scalars import blank_to, clamp, normalise_date, to_number
 
-SHOP_TYPES = ["supermarkt", "drogerie", "baumarkt", "tankstelle", "restaurant", "apotheke", "elektronik", "kleidung", "baeckerei", "moebel", "online", "dienstleistung", "sonstiges"]
-ITEM_CATEGORIES = ["lebensmittel", "getraenke", "haushalt", "koerperpflege", "kleidung", "elektronik", "tiernahrung", "freizeit", "schreibwaren", "gesundheit", "kraftstoff", "pfand", "garten", "sonstiges"]
-PAYMENTS = ["bar", "karte", "online", "gutschein", "sonstiges"]
+# What a receipt may say (fixed values).
+SHOP_TYPES = ["supermarkt", "drogerie", "baumarkt", "restaurant", "cafe", "tankstelle", "apotheke", "bekleidung", "elektronik", "buecher", "moebel", "versand", "sonstiges"]
+ITEM_CATEGORIES = ["lebensmittel", "getraenke", "haushalt", "koerperpflege", "elektronik", "bekleidung", "buecher", "essen-trinken-aussehaus", "transport", "baumarkt", "tabak", "pfand", "rabatt", "sonstiges"]
+PAYMENTS = ["bar", "girocard", "kreditkarte", "paypal", "sonstiges"]
 ITEM = "array<struct<name:string,quantity:string,unit_price:string,total_price:string,item_category:string>>"
 RECEIPT = f"shop_name string, shop_type string, payment_method string, total_amount string, currency string, receipt_date string, items {ITEM}"
 CLASSIFICATION = "category string, subcategory string, tags array<string>, date string, sender string, subject string, confidence string, reasoning string"
 
 
-def first_object(reply: Column) -> Column:
-    """From the first brace to its partner: fences, prose before and text after are dropped. Null without an object.
+def _balanced(text: Column) -> Column:
+    """From a brace at the start of text to its partner; null without one.
 
-    Braces inside strings don't count: strings are blanked, at equal length, before braces are counted.
+    Braces inside strings don't count: of a string only its quotes matter.
     """
-    text = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*", 0)
-    chars = F.split(text, "")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end"), F.lit(0).alias("at"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
 
     def step(s: Column, c: Column) -> Column:
@@ -33,8 +32,22 @@ def first_object(reply: Column) -> Column:
             F.when((c == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"), ((c == "\\") & s["quoted"] & ~s["escaped"]).alias("escaped"),
         )
 
-    end = F.aggregate(chars, start, step, lambda s: s["end"])
-    return F.when(text != "", F.nullif(F.substring(text, F.lit(1), end), F.lit("")))
+    end = F.aggregate(F.split(text, ""), start, step, lambda s: s["end"])
+    return F.nullif(F.substring(text, F.lit(1), end), F.lit(""))
+
+
+def first_object(reply: Column) -> Column:
+    """The first JSON object of a reply: fences, prose before and text after are dropped. Null without one.
+
+    The text from the first brace to its partner is tried; where it is no JSON, each later brace in turn.
+    """
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    body = F.coalesce(reply, F.lit(""))
+    first = valid(_balanced(F.regexp_extract(body, r"(?s)\{.*", 0)))
+    # what follows each brace, up to the end of the text
+    tails = F.transform(F.filter(F.sequence(F.lit(2), F.size(F.split(body, r"\{", -1)) - 1), lambda n: n > 1), lambda n: F.concat(F.lit("{"), F.array_join(F.slice(F.split(body, r"\{", -1), n + 1, 1_000_000), "{")))
+    later = F.filter(F.transform(tails, lambda x: valid(_balanced(x))), lambda x: x.isNotNull())
+    return F.coalesce(first, F.when(F.size(F.split(body, r"\{", -1)) > 2, F.get(later, F.lit(0))))
 
 
 def receipts(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -44,7 +57,7 @@ def receipts(replies: DataFrame, reply: str = "reply") -> DataFrame:
     r = F.col("_r")
     item = lambda i: F.struct(
         F.substring(i["name"], 1, 200).alias("name"), to_number(i["quantity"]).alias("quantity"), to_number(i["unit_price"]).alias("unit_price"),
-        to_number(i["total_price"]).alias("total_price"), clamp(F.lower(i["item_category"]), ITEM_CATEGORIES, "sonstiges").alias("item_category"),
+        to_number(i["total_price"]).alias("total_price"), F.when(blank_to(F.trim(i["item_category"]), "") == "", "").otherwise(clamp(F.lower(F.trim(i["item_category"])), ITEM_CATEGORIES, "sonstiges")).alias("item_category"),
     )
     named = lambda items: F.filter(items, lambda i: F.coalesce(F.trim(i["name"]), F.lit("")) != "")
     return rows.select(
