@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import rules, scalars
-from quillstack.operators import explorer, finance, library, receipts, search, writes
+from quillstack.operators import explorer, finance, flows, library, receipts, search, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.operators.library import DocumentFilter
 from quillstack.plans.archive import Archive, scratch, sql, stand_ins
@@ -395,6 +395,40 @@ add("m18_meta", _meta, f"SELECT k AS key, v AS value, CAST(0 AS BIGINT) AS accou
 add("m18_set_overrides", lambda a: writes.set_overrides(a.overrides, a.transactions.where("id % 25 = 0").select("tx_hash", F.lit("bildung").alias("category")), "2026-01-01").groupBy("category", "set_at").agg(F.count("*").alias("n")), """
 SELECT category, set_at, count(*) AS n FROM (SELECT 'bildung' AS category, '2026-01-01' AS set_at FROM tx WHERE id % 25 = 0 UNION ALL SELECT 'freizeit', '2025-01-01' FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey NOT IN (SELECT id FROM tx WHERE id % 25 = 0)) GROUP BY 1, 2""")
 
+# --- flows, with a model that answers by the length of what it is asked
+
+_TREE = {"src1": ["en", "fr"], "src2": [], "src3": ["de"]}
+
+
+def _model(prompt: str) -> str:
+    n = len(prompt) % 4
+    return "no idea" if n == 0 else f'Sure: {{"category": "src{n}", "subcategory": "fr", "tags": ["Neu", "neu"], "confidence": {0.9 if n < 3 else 0.2}}}'
+
+
+_ROUTE = "CASE length(filename) % 4 WHEN 0 THEN 'failed' WHEN 3 THEN 'review' ELSE 'filed' END"
+
+
+def _till_model(prompt: str) -> str:
+    return "" if len(prompt) % 4 == 0 else f'{{"shop_name": "Modell", "shop_type": "Cafe", "total_amount": "{len(prompt) / 2}", "items": [{{"name": "a", "total_price": 1}}]}}'
+
+
+add("m20_retry_review", lambda a: flows.retry_review(a, _model, _TREE, text="filename").documents.select("id", "category", "status", "subcategory"), f"""
+SELECT id, CASE WHEN again AND length(filename) % 4 > 0 THEN 'src' || length(filename) % 4 ELSE category END AS category, CASE WHEN again THEN {_ROUTE} ELSE status END AS status,
+       CASE WHEN again AND length(filename) % 4 > 0 THEN CASE length(filename) % 4 WHEN 1 THEN 'fr' ELSE '' END ELSE subcategory END AS subcategory FROM (SELECT *, status = 'review' AND deleted_at IS NULL AS again FROM doc)""")
+_LACKING = "status = 'filed' AND (len(tags) = 0 OR (category IN ('src1', 'src3') AND coalesce(subcategory, '') = ''))"
+_MOVED = "length(filename) % 4 = 1 AND category = 'src1' AND subcategory <> 'fr'"
+add("a39_backfill_report", lambda a: flows.backfill(a, _model, _TREE, 0.001, text="filename")[1], f"""
+SELECT count(*) AS candidates, count(*) FILTER (length(filename) % 4 > 0) AS updated, count(*) FILTER (length(filename) % 4 = 0) AS skipped, count(*) FILTER ({_MOVED}) AS moved, round(count(*) * 0.001::DOUBLE, 4) AS cost_usd FROM lib WHERE {_LACKING}""")
+add("m19_extract_receipts", lambda a: flows.extract_receipts(replace(a, documents=a.documents.withColumn("category", F.when(F.col("category") == "src1", flows.RECEIPTS).otherwise(F.col("category"))), receipts=a.receipts.where("doc_id % 3 = 0")), _till_model, text="filename")[0].receipts.where("shop_name = 'Modell'").select("id", "doc_id", F.col("total_amount").cast("double").alias("total_amount"), "shop_type"), """
+SELECT id, id AS doc_id, CAST(length(filename) AS DOUBLE) / 2 AS total_amount, 'cafe' AS shop_type FROM lib WHERE category = 'src1' AND id NOT IN (SELECT doc_id FROM rc WHERE doc_id % 3 = 0) AND length(filename) % 4 > 0""")
+add("l8_diagnostics", lambda a: flows.diagnostics(a, 24), """
+SELECT id, status, category, CAST(length(extracted_text) AS INTEGER) AS n_chars, deleted_at IS NOT NULL AS in_trash, (SELECT count(*) FROM rc WHERE doc_id = 24) AS receipts, (SELECT count(*) FROM it WHERE receipt_id IN (SELECT id FROM rc WHERE doc_id = 24)) AS receipt_items,
+       (SELECT count(*) FROM st WHERE doc_id = 24) AS statements, (SELECT count(*) FROM tx WHERE statement_id IN (SELECT id FROM st WHERE doc_id = 24)) AS transactions, (SELECT count(*) FROM doc e WHERE e.id <> 24 AND e.content_hash = doc.content_hash) AS copies FROM doc WHERE id = 24""")
+add("l8_status_counts", flows.status_counts, "SELECT count(*) AS n, count(*) FILTER (coalesce(extracted_text, '') = '') AS without_text, count(*) FILTER (coalesce(doc_date, '') = '') AS without_date, count(*) FILTER (coalesce(category, '') = '') AS without_category FROM lib")
+_WORDS = [("de", "cat.src1", "Eins"), ("en", "cat.src1", "One"), ("en", "cat.src2", "Two")]
+add("c27_labels", lambda a: flows.labelled(library.library(a).select("id", "category"), a.accounts.sparkSession.createDataFrame(_WORDS, "lang string, key string, value string"), "de"), "SELECT id, category, CASE category WHEN 'src1' THEN 'Eins' WHEN 'src2' THEN 'Two' ELSE category END AS label FROM lib")
+add("m15_bulk_update", lambda a: flows.bulk_update(a, _odd(a), "neu", "x/y.pdf").documents.select("id", "category", "library_path"), "SELECT id, CASE WHEN id % 3 = 1 THEN 'neu' ELSE category END AS category, CASE WHEN id % 3 = 1 THEN 'x/y.pdf' ELSE library_path END AS library_path FROM doc")
+
 # --- extension: events by the hour, read as a stream
 
 

@@ -90,12 +90,29 @@ def classifications(replies: DataFrame, tree: dict[str, list[str]], reply: str =
     )
 
 
-def ask(documents: DataFrame, provider, prompt: str = "prompt") -> DataFrame:
-    """documents with `reply`: a Python callable from prompts to replies runs in batches on the executors."""
+def ask(documents: DataFrame, provider, prompt: str = "prompt", tries: int = 1, wait: float = 0.5) -> DataFrame:
+    """documents with `reply`: a Python callable from prompts to replies runs in batches on the executors.
+
+    A call that raises is tried again, `tries` times in all, after waits that double; then its reply is empty, and the
+    rows after it go on. With one try an error ends the job.
+    """
     schema = documents.withColumn("reply", F.lit("")).schema
 
+    def answer(text: str) -> str:
+        import time
+
+        for n in range(tries):
+            try:
+                return provider(text)
+            except Exception:
+                if tries == 1:
+                    raise
+                if n + 1 < tries:
+                    time.sleep(wait * 2**n)
+        return ""
+
     def run(frames):
         for f in frames:
-            yield f.assign(reply=[provider(p) for p in f[prompt]])
+            yield f.assign(reply=[answer(p) for p in f[prompt]])
 
     return documents.mapInPandas(run, schema)

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from quillstack.functions.scalars import text_too_short
 from quillstack.sources.replies import classifications
 
-SUFFIXES = "*.{pdf,jpg,jpeg,png,tif,tiff,bmp,txt}"
+SUFFIX_LIST = ["pdf", "jpg", "jpeg", "png", "tif", "tiff", "bmp", "txt"]
+SUFFIXES = "*.{" + ",".join(SUFFIX_LIST) + "}"
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import rules, scalars
-from quillstack.operators import explorer, finance, library, search, writes
+from quillstack.operators import explorer, finance, flows, library, search, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.plans.archive import SCHEMAS, Archive, open_archive
 from quillstack.sources import bank_csv, replies
@@ -288,3 +288,37 @@ def test_ranked_by_hand(a, spark):
     want = {i: round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 3)), 6) for i, tf, n in ((1, 1, 2), (4, 2, 3))}
     assert got == want
     assert [r.id for r in search.ranked(a, "delta", index=index).collect()] == [5]
+
+
+def test_replies_are_asked_for_again(spark, tmp_path):
+    """The first call for a text fails, and one text always; the marks of calls are files, as executors are other processes."""
+
+    def provider(text):
+        import os
+
+        mark = f"{tmp_path}/{text}"
+        if text == "never" or not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("busy")
+        return text.upper()
+
+    asked = replies.ask(spark.createDataFrame([("a",), ("never",), ("b",)], "prompt string"), provider, tries=3, wait=0.01)
+    assert {r.prompt: r.reply for r in asked.collect()} == {"a": "A", "never": "", "b": "B"}
+
+
+def test_category_trees_and_languages(tmp_path):
+    path = tmp_path / "categories.json"
+    path.write_text('{"categories": ["Bank", {"name": "Rechnungen", "subcategories": ["Strom", {"name": "Gas"}]}]}')
+    assert flows.category_tree(str(path)) == {"Bank": [], "Rechnungen": ["Strom", "Gas"]}
+    pick = lambda *x: flows.pick_language(*x, ["de", "en"])
+    assert [pick("en", "de"), pick("xx", "fr-FR, en-GB;q=0.8"), pick(None, None)] == ["en", "en", "de"]
+
+
+def test_upload(spark, tmp_path):
+    files = spark.createDataFrame([("a.pdf", b"1"), ("a.pdf", b"2"), ("b.exe", b"3"), ("c.TXT", b"4" * 1000)], "name string, content binary")
+    (tmp_path / "a.pdf").write_bytes(b"old")
+    for _ in range(2):
+        got = flows.upload(files, str(tmp_path)).collect()
+        assert [r.name for r in got if r.stored_as is None] == ["b.exe"]
+        held = {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")}
+        assert sorted(held.values()) == sorted([b"old", b"1", b"2", b"4" * 1000]) and held["a.pdf"] == b"old" and held["c.TXT"] == b"4" * 1000
