@@ -1,9 +1,11 @@
 """Lempel-Ziv phrase fingerprints: texts that compress each other have phrases, and so signatures, in common.
 
 A text is parsed into dictionary phrases (Lempel and Ziv, 1978) over word-like symbols, each of which keeps its leading
-space; a phrase is the shortest run of symbols that has not been a phrase before. The set of phrases is hashed, and the
+space; a longer run of word characters than twelve is several symbols, so texts without spaces have phrases too, and
+nothing is left out. A phrase is the shortest run of symbols that has not been a phrase before. The set of phrases is hashed, and the
 least hash in each of BINS parts of the range is kept: one-permutation minimum hashing. The share of equal minima
-estimates the likeness of the phrase sets.
+estimates the likeness of the phrase sets. Of each minimum a byte is kept, so unequal ones agree once in 255 times: the
+likeness of unlike texts is 0.004 too high on average, and less so the more they share.
 """
 
 from __future__ import annotations
@@ -119,7 +121,8 @@ def lz_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """A row for each row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document of each is the one after it in descending order of key, nulls last, rows of one key in the order
-    of a hash of their text; the first follows the last, and a lone row follows itself. Null texts are empty. Other
+    of a hash of their text; the first follows the last, and a lone row follows itself. Null texts are empty. Keys are
+    whole numbers. Other
     columns are ignored, whatever their names. An empty table gives no rows.
 
     Texts move once, to ranges of (key, hash of the text), and each range is read row after row. Only the ends of

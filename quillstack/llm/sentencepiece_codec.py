@@ -7,6 +7,9 @@ depth-first walk of their trie; the forward states of a prefix are kept while th
 trie is worked once. Words seen in earlier batches come from a bounded cache.
 
 A unigram vocabulary gives forward scores: the best sum of piece scores to each place, and the piece that it ends with.
+Where two ways have the same sum, the library's choice hangs on how its single-precision sums from the start of the text
+were rounded, and this one's doesn't.
+
 A merge vocabulary (BPE) has no additive score. There the state of a prefix is the last piece of its encoding: of the
 pieces that end a prefix exactly one follows the state before it as merging would leave the two. So the same forward
 pass serves, with that test in place of a sum, and its results are the library's.
@@ -25,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillstack.llm.common import documents, kept, map_batches
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose encodings a worker keeps, and pairs of pieces that it has tested; either starts anew when it is full.
-CACHED, TESTED = 500_000, 1_000_000
+#: Bytes of words and encodings that a worker keeps, and pairs of pieces that it has tested; either starts anew when it is full.
+CACHED_BYTES, TESTED = 128_000_000, 1_000_000
+#: What an entry takes beside its word and ids.
+_ENTRY = 150
 #: Characters of texts that are encoded together.
 BATCH_CHARS = 4_000_000
 
@@ -61,7 +67,10 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.lowest = min(self.scores) - 10
         inside = set().union(*(p for p in self.ids if len(p) > 1))
-        alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in inside)
+        # without pieces for bytes, unknown characters side by side are one piece, so they can't be cut apart
+        alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in inside) if self.bytes else ""
+        if not self.bytes and MARK not in self.ids:
+            raise ValueError("words can't be told apart where the mark is unknown")
         self._word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self._ends: dict[str, int] = {}
         for piece in self.ids:
@@ -74,6 +83,7 @@ class Codec:
         #: Pieces that merging their own characters gives.
         self.whole = {p for p in self.ids if self._merge(p) == (p,)} if self.bpe else set(self.ids)
         self._cache: dict[str, bytes] = {}
+        self._cached = 0
 
     def _merge(self, text: str) -> tuple[str, ...]:
         """The merges of a piece or two, done one at a time: the best score first, the leftmost of equals."""
@@ -135,14 +145,14 @@ class Codec:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
+            elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return struct.pack(f"<{len(out)}i", *out)
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """The cache, which then has the ids of each of these words, as little-endian 32-bit numbers."""
-        if len(self._cache) > CACHED:
-            self._cache = {}
+        if self._cached > CACHED_BYTES:
+            self._cache, self._cached = {}, 0
         before, cache = "", self._cache
         step = self._forward_bpe if self.bpe else self._forward_unigram
         states: list = ["" if self.bpe else (0.0, "")]
@@ -159,7 +169,8 @@ class Codec:
                 piece = states[end] if self.bpe else states[end][1]
                 pieces.append(piece)
                 end -= len(piece)
-            cache[word] = self._ids_of(pieces[::-1])
+            cache[word] = ids = self._ids_of(pieces[::-1])
+            self._cached += _ENTRY + 4 * len(word) + len(ids)
             before = word
         return cache
 
@@ -236,10 +247,13 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: tuple[
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
-    """encoded with `text`, the text of its ids; a column of that name is replaced, null ids give null."""
+    """encoded with `text`, the text of its ids; a column of that name is replaced.
+
+    Null ids give null, no ids an empty text; ids beyond the vocabulary are an error. An empty table gives no rows.
+    """
     rest = [c for c in encoded.columns if c not in (ids, text)]
     source = encoded.select(*rest, ids)
-    schema = encoded.select(*rest, F.lit("").alias(text)).select(*rest, F.when(F.lit(True), F.col(text)).alias(text)).schema
+    schema = StructType([*encoded.select(*rest).schema.fields, StructField(text, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)

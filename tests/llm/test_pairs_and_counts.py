@@ -196,6 +196,42 @@ def test_lz_fingerprints(which, request):
         assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.2
 
 
+def plain_phrases(text):
+    """Phrases by the definition: the shortest run of symbols that was no phrase before; a symbol is a word of up to twelve characters with the space before it, or one other character."""
+    symbols, i = [], 0
+    while i < len(text):
+        j = i + 1 if text[i] == " " and i + 1 < len(text) and (text[i + 1].isalnum() or text[i + 1] == "_") else i
+        k = j
+        while k < len(text) and k - j < 12 and (text[k].isalnum() or text[k] == "_"):
+            k += 1
+        symbols.append(text[i : max(k, i + 1)])
+        i = max(k, i + 1)
+    seen, at = [], 0
+    while at < len(symbols):
+        end = at + 1
+        while end < len(symbols) and "".join(symbols[at:end]) in seen:
+            end += 1
+        seen.append("".join(symbols[at:end]))
+        at = end
+    return set(seen)
+
+
+def test_fingerprints_are_the_least_hashes_of_the_phrases(small):
+    import xxhash
+
+    texts = [r.text or "" for r in small.limit(25).collect()] + ["", " ", "a", "a a a a a", "x" * 40 + " é_1\n\t-"]
+    for text in texts:
+        text = text[:3000]
+        phrases = plain_phrases(text)
+        assert phrases == lz_fingerprint.phrases(text)
+        bins = defaultdict(list)
+        for p in phrases:
+            h = xxhash.xxh3_64_intdigest(p)
+            bins[h >> 57].append(h)
+        want = [min(bins[b]) % 255 if bins[b] else 255 for b in range(128)]
+        assert lz_fingerprint.signature(text).tolist() == want
+
+
 def test_signatures_estimate_the_likeness_of_phrase_sets(small):
     texts = [r.text for r in small.limit(30).collect()]
     errors = []

@@ -114,6 +114,51 @@ def test_encoding_of_random_text():
     assert c.encode(texts) == [sp.encode(t) for t in texts]
 
 
+def unigram_model(path, byte_pieces):
+    """A vocabulary written by hand, with scores that make no two ways equal."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng, proto = random.Random(15), pb.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, byte_pieces
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    words = ["▁", *"abcde", "ab", "bc", "abc", "▁a", "▁ab", "cde", "de", "ea", "eab", "▁abcde"]
+    kinds = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256 if byte_pieces else 0)), *((w, -rng.uniform(1, 9), 1) for w in words)]
+    for piece, score, kind in kinds:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(proto.SerializeToString())
+
+
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_unigram_encoding_is_the_librarys(tmp_path, byte_pieces):
+    """The best sum of scores; characters outside the vocabulary, as bytes or, run together, as unknown."""
+    import sentencepiece
+
+    path = tmp_path / "unigram.model"
+    unigram_model(path, byte_pieces)
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_codec.Codec(str(path))
+    rng = random.Random(16)
+    texts = ["".join(rng.choice("aabbccddee  xé\n") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    assert c.encode(texts) == [sp.encode(t) for t in texts]
+
+
+def test_the_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHED_BYTES", 20_000)
+    import public_tokenizers
+
+    c = sentencepiece_codec.Codec(public_tokenizers.path(sentencepiece_codec.MODEL))
+    rng = random.Random(18)
+    for _ in range(30):
+        c.encode(["".join(rng.choices("abcdefgh", k=1000)), "short words here"])
+        assert sum(len(w) for w in c._cache) < 20_000
+
+
+def test_decoding_of_nulls_and_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, [], "y"), (3, [262, 263], "z")], "doc_id long, ids array<int>, text string")
+    got = {r.doc_id: r.text for r in sentencepiece_codec.decode(df).collect()}
+    assert got[1] is None and got[2] == "" and got[3]
+    assert sentencepiece_codec.decode(df.limit(0)).collect() == []
+
+
 # --- op5
 
 
@@ -468,6 +513,28 @@ def test_training_order_outlives_the_encoding(spark, sf, small, tmp_path):
     assert [(r.doc_id, r.source) for r in sorted(got, key=lambda r: r.training_order)] == want
 
 
+def test_pipeline_of_awkward_and_of_no_rows(spark, awkward, small, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows; and a table without rows."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, docs in (("awkward", awkward.select(*columns).unionByName(small.select(*columns).limit(30))), ("none", small.select(*columns).limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(got) > 0) == (name == "awkward") and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_texts_of_megabytes(spark):
+    """Each operator on whole texts of some megabytes, with lines, without, and of one repeated line."""
+    rng = random.Random(19)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(12))
+    many = "\n".join(line() for _ in range(25_000))
+    texts = [many, "x" * 2_000_000, "the same line of eight words or more\n" * 50_000, many + "\nand its end", "k" * 100 + "=" + "Aa1" * 700_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4)
+    for function in (quality.quality, secrets.scan, similar.one_of_each):
+        function(docs).count()
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0] == many and got[1] == texts[1] and got[2] == "the same line of eight words or more" and got[3] == "and its end"
+
+
 def test_stages_keep_the_columns(spark, sf, small, tmp_path):
     docs = small
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
