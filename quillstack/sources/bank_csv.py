@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import rules
 from quillstack.functions.scalars import iban_hash, normalise_date, normalise_iban, parse_amount, tx_hash
 from quillstack.operators import writes
-from quillstack.plans.archive import Archive
+from quillstack.plans.archive import Archive, scratch
 
 #: The columns that are read, with the spellings of their headers after folding (fixed values).
 COLUMNS = {
@@ -103,15 +103,19 @@ def parse(rows: DataFrame) -> DataFrame:
 
     Everything is a Column expression, so rows that come from elsewhere are parsed the same way.
     """
-    account, date, amount = normalise_iban(F.col("account")), normalise_date(F.col("booking_date")), parse_amount(F.col("amount"))
-    status: Column = F.when(F.col("problem").isNotNull(), "error").when(F.coalesce(account, F.lit("")) == "", "skipped").when(date.isNull() | amount.isNull(), "invalid").otherwise("ok")
-    purpose = F.substring("purpose", 1, 500)
-    return rows.select(
-        "path", "line_no", status.alias("status"), account.alias("iban"), iban_hash(F.col("account")).alias("iban_hash"), F.substring(account, -4, 4).alias("iban_last4"),
-        date.alias("booking_date"), normalise_date(F.col("value_date")).alias("value_date"), amount.alias("amount"), F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit("EUR")).alias("currency"),
-        F.substring("counterparty", 1, 200).alias("counterparty"), normalise_iban(F.col("counterparty_iban")).alias("counterparty_iban"), purpose.alias("purpose"),
-        rules.tx_type(F.col("booking_text"), F.col("counterparty"), F.col("purpose")).alias("tx_type"), rules.category(F.col("counterparty"), F.col("purpose")).alias("category"),
-        F.when(status == "ok", tx_hash(account, date, amount, F.substring("counterparty", 1, 200), purpose)).alias("tx_hash"),
+    # what others are made of is worked out once, in a step of its own
+    made = rows.select(
+        "path", "line_no", "problem", "booking_text", normalise_iban(F.col("account")).alias("iban"), normalise_date(F.col("booking_date")).alias("booking_date"), normalise_date(F.col("value_date")).alias("value_date"),
+        parse_amount(F.col("amount")).alias("amount"), F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit("EUR")).alias("currency"), F.substring("counterparty", 1, 200).alias("counterparty"),
+        normalise_iban(F.col("counterparty_iban")).alias("counterparty_iban"), F.substring("purpose", 1, 500).alias("purpose"),
+    )
+    no_value = F.col("booking_date").isNull() | F.col("amount").isNull()
+    status: Column = F.when(F.col("problem").isNotNull(), "error").when(F.coalesce("iban", F.lit("")) == "", "skipped").when(no_value, "invalid").otherwise("ok")
+    digest = tx_hash(F.col("iban"), F.col("booking_date"), F.col("amount"), F.col("counterparty"), F.col("purpose"))
+    return made.withColumn("status", status).select(
+        "path", "line_no", "status", "iban", F.when(F.col("iban") != "", F.sha2("iban", 256)).alias("iban_hash"), F.substring("iban", -4, 4).alias("iban_last4"), "booking_date", "value_date", "amount", "currency",
+        "counterparty", "counterparty_iban", "purpose", rules.tx_type(F.col("booking_text"), F.col("counterparty"), F.col("purpose")).alias("tx_type"),
+        rules.category(F.col("counterparty"), F.col("purpose")).alias("category"), F.when(F.col("status") == "ok", digest).alias("tx_hash"),
     )
 
 
@@ -139,7 +143,10 @@ def import_files(a: Archive, paths: list[str], now: str, bank_name: str = "Spark
     Account ids that are new follow the greatest by the order of their hashes; bookings' ids come from their hashes. A
     booking belongs to no statement until one is read. Reading the same file again changes nothing.
     """
-    bookings = parse(read_files(a.accounts.sparkSession, paths))
+    spark = a.accounts.sparkSession
+    folder = scratch(spark)
+    parse(read_files(spark, paths)).write.parquet(folder)  # files are read once
+    bookings = spark.read.parquet(folder)
     ok = bookings.where("status = 'ok'")
     seen = ok.groupBy("iban_hash").agg(F.min("iban").alias("iban"), F.min("iban_last4").alias("iban_last4"), F.min("currency").alias("currency"))
     last = a.accounts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"), F.lit(1).alias("k"))
