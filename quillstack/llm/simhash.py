@@ -263,10 +263,13 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, key: str = "doc_id"
     classed = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = stored(classed.join(least, "root").select("fingerprint", "n", "component_id"))
+    out, crowds = ["doc_id", "fingerprint", "component_id"], by_print.where(F.col("n") > CROWD)
+    if crowds.isEmpty():
+        return rows.join(by_print, "fingerprint").select(*out)
     # rows of a fingerprint that many share, such as that of blank texts, are not dealt by it; these fingerprints are fewer than rows / CROWD
-    crowds = F.broadcast(by_print.where(F.col("n") > CROWD).select("fingerprint", "component_id"))
+    crowds = F.broadcast(crowds.select("fingerprint", "component_id"))
     rest = rows.join(crowds, "fingerprint", "left_anti").join(by_print.where(F.col("n") <= CROWD), "fingerprint")
-    return rows.join(crowds, "fingerprint").unionByName(rest.select("fingerprint", "doc_id", "component_id")).select("doc_id", "fingerprint", "component_id")
+    return rows.join(crowds, "fingerprint").select(*out).unionByName(rest.select(*out))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -74,8 +74,11 @@ def plain_components(items, linked):
 # --- op3
 
 
+@pytest.mark.parametrize("crowd", [100_000, 1])
 @pytest.mark.parametrize("which", ["small", "awkward"])
-def test_simhash_matches_brute_force(which, request):
+def test_simhash_matches_brute_force(which, crowd, request, monkeypatch):
+    """Also where fingerprints that two rows share are joined apart."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     docs = request.getfixturevalue(which)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     prints = [plain_print(t) for _, t in rows]
