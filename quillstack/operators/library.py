@@ -102,6 +102,20 @@ def tree(a: Archive) -> DataFrame:
     return rows.rollup("year", "category").agg(F.count("*").alias("n"), _cost(), F.grouping_id().cast("int").alias("level"))
 
 
+def placed(rows: DataFrame, key: str, block: Column, order: list[Column]) -> DataFrame:
+    """rows with `place`, from 1, among those of their key in the given order, of which block is a coarser form.
+
+    A key is numbered block by block, and the blocks' sizes are summed: no task holds all rows of a key.
+    """
+    rows = rows.withColumn("_block", block)
+    sizes = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy(key, "_block").orderBy(*order))
+    joined = rows.withColumn("_inside", inside).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")))
+    return joined.withColumn("place", (F.col("_before") + F.col("_inside")).cast("int")).drop("_block", "_key", "_of", "_before", "_inside")
+
+
 def tags(a: Archive, trash: bool = False) -> DataFrame:
     """Tags with their counts, the most frequent first."""
     return library(a, trash).select(F.explode("tags").alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
@@ -115,10 +129,11 @@ def duplicate_groups(a: Archive) -> DataFrame:
 
 
 def duplicate_members(a: Archive) -> DataFrame:
-    """The same a row a document: content_hash, id, place (1: the one to keep). Partial counts leave few groups to sort."""
+    """The same a row a document: content_hash, id, place (1: the one to keep), numbered by the day."""
     rows = library(a).where("content_hash <> ''")
     many = rows.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(many, "content_hash").select("content_hash", "n", "id", F.row_number().over(W.partitionBy("content_hash").orderBy("created_at", "id")).cast("int").alias("place"))
+    found = rows.join(many, "content_hash").select("content_hash", "n", "id", "created_at")
+    return placed(found, "content_hash", F.substring("created_at", 1, 10), [F.col("created_at"), F.col("id")]).select("content_hash", "n", "id", "place")
 
 
 def duplicate_waste(a: Archive) -> DataFrame:
@@ -178,6 +193,7 @@ def by_id(a: Archive, doc_id: int) -> DataFrame:
 
 def with_collision_suffix(rows: DataFrame, path: str = "library_path") -> DataFrame:
     """rows with `final_path`: the second and later holders of a path get -2, -3 before the suffix."""
-    place = F.row_number().over(W.partitionBy(path).orderBy("id"))
+    block = F.floor(F.col("id") / 10_000) if dict(rows.dtypes)["id"] in ("int", "bigint") else F.substring(F.col("id").cast("string"), 1, 2)
     numbered = F.regexp_replace(F.col(path), r"(\.[^./]*)?$", "")
-    return rows.withColumn("_place", place).withColumn("final_path", F.when(F.col("_place") == 1, F.col(path)).otherwise(F.concat(numbered, F.lit("-"), F.col("_place").cast("string"), F.regexp_extract(path, r"(\.[^./]*)?$", 1)))).drop("_place")
+    found = placed(rows, path, block, [F.col("id")])
+    return found.withColumn("final_path", F.when(F.col("place") == 1, F.col(path)).otherwise(F.concat(numbered, F.lit("-"), F.col("place").cast("string"), F.regexp_extract(path, r"(\.[^./]*)?$", 1)))).drop("place")

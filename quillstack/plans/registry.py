@@ -68,11 +68,27 @@ for _d, _op, _o in (("expense", "<", "ASC"), ("income", ">", "DESC")):
     add(f"a15_top_counterparties_{_d}", lambda a, d=_d: finance.top_counterparties(a, d), f"""
 SELECT min(counterparty) AS counterparty, count(*) AS times, CAST(sum(amount) AS DOUBLE) AS total FROM live
 WHERE {OWN} AND amount {_op} 0 AND counterparty <> '' GROUP BY {_fold('counterparty')} ORDER BY sum(amount) {_o}, {_fold('counterparty')} LIMIT 15""")
-add("a16_recurring_loose", lambda a: finance.recurring(a, 2, 0.9), f"""
+
+
+def _recurring(live: str, months: int, tolerance: float) -> str:
+    return f"""
 SELECT counterparty, months, amount, min_amount, max_amount FROM (
   SELECT key, min(cp) AS counterparty, count(*) AS months, round(CAST(sum(CAST(mean AS DECIMAL(28,8))) AS DOUBLE) / count(*), 4) AS amount, min(mean) AS min_amount, max(mean) AS max_amount
-  FROM (SELECT {_fold('counterparty')} AS key, substr(booking_date, 1, 7) AS month, min(counterparty) AS cp, CAST(sum(amount) AS DOUBLE) / count(*) AS mean FROM live WHERE counterparty <> '' AND {DATED} GROUP BY 1, 2) GROUP BY key)
-WHERE months >= 2 AND abs(max_amount - min_amount) <= abs(amount) * 0.9 ORDER BY months DESC, abs(amount) DESC, key LIMIT 30""")
+  FROM (SELECT {_fold('counterparty')} AS key, substr(booking_date, 1, 7) AS month, min(counterparty) AS cp, CAST(sum(amount) AS DOUBLE) / count(*) AS mean FROM {live} WHERE counterparty <> '' AND {DATED} GROUP BY 1, 2) GROUP BY key)
+WHERE months >= {months} AND abs(max_amount - min_amount) <= abs(amount) * {tolerance} ORDER BY months DESC, abs(amount) DESC, key LIMIT 30"""
+
+
+#: Bookings that come again: an account pays one name, some of them amounts that vary too much.
+_AGAIN = "SELECT booking_date, 'Abo ' || account_id AS counterparty, CAST(CASE WHEN account_id % 3 = 0 THEN -1 - id % 40 ELSE -10 - account_id - (id % 3) * 0.1 END AS DECIMAL(18,2)) AS amount"
+
+
+def _paying_again(a: Archive) -> Archive:
+    amount = F.when(F.col("account_id") % 3 == 0, -1 - F.col("id") % 40).otherwise(F.lit(-10) - F.col("account_id") - (F.col("id") % 3) * F.lit("0.1").cast("decimal(2,1)"))
+    return replace(a, transactions=a.transactions.withColumn("counterparty", F.concat(F.lit("Abo "), F.col("account_id").cast("string"))).withColumn("amount", amount.cast("decimal(18,2)")))
+
+
+add("a16_recurring_loose", lambda a: finance.recurring(a, 2, 0.9), _recurring("live", 2, 0.9))
+add("a16_recurring", lambda a: finance.recurring(_paying_again(a)), _recurring(f"({_AGAIN} FROM live)", 3, 0.15))
 add("a21_periods", finance.periods, f"SELECT DISTINCT kind, value FROM (SELECT 'month' AS kind, substr(booking_date, 1, 7) AS value FROM live WHERE {DATED} UNION ALL SELECT 'year', substr(booking_date, 1, 4) FROM live WHERE {DATED})")
 _HEAT = f"SELECT booking_date AS date, {SPEND} AS spend, {IN} AS income, count(*) AS n FROM live WHERE {DATED} AND {OWN} AND %s GROUP BY 1"
 add("a22_heatmap_busiest_year", finance.heatmap, _HEAT % f"substr(booking_date, 1, 4) = (SELECT substr(booking_date, 1, 4) AS y FROM live WHERE {DATED} GROUP BY 1 ORDER BY count(*) DESC, y DESC LIMIT 1)")
@@ -140,12 +156,13 @@ SELECT t.id, booking_date, CAST(amount AS DOUBLE) AS amount, counterparty, purpo
 FROM (SELECT * FROM live WHERE {_w} ORDER BY booking_date DESC, id DESC LIMIT 200 OFFSET 20) t LEFT JOIN acc ON acc.id = t.account_id""")
     add(f"a17_totals_{_n}", lambda a, f=_f: explorer.totals(a, f), f"""
 SELECT count(*) AS count, {IN} AS sum_in, {OUT} AS sum_out, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sum_net, coalesce(min(booking_date), '') AS first_date, coalesce(max(booking_date), '') AS last_date FROM live WHERE {_w}""")
+    add(f"a19_months_{_n}", lambda a, f=_f: explorer.months(a, f), f"SELECT substr(booking_date, 1, 7) AS month, {IN} AS sum_in, {OUT} AS sum_out, count(*) AS n FROM live WHERE {_w} AND {DATED} GROUP BY 1 ORDER BY 1 DESC LIMIT 36")
+    add(f"a20_categories_{_n}", lambda a, f=_f: explorer.categories(a, f), f"SELECT coalesce(nullif(category, ''), 'sonstiges') AS cat, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM live WHERE {_w} GROUP BY 1")
+    _f, _w = replace(_f, direction=None), _w.replace("amount < 0 AND ", "").replace(" AND amount > 0", "")  # the top lists have directions of their own
     for _d, _op, _o in (("expense", "<", "ASC"), ("income", ">", "DESC")):
         add(f"a18_top_{_d}_{_n}", lambda a, f=_f, d=_d: explorer.top(a, f, d), f"""
 SELECT min(coalesce(nullif(counterparty, ''), '—')) AS counterparty, count(*) AS times, CAST(sum(amount) AS DOUBLE) AS total FROM live WHERE {_w} AND amount {_op} 0
 GROUP BY {_fold("coalesce(nullif(counterparty, ''), '—')")} ORDER BY sum(amount) {_o}, {_fold("coalesce(nullif(counterparty, ''), '—')")} LIMIT 10""")
-    add(f"a19_months_{_n}", lambda a, f=_f: explorer.months(a, f), f"SELECT substr(booking_date, 1, 7) AS month, {IN} AS sum_in, {OUT} AS sum_out, count(*) AS n FROM live WHERE {_w} AND {DATED} GROUP BY 1 ORDER BY 1 DESC LIMIT 36")
-    add(f"a20_categories_{_n}", lambda a, f=_f: explorer.categories(a, f), f"SELECT coalesce(nullif(category, ''), 'sonstiges') AS cat, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM live WHERE {_w} GROUP BY 1")
 
 # --- library
 
