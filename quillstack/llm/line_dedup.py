@@ -89,14 +89,34 @@ def fingerprints(hashes: np.ndarray, sizes: np.ndarray, noise: int = NOISE, guar
     return list(found)
 
 
+def _list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind) if parts else pa.array([], kind))
+
+
+def _parts(column: pa.ListArray, field: str | None = None) -> list[np.ndarray]:
+    """The values of each row of a column of lists, or those of a field of the structs in it."""
+    values = column.values.field(field) if field else column.values
+    values, offsets = values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+#: Rows of a batch that are worked on at once.
+_ROWS = 1000
+
+
 def _index(noise: int, guarantee: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = pa.struct([("gram", pa.int64()), ("pos", pa.int32())])
-        for b in batches:
-            rows = [line_hashes(t) for t in b.column(2).to_pylist()]
-            grams = [[{"gram": g, "pos": p} for g, p in fingerprints(h, s, noise, guarantee)] for h, _, s in rows]
-            lists = [pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, pa.array(grams, pa.list_(gram))], names=["doc_id", "th", "hashes", "at", "sizes", "grams"])
+        for whole in batches:
+            for b in (whole.slice(at, _ROWS) for at in range(0, whole.num_rows, _ROWS)):
+                rows = [line_hashes(t.as_py()) for t in b.column(2)]
+                lists = [_list_array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                found = [fingerprints(h, s, noise, guarantee) for h, _, s in rows]
+                gram = pa.array([g for row in found for g, _ in row], pa.int64())
+                pos = pa.array([p for row in found for _, p in row], pa.int32())
+                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([gram, pos], names=["gram", "pos"]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, grams], names=["doc_id", "th", "hashes", "at", "sizes", "grams"])
 
     return run
 
@@ -121,19 +141,18 @@ def extended(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int]])
 
 def _extend(guarantee: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
         for b in batches:
-            ids, ths, runs = [], [], []
-            for i, th, anchors, own, at, sizes, other, low in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
-                own, other = np.array(own, dtype=np.int64), np.array(other, dtype=np.int64)
-                found = [
-                    {"first": at[f], "last": at[e] - 1 if e < len(at) else _LAST}
-                    for f, e in extended(own, other, [(a["pos"], a["src_pos"] - low) for a in anchors])
-                    if sum(sizes[f:e]) >= guarantee
-                ]
-                if found:
-                    ids.append(i), ths.append(th), runs.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(runs, pa.list_(span))], names=["doc_id", "th", "runs"])
+            rows, found = [], []
+            lines = zip(_parts(b.column(2), "pos"), _parts(b.column(2), "src_pos"), *(_parts(b.column(c)) for c in (3, 4, 5, 6)), b.column(7).to_pylist())
+            for n, (pos, src, own, at, sizes, other, low) in enumerate(lines):
+                runs = [(f, e) for f, e in extended(own, other, list(zip(pos.tolist(), (src - low).tolist()))) if sizes[f:e].sum() >= guarantee]
+                if runs:
+                    rows.append(n)
+                    found.append([(int(at[f]), int(at[e]) - 1 if e < len(at) else _LAST) for f, e in runs])
+            spans = pa.StructArray.from_arrays([pa.array([s[i] for r in found for s in r], pa.int32()) for i in (0, 1)], names=["first", "last"])
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            kept = b.select([0, 1]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["doc_id", "th", "runs"])
 
     return run
 
