@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from quillstack.llm.line_dedup import op9_line_dedup
 from quillstack.llm.lz_fingerprint import op6_lz_fingerprints
 from quillstack.llm.mixing import OP10_SQL, op10_mixing
@@ -28,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jump_sharding": op8_jump_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: Of the others SQL can't express the method, or is too slow on whole tables; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_jump_sharding": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_jump_sharding": OP8_SQL, "op10_mixing": OP10_SQL, "op13_conversation_trie": OP13_SQL}
