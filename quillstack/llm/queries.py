@@ -16,6 +16,7 @@ from quillstack.llm.sentencepiece_codec import op2_sentencepiece
 from quillstack.llm.secrets import op5_secret_scan
 from quillstack.llm.sharding import OP8_SQL, op8_jump_sharding
 from quillstack.llm.simhash import op3_simhash
+from quillstack.llm.token_alignment import op11_token_alignment
 from quillstack.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jump_sharding": op8_jump_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_token_alignment": op11_token_alignment,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
