@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm.conversation_trie import OP13_SQL, op13_conversation_trie
+from quillstack.llm.jaccard_join import op12_jaccard_join
 from quillstack.llm.line_dedup import op9_line_dedup
 from quillstack.llm.lz_fingerprint import op6_lz_fingerprints
 from quillstack.llm.mixing import OP10_SQL, op10_mixing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
