@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.rules import BLOCKERS, SIGNALS, signal_names
+from quillstack.functions.rules import BLOCKERS, signal_names, with_shops
 from quillstack.functions.scalars import ascii_contains, ascii_lower
 from quillstack.operators.finance import live_documents
 from quillstack.plans.archive import Archive
@@ -78,13 +78,13 @@ def top_items(a: Archive, limit: int = 10) -> DataFrame:
     return found.orderBy(F.desc("times"), F.desc("spent"), "key").limit(limit).drop("key")
 
 
-def misfiled(a: Archive, promotable: list[str], limit: int = 200, least: int = 2, most_blockers: int = 2) -> DataFrame:
+def misfiled(a: Archive, promotable: list[str], limit: int = 200, least: int = 2, most_blockers: int = 2, shops: tuple[str, ...] = ()) -> DataFrame:
     """Documents of other categories whose text looks like a receipt, among the newest 5 * limit with a text: newest first.
 
-    Those that have a receipt already are left out.
+    Those that have a receipt already are left out. A name of one of the shops counts as a signal.
     """
     rows = live_documents(a).where(F.col("category").isin(promotable)).where("extracted_text <> ''").orderBy(F.desc("id")).limit(5 * limit)
     rows = rows.join(a.receipts.select(F.col("doc_id").alias("id")), "id", "left_anti")
-    rows = rows.withColumn("signals", signal_names(F.col("extracted_text"), SIGNALS)).withColumn("blockers", F.size(signal_names(F.col("extracted_text"), BLOCKERS)))
+    rows = rows.withColumn("signals", signal_names(F.col("extracted_text"), with_shops(shops))).withColumn("blockers", F.size(signal_names(F.col("extracted_text"), BLOCKERS)))
     rows = rows.withColumn("signal_count", F.size("signals")).where((F.col("signal_count") >= least) & (F.col("blockers") < most_blockers))
     return rows.orderBy(F.desc("id")).limit(limit).select("id", "category", "subject", "signals", "signal_count")
