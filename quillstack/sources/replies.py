@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillstack.functions.scalars import blank_to, clamp, normalise_date, to_number
+from quillstack.sources import json_objects
 
 # What a receipt may say (fixed values).
 SHOP_TYPES = ["supermarkt", "drogerie", "baumarkt", "restaurant", "cafe", "tankstelle", "apotheke", "bekleidung", "elektronik", "buecher", "moebel", "versand", "sonstiges"]
@@ -16,38 +19,18 @@ RECEIPT = f"shop_name string, shop_type string, payment_method string, total_amo
 CLASSIFICATION = "category string, subcategory string, tags array<string>, date string, sender string, subject string, confidence string, reasoning string"
 
 
-def _balanced(text: Column) -> Column:
-    """From a brace at the start of text to its partner; null without one.
-
-    Braces inside strings don't count: of a string only its quotes matter.
-    """
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end"), F.lit(0).alias("at"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
-
-    def step(s: Column, c: Column) -> Column:
-        plain = ~s["quoted"]
-        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
-        done = (s["end"] == 0) & plain & (c == "}") & (depth == 0)
-        return F.struct(
-            depth.alias("depth"), F.when(done, s["at"] + 1).otherwise(s["end"]).alias("end"), (s["at"] + F.length(c)).alias("at"),
-            F.when((c == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"), ((c == "\\") & s["quoted"] & ~s["escaped"]).alias("escaped"),
-        )
-
-    end = F.aggregate(F.split(text, ""), start, step, lambda s: s["end"])
-    return F.nullif(F.substring(text, F.lit(1), end), F.lit(""))
+@F.pandas_udf(StringType())
+def _first_object(replies: pd.Series) -> pd.Series:
+    return replies.map(lambda text: None if text is None else json_objects.first_object(text))
 
 
 def first_object(reply: Column) -> Column:
     """The first JSON object of a reply: fences, prose before and text after are dropped. Null without one.
 
-    The text from the first brace to its partner is tried; where it is no JSON, each later brace in turn.
+    The text from the first brace to its partner is tried; where it is no JSON, each later brace in turn. Replies come
+    from Python and are read there, in time that grows with their length.
     """
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    body = F.coalesce(reply, F.lit(""))
-    first = valid(_balanced(F.regexp_extract(body, r"(?s)\{.*", 0)))
-    # what follows each brace, up to the end of the text
-    tails = F.transform(F.filter(F.sequence(F.lit(2), F.size(F.split(body, r"\{", -1)) - 1), lambda n: n > 1), lambda n: F.concat(F.lit("{"), F.array_join(F.slice(F.split(body, r"\{", -1), n + 1, 1_000_000), "{")))
-    later = F.filter(F.transform(tails, lambda x: valid(_balanced(x))), lambda x: x.isNotNull())
-    return F.coalesce(first, F.when(F.size(F.split(body, r"\{", -1)) > 2, F.get(later, F.lit(0))))
+    return _first_object(reply)
 
 
 def receipts(replies: DataFrame, reply: str = "reply") -> DataFrame:
