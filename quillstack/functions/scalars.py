@@ -127,9 +127,10 @@ def narrow_page(width: Column, height: Column) -> Column:
 
 
 def display_size(c: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
-    step = lambda k: F.format_string("%.1f", c / float(1024**k))
-    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024**2, F.concat(step(1), F.lit(" KB"))).when(c < 1024**3, F.concat(step(2), F.lit(" MB"))).otherwise(F.concat(step(3), F.lit(" GB")))
+    """Bytes as B, KB, MB, GB or TB; a dash for none."""
+    step = lambda k, unit: F.format_string(f"%.1f {unit}", c / float(1024**k))
+    sized = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024**2, step(1, "KB")).when(c < 1024**3, step(2, "MB")).when(c < 1024**4, step(3, "GB")).otherwise(step(4, "TB"))
+    return F.when(F.coalesce(c, F.lit(0)) == 0, "–").otherwise(sized)
 
 
 #: Dollars to euros, as shown (a fixed value).
@@ -137,7 +138,20 @@ EUR_PER_USD = 0.93
 
 
 def display_eur(usd: Column) -> Column:
-    return F.format_string("%.4f €", usd * EUR_PER_USD)
+    return F.format_string("%.2f €", usd * EUR_PER_USD)
+
+
+def display_usd(usd: Column) -> Column:
+    """Dollars with two places, small amounts with four."""
+    return F.when(usd < 0.01, F.format_string("$%.4f", usd)).otherwise(F.format_string("$%.2f", usd))
+
+
+def display_age(moment: Column, now: Column) -> Column:
+    """How long ago a moment was, in the largest whole unit: s (1 at least), m, h or d. Empty for none."""
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(moment.try_cast("timestamp"))
+    whole = lambda n, unit: F.concat(F.floor(seconds / n).cast("string"), F.lit(unit))
+    aged = F.when(seconds < 60, F.concat(F.greatest(seconds, F.lit(1)).cast("string"), F.lit("s"))).when(seconds < 3600, whole(60, "m")).when(seconds < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+    return F.coalesce(aged, F.lit(""))
 
 
 #: (provider, model prefix, dollars per million input and output tokens), the first match wins. Public list prices (fixed values).
@@ -167,6 +181,14 @@ def pricing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*row, i) for i, row in enumerate(PRICES)], "provider string, model string, input_per_mtok double, output_per_mtok double, place int")
 
 
+def priced(calls: DataFrame, model: str = "model") -> DataFrame:
+    """calls with provider, input_per_mtok, output_per_mtok by the first row of PRICES that its model's name begins with; null without one."""
+    table = pricing(calls.sparkSession).withColumnRenamed("model", "_prefix")
+    first = calls.select(model).distinct().join(F.broadcast(table), F.startswith(F.col(model), F.col("_prefix")))  # the table is a constant
+    first = first.groupBy(model).agg(F.min_by(F.struct("provider", "input_per_mtok", "output_per_mtok"), "place").alias("_p"))
+    return calls.join(first, model, "left").select(*calls.columns, "_p.provider", "_p.input_per_mtok", "_p.output_per_mtok")
+
+
 def token_cost(provider: Column, model: Column, tokens_in: Column, tokens_out: Column, written: Column, read: Column, prices: list[tuple] = PRICES) -> Column:
     """Dollars for a call. The first row of the provider whose prefix starts the model's name prices it; without one, as for local models, it is 0."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import OTHER, TRANSFER, all_of, ascii_contains, ascii_lower, blank_to
 from quillstack.operators.finance import MONTH, _in, _out, live_transactions
+from quillstack.operators.library import after
 from quillstack.plans.archive import Archive
 
 
@@ -67,6 +68,13 @@ def page(a: Archive, f: TransactionFilter, limit: int = 200, offset: int = 0) ->
     return rows.join(accounts, "account_id", "left").orderBy(F.desc("booking_date"), F.desc("id")).select("id", "booking_date", F.col("amount").cast("double").alias("amount"), "counterparty", "purpose", "category", "account_id", "doc_id", "bank_name", "iban_last4")
 
 
+def page_after(a: Archive, f: TransactionFilter, last: tuple | None, limit: int = 200) -> DataFrame:
+    """The bookings that follow (booking_date, id), newest first; None is the first page. See library.page_after."""
+    rows = after(live_transactions(a).where(f.test()).withColumn("page_key", F.col("booking_date")), last, "desc", limit)
+    accounts = a.accounts.select(F.col("id").alias("account_id"), "bank_name", "iban_last4")
+    return rows.join(accounts, "account_id", "left").orderBy(F.desc("booking_date"), F.desc("id")).select("id", "booking_date", F.col("amount").cast("double").alias("amount"), "counterparty", "purpose", "category", "account_id", "doc_id", "bank_name", "iban_last4")
+
+
 def totals(a: Archive, f: TransactionFilter) -> DataFrame:
     return live_transactions(a).where(f.test()).agg(
         F.count("*").alias("count"), _in().alias("sum_in"), _out().alias("sum_out"), F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("sum_net"),

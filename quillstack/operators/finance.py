@@ -170,6 +170,12 @@ def statement_by_file(a: Archive, file_hash: str) -> DataFrame:
     return a.statements.where(F.col("file_hash") == file_hash).orderBy(F.desc("id")).limit(1)
 
 
+def statements_by_files(a: Archive, files: DataFrame) -> DataFrame:
+    """The statements that were read from files (file_hash), the newest of several of one file."""
+    newest = a.statements.join(files.select("file_hash").distinct(), "file_hash", "left_semi").groupBy("file_hash").agg(F.max("id").alias("id"))
+    return a.statements.join(newest.select("id"), "id", "left_semi")
+
+
 def _spine(a: Archive, name: str, first: int, last: int) -> DataFrame:
     return a.accounts.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias(name))
 

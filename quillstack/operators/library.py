@@ -60,6 +60,30 @@ def listing(a: Archive, f: DocumentFilter = DocumentFilter(), trash: bool = Fals
     return library(a, trash).where(f.test()).orderBy(*sort_columns(order_by, direction)).offset(offset).limit(limit)
 
 
+def page_after(a: Archive, last: tuple | None, f: DocumentFilter = DocumentFilter(), trash: bool = False, order_by: str = "doc_date", direction: str = "desc", limit: int = 200) -> DataFrame:
+    """The page that follows a row, with `page_key`: (page_key, id) of a page's last row is the next one's `last`; None is the first page.
+
+    No rows are passed over: what comes before the key is filtered, so a page far back costs what the first one does.
+    Pages join without gap or repeat, equal and null keys included.
+    """
+    key = ORDERS.get(order_by, DATE)()
+    return after(library(a, trash).where(f.test()).withColumn("page_key", key), last, direction, limit)
+
+
+def after(rows: DataFrame, last: tuple | None, direction: str, limit: int) -> DataFrame:
+    """The first rows behind (page_key, id), by page_key in a direction and newest id first; nulls are least."""
+    key = F.col("page_key")
+    if last is not None:
+        value, number = F.lit(last[0]), F.col("id") < last[1]
+        if last[0] is None:
+            rows = rows.where(key.isNull() & number if direction != "asc" else (key.isNull() & number) | key.isNotNull())
+        elif direction != "asc":
+            rows = rows.where((key < value) | ((key == value) & number) | key.isNull())
+        else:
+            rows = rows.where((key > value) | ((key == value) & number))
+    return rows.orderBy(key.asc() if direction == "asc" else key.desc(), F.desc("id")).limit(limit)
+
+
 def siblings(a: Archive, doc_id: int, f: DocumentFilter = DocumentFilter(), order_by: str = "doc_date", direction: str = "desc", limit: int = 5000) -> DataFrame:
     """position, total, prev_id (the older), next_id (the newer) of a document in the first rows of a listing."""
     rows = listing(a, f, order_by=order_by, direction=direction, limit=limit).select("id", DATE().alias("key"), *[c for c in ("category", "sender", "subject", "file_size", "status", "created_at", "doc_date") if c in a.documents.columns])
@@ -121,11 +145,14 @@ def tags(a: Archive, trash: bool = False) -> DataFrame:
     return library(a, trash).select(F.explode("tags").alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
 
 
-def duplicate_groups(a: Archive) -> DataFrame:
-    """content_hash, n and the ids, oldest first, of live documents with equal content. A group's ids are one row."""
-    rows = library(a).where("content_hash <> ''")
-    many = rows.groupBy("content_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("docs")).where("n > 1")
-    return many.select("content_hash", "n", F.transform("docs", lambda d: d["id"]).alias("ids"))
+def duplicate_groups(a: Archive, most: int = 1000) -> DataFrame:
+    """content_hash, n and the ids, oldest first, of live documents with equal content: the first `most` ids of a group, beside its whole count.
+
+    Places are numbered by the day, so no task and no row holds a group beyond `most`; duplicate_members has all of them.
+    """
+    first = duplicate_members(a).where(F.col("place") <= most)
+    listed = first.groupBy("content_hash", "n").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("docs"))
+    return listed.select("content_hash", "n", F.transform("docs", lambda d: d["id"]).alias("ids"))
 
 
 def duplicate_members(a: Archive) -> DataFrame:
@@ -186,6 +213,12 @@ def latest_by_hash(a: Archive, digest: str) -> DataFrame:
     return a.documents.where((F.col("content_hash") == digest) & F.col("deleted_at").isNull()).orderBy(F.desc("id")).limit(1).select("id", "content_hash")
 
 
+def latest_by_hashes(a: Archive, hashes: DataFrame) -> DataFrame:
+    """The newest live document of each of the given hashes (content_hash): id, content_hash."""
+    rows = a.documents.where("deleted_at IS NULL").join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+    return rows.groupBy("content_hash").agg(F.max("id").alias("id")).select("id", "content_hash")
+
+
 def by_id(a: Archive, doc_id: int) -> DataFrame:
     """The document of an id, in the trash or not."""
     return a.documents.where(F.col("id") == doc_id)

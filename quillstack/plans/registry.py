@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import rules, scalars
-from quillstack.operators import explorer, finance, flows, library, receipts, search, writes
+from quillstack.operators import explorer, finance, finance_page, flows, library, receipts, search, search_index, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.operators.library import DocumentFilter
 from quillstack.plans.archive import Archive, scratch, sql, stand_ins
-from quillstack.sources import bank_csv
+from quillstack.sources import bank_csv, versions
 from quillstack.streaming import inbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,11 +232,12 @@ GROUP BY {_fold('name')} ORDER BY times DESC, sum(total_price) DESC, {_fold('nam
 
 
 #: What is put after the texts of some documents, so that some look like receipts, and some like invoices as well.
-_TILL = ["Bon-Nr 12 Kassierer 3 zu zahlen PFAND", "girocard Payback Rechnungs-Nr: A1 zahlbar bis 1.1.", "Kasse 4 REWE mwst a 19,00 %", "kontaktlos", "Rechnungsnummer: 5 emv-aid Beleg-Nr"]
+_TILL = ["Bon-Nr 12 Es bediente Sie Frau K. zu zahlen PFAND", "girocard Bonuspunkte: 3 Rechnungs-Nr: A1 zahlbar bis 1.1.", "Kasse 4 Laden Nord MwSt A 19,00 %", "kontaktlos", "Rechnungsnummer: 5 Rueckgeld 1,20 KASSENBON"]
+_SHOPS = ("Laden Nord", "Kaufhaus")
 
 
 def _with_till_texts(a: Archive) -> Archive:
-    tail = F.element_at(F.array(*map(F.lit, _TILL)), (F.col("id") % 5 + 1).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, _TILL)), F.expr("CAST((id DIV 3) % 5 + 1 AS INT)"))
     return replace(a, documents=a.documents.withColumn("extracted_text", F.concat("extracted_text", F.lit(" "), tail)), receipts=a.receipts.where("doc_id % 4 = 0"))
 
 
@@ -248,15 +249,61 @@ def _named(rules: list[tuple[str, str]]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(till, {_quoted('(?i)' + p)}) THEN '{n}' END" for n, p in rules) + "], lambda x: x IS NOT NULL)"
 
 
-add("c17_misfiled_receipts", lambda a: receipts.misfiled(_with_till_texts(a), ["src0", "src3"]), f"""
-SELECT id, category, subject, signals, CAST(len(signals) AS INTEGER) AS signal_count FROM (SELECT id, category, subject, {_named(rules.SIGNALS)} AS signals, {_named(rules.BLOCKERS)} AS blockers FROM (
-  SELECT *, extracted_text || ' ' || [{", ".join(map(_quoted, _TILL))}][id % 5 + 1] AS till FROM doc WHERE deleted_at IS NULL AND category IN ('src0', 'src3') AND extracted_text <> '' ORDER BY id DESC LIMIT 1000)
+add("c17_misfiled_receipts", lambda a: receipts.misfiled(_with_till_texts(a), ["src0", "src3"], shops=_SHOPS), f"""
+SELECT id, category, subject, signals, CAST(len(signals) AS INTEGER) AS signal_count FROM (SELECT id, category, subject, {_named(rules.with_shops(_SHOPS))} AS signals, {_named(rules.BLOCKERS)} AS blockers FROM (
+  SELECT *, extracted_text || ' ' || [{", ".join(map(_quoted, _TILL))}][(id // 3) % 5 + 1] AS till FROM doc WHERE deleted_at IS NULL AND category IN ('src0', 'src3') AND extracted_text <> '' ORDER BY id DESC LIMIT 1000)
   WHERE id NOT IN (SELECT doc_id FROM rc WHERE doc_id % 4 = 0)) WHERE len(signals) >= 2 AND len(blockers) < 2 ORDER BY id DESC LIMIT 200""")
 
 # --- search
 
-add("x3_search_prefix", lambda a: search.match(a, "the ent"), f"SELECT id, category FROM lib WHERE {_matches('the')} AND {_matches('ent')}")
-add("x3_search_umlaut", lambda a: search.match(a, "Über"), f"SELECT id, category FROM lib WHERE {_matches('uber')}")
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _searched(query: Callable[[Archive, versions.Store], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that answers from the stored index of the library, which is built once for a session and folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, key = stand_ins(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+        if key not in _indexes:
+            root = scratch(spark)
+            search_index.update_index(versions.Store(spark, root), add=library.library(a).select("id", *(c for c in search.FIELDS if c in a.documents.columns)))
+            _indexes[key] = root
+        return query(a, versions.Store(spark, _indexes[key]))
+
+    return run
+
+
+def add_searched(name: str, query: Callable[[Archive, versions.Store], DataFrame], body: str) -> None:
+    QUERIES[name], ORACLE_SQL[name] = _searched(query), sql(body)
+
+
+def _found(a: Archive, store: versions.Store, query: str) -> DataFrame:
+    return library.library(a).select("id", "category").join(search_index.found(store, query), "id", "left_semi")
+
+
+add_searched("x3_search_prefix", lambda a, i: _found(a, i, "the ent"), f"SELECT id, category FROM lib WHERE {_matches('the')} AND {_matches('ent')}")
+add_searched("x3_search_umlaut", lambda a, i: _found(a, i, "Über"), f"SELECT id, category FROM lib WHERE {_matches('uber')}")
+add("x3_search_scan", lambda a: search.match(a, "the ent"), f"SELECT id, category FROM lib WHERE {_matches('the')} AND {_matches('ent')}")
+
+
+def _index_after_changes(a: Archive) -> DataFrame:
+    """An index from which documents went, in which others have another text, and which is one segment again."""
+    docs = library.library(a).select("id", *(c for c in search.FIELDS if c in a.documents.columns))
+    store = versions.Store(a.accounts.sparkSession, scratch(a.accounts.sparkSession))
+    search_index.update_index(store, add=docs)
+    edited = docs.where("id % 7 = 1 AND id % 5 <> 0").withColumn("extracted_text", F.concat(F.lit("brandneu the entwurf "), F.col("id").cast("string")))
+    search_index.update_index(store, add=edited, remove=docs.where("id % 5 = 0 OR id % 7 = 1"))
+    before = store.current()
+    search_index.compact(store)
+    each = [search_index.found(store, q, v).select(F.lit(n).alias("step"), F.lit(q).alias("query"), "id") for n, v in (("changed", before), ("compacted", store.current())) for q in ("brandneu", "the ent")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+_EDITED_TEXT = "CASE WHEN id % 7 = 1 THEN 'brandneu the entwurf ' || id ELSE extracted_text END"
+add("x2_index_after_changes", _index_after_changes, f"""
+SELECT step, query, id FROM (SELECT unnest(['changed', 'compacted']) AS step), (
+  SELECT 'brandneu' AS query, id FROM (SELECT * REPLACE ({_EDITED_TEXT} AS extracted_text) FROM lib WHERE id % 5 <> 0) WHERE {_matches('brandneu')}
+  UNION ALL SELECT 'the ent', id FROM (SELECT * REPLACE ({_EDITED_TEXT} AS extracted_text) FROM lib WHERE id % 5 <> 0) WHERE {_matches('the')} AND {_matches('ent')})""")
 
 
 def _ranked(prefixes: list[str]) -> str:
@@ -269,9 +316,9 @@ def _ranked(prefixes: list[str]) -> str:
   SELECT id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM tf JOIN idf USING (term) JOIN len USING (id), whole GROUP BY id HAVING count(*) = {len(prefixes)})"""
 
 
-add("x4_search_ranked", lambda a: search.ranked(a, "thonre sender"), f"SELECT id, score FROM {_ranked(['thonre', 'sender'])} ORDER BY score DESC, id LIMIT 50")
-add("l1_listing_search", lambda a: search.listing(a, "the ent", DocumentFilter(status="filed"), order_by="sender", direction="asc", limit=50).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM lib WHERE {_matches('the')} AND {_matches('ent')} AND status = 'filed' ORDER BY sender ASC, id DESC LIMIT 50")
-add("l1_listing_relevance", lambda a: search.listing(a, "thonre", DocumentFilter(status="filed"), order_by="relevance", limit=40).select("id", "status"), f"SELECT id, status FROM lib JOIN {_ranked(['thonre'])} USING (id) WHERE status = 'filed' ORDER BY score DESC, id DESC LIMIT 40")
+add_searched("x4_search_ranked", lambda a, i: search_index.best(i, "thonre sender"), f"SELECT id, score FROM {_ranked(['thonre', 'sender'])} ORDER BY score DESC, id LIMIT 50")
+add_searched("l1_listing_search", lambda a, i: search_index.listing(a, i, "the ent", DocumentFilter(status="filed"), order_by="sender", direction="asc", limit=50).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM lib WHERE {_matches('the')} AND {_matches('ent')} AND status = 'filed' ORDER BY sender ASC, id DESC LIMIT 50")
+add_searched("l1_listing_relevance", lambda a, i: search_index.listing(a, i, "thonre", DocumentFilter(status="filed"), order_by="relevance", limit=40).select("id", "status"), f"SELECT id, status FROM lib JOIN {_ranked(['thonre'])} USING (id) WHERE status = 'filed' ORDER BY score DESC, id DESC LIMIT 40")
 
 # --- bank files: rows of a file built from the bookings, parsed, and parsed again
 
@@ -300,12 +347,19 @@ SELECT path, count(*) AS rows, count(*) FILTER (status = 'invalid') AS invalid,
 
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _csv_import(a: Archive) -> DataFrame:
     """Files are written, imported and imported again: the accounts and bookings that came of it."""
     headers = {"Auftragskonto": F.concat(F.lit("DE00 "), F.lpad(F.col("account_id").cast("string"), 4, "0")), "Buchungstag": F.date_format(F.col("booking_date").cast("date"), "dd.MM.yyyy"), "Buchungstext": F.lit("LASTSCHRIFT"), "Verwendungszweck": F.col("purpose"), "Beguenstigter/Zahlungspflichtiger": F.col("counterparty"), "Betrag": F.translate(F.format_number("amount", 2), ".,", ",."), "Waehrung": F.lit("EUR")}
     folder = scratch(a.accounts.sparkSession)
-    a.transactions.where("account_id < 3").select(*(c.alias(h) for h, c in headers.items())).write.csv(folder, header=True, sep=";")
+    a.transactions.select(*(c.alias(h) for h, c in headers.items())).write.csv(folder, header=True, sep=";")
     once, _ = bank_csv.import_files(a, [folder], "2026-01-01")
+    once = replace(once, accounts=_kept(once.accounts), transactions=_kept(once.transactions))  # what is stored after an import
     twice, _ = bank_csv.import_files(replace(once, transactions=once.transactions.where("statement_id IS NULL")), [folder], "2026-01-02")
     own = twice.accounts.select(F.col("id").alias("account_id"), "iban_last4", "bank_name")
     rows = twice.transactions.where("statement_id IS NULL").join(own, "account_id")
@@ -313,7 +367,7 @@ def _csv_import(a: Archive) -> DataFrame:
 
 
 add("s7_csv_import", _csv_import, """SELECT lpad(CAST(account_id AS VARCHAR), 4, '0') AS iban_last4, 'Sparkasse' AS bank_name, 'lastschrift' AS tx_type, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, min(booking_date) AS first_date
-FROM (SELECT DISTINCT account_id, booking_date, amount, counterparty, purpose FROM tx WHERE account_id < 3) GROUP BY account_id""")
+FROM (SELECT DISTINCT account_id, booking_date, amount, counterparty, purpose FROM tx) GROUP BY account_id""")
 
 # --- scalars over the documents
 
@@ -324,10 +378,74 @@ SELECT id, round((input_tokens * p + output_tokens * q + cache_creation_tokens *
 FROM (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1.0 ELSE 3.0 END AS DOUBLE) AS p, CAST(CASE WHEN id % 3 = 0 THEN 5.0 ELSE 15.0 END AS DOUBLE) AS q FROM doc)""")
 
 _PRICED = ", ".join(f"('{p}', '{m}', {i}, {o}, {n})" for n, (p, m, i, o) in enumerate(scalars.PRICES))
-add("s16_pricing", lambda a: scalars.pricing(a.accounts.sparkSession), f"SELECT column0 AS provider, column1 AS model, CAST(column2 AS DOUBLE) AS input_per_mtok, CAST(column3 AS DOUBLE) AS output_per_mtok, CAST(column4 AS INTEGER) AS place FROM (VALUES {_PRICED}) AS v(column0, column1, column2, column3, column4)")
+_MODELS = [m for _, m, _, _ in scalars.PRICES] + ["local"]
+_MODEL_OF = f"{_MODELS}[CAST(id % {len(_MODELS)} AS INTEGER) + 1] || '-x'"
+
+
+def _with_models(a: Archive) -> DataFrame:
+    return a.documents.withColumn("model", F.concat(F.element_at(F.array(*map(F.lit, _MODELS)), (F.col("id") % len(_MODELS) + 1).cast("int")), F.lit("-x")))
+
+
+add("s16_pricing", lambda a: scalars.priced(_with_models(a).select("id", "model")), f"""
+SELECT id, any_value(d.model) AS model, arg_min(v.provider, place) AS provider, CAST(arg_min(v.i, place) AS DOUBLE) AS input_per_mtok, CAST(arg_min(v.o, place) AS DOUBLE) AS output_per_mtok
+FROM (SELECT id, {_MODEL_OF} AS model FROM doc) d LEFT JOIN (VALUES {_PRICED}) AS v(provider, model, i, o, place) ON starts_with(d.model, v.model) GROUP BY id""")
+
+
+def _costs(a: Archive) -> DataFrame:
+    rows = scalars.priced(_with_models(a).select("id", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"))
+    tokens = (F.col(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"))
+    return rows.select("id", F.round(scalars.token_cost(F.coalesce("provider", F.lit("local")), F.col("model"), *tokens), 9).alias("usd"))
+
+
+add("c22_costs_of_all_providers", _costs, f"""
+SELECT id, coalesce(round((input_tokens * i + output_tokens * o + cache_creation_tokens * i * CASE provider WHEN 'anthropic' THEN 1.25 WHEN 'openai' THEN 1.0 ELSE 0.0 END::DOUBLE + cache_read_tokens * i * CASE provider WHEN 'anthropic' THEN 0.1 WHEN 'openai' THEN 0.5 ELSE 0.0 END::DOUBLE) / 1e6, 9), 0.0) AS usd
+FROM (SELECT d.*, p.provider, p.i, p.o FROM doc d LEFT JOIN (SELECT e.id AS of, arg_min(v.provider, place) AS provider, CAST(arg_min(v.i, place) AS DOUBLE) AS i, CAST(arg_min(v.o, place) AS DOUBLE) AS o
+  FROM (SELECT id, {_MODEL_OF} AS model FROM doc) e JOIN (VALUES {_PRICED}) AS v(provider, model, i, o, place) ON starts_with(e.model, v.model) GROUP BY e.id) p ON p.of = d.id)""")
+add("c23_display", lambda a: a.documents.select("id", scalars.display_size(F.col("file_size")).alias("size"), scalars.display_age(F.col("created_at"), F.lit("2025-07-01T12:00:00")).alias("age")), """
+SELECT id, CASE WHEN file_size = 0 THEN '–' WHEN file_size < 1024 THEN file_size || ' B' ELSE printf('%.1f KB', round(file_size / 1024.0, 1)) END AS size, (date_diff('second', CAST(created_at AS TIMESTAMP), TIMESTAMP '2025-07-01 12:00:00') // 86400) || 'd' AS age FROM doc""")
+add("c12_import_hashes", lambda a: a.transactions.join(a.accounts.select(F.col("id").alias("account_id"), "iban_hash"), "account_id").select("id", scalars.tx_hash(F.col("iban_hash"), F.col("booking_date"), F.col("amount"), F.col("counterparty"), F.col("purpose")).alias("hash")), "SELECT tx.id, sha256(iban_hash || '|' || booking_date || '|' || amount || '|' || counterparty || '|' || purpose) AS hash FROM tx JOIN acc ON acc.id = account_id")
+add("c18_slugs", lambda a: a.documents.select("id", scalars.slug(F.concat(F.lit("Größe & "), F.col("filename"))).alias("slug")), "SELECT id, 'groesse-' || trim(regexp_replace(lower(filename), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM doc")
+add("c28_decoded_tags", lambda a: a.documents.select("id", F.size(scalars.decode_tags(F.when(F.col("id") % 3 == 0, "[broken").otherwise(F.to_json("tags")))).alias("n")), "SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE CAST(len(tags) AS INTEGER) END AS n FROM doc")
+add("c29_last_month", lambda a: a.documents.where("doc_date IS NOT NULL").select("id", *(d.cast("string").alias(n) for n, d in zip(("first", "last"), scalars.date_preset(F.col("doc_date").cast("date"), "last_month")))), "SELECT id, CAST(CAST(date_trunc('month', CAST(doc_date AS DATE)) - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS first, CAST(CAST(date_trunc('month', CAST(doc_date AS DATE)) - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS last FROM doc WHERE doc_date IS NOT NULL")
 add("f1_by_id", lambda a: library.by_id(a, 24).select(*_COLUMNS), f"SELECT {', '.join(_COLUMNS)} FROM doc WHERE id = 24")
-add("f1_by_hash", lambda a: library.latest_by_hash(a, a.documents.where("id = 7").first().content_hash), "SELECT id, content_hash FROM doc WHERE content_hash = (SELECT content_hash FROM doc WHERE id = 7) AND deleted_at IS NULL ORDER BY id DESC LIMIT 1")
-add("f15_statement_by_file", lambda a: finance.statement_by_file(a, a.statements.orderBy("id").first().file_hash).select("id", "account_id", "period_start"), "SELECT id, account_id, period_start FROM st WHERE id = (SELECT min(id) FROM st)")
+add("f1_by_hash", lambda a: library.latest_by_hashes(a, a.documents.where("id % 11 = 7")), "SELECT max(id) AS id, content_hash FROM doc WHERE content_hash IN (SELECT content_hash FROM doc WHERE id % 11 = 7) AND deleted_at IS NULL GROUP BY content_hash")
+add("f15_statement_by_file", lambda a: finance.statements_by_files(a, a.statements.where("id % 7 = 3")).select("id", "account_id", "period_start"), "SELECT id, account_id, period_start FROM st WHERE id % 7 = 3")
+
+# --- pages: after a key, and from one reading
+
+
+def _third_page(a: Archive) -> DataFrame:
+    last = None
+    for _ in range(2):  # two rows to the driver
+        row = library.page_after(a, last, order_by="status", direction="asc", limit=40).orderBy(F.desc("page_key"), "id").first()
+        last = (row.page_key, row.id) if row else last
+    return library.page_after(a, last, order_by="status", direction="asc", limit=40).select(*_COLUMNS)
+
+
+add("o5_page_after_key", _third_page, f"SELECT {', '.join(_COLUMNS)} FROM lib ORDER BY status ASC, id DESC LIMIT 40 OFFSET 80")
+add("o5_bookings_after_key", lambda a: explorer.page_after(a, TransactionFilter(direction="expense"), ("1998-03-04", 1000), 100), """
+SELECT t.id, booking_date, CAST(amount AS DOUBLE) AS amount, counterparty, purpose, category, account_id, doc_id, bank_name, iban_last4
+FROM (SELECT * FROM live WHERE amount < 0 AND (booking_date < '1998-03-04' OR (booking_date = '1998-03-04' AND id < 1000)) ORDER BY booking_date DESC, id DESC LIMIT 100) t LEFT JOIN acc ON acc.id = t.account_id""")
+_ON_PAGE = {"by_category": "a13_finance_by_category", "monthly": "a14_monthly_cashflow", "top_counterparties_expense": "a15_top_counterparties_expense", "top_counterparties_income": "a15_top_counterparties_income", "periods": "a21_periods", "heatmap": "a22_heatmap_busiest_year", "category_monthly": "a23_category_monthly", "by_weekday": "a24_by_weekday", "by_day_of_month": "a25_by_day_of_month", "by_tx_type": "a26_by_tx_type", "treemap": "a28_treemap", "kpis": "a29_kpis", "accounts": "a35_accounts", "balance_history": "w2_balance_history"}
+#: Of each result a name, a number and a sum of what it holds.
+_NUMBERS = {"summary": "net", "by_category": "expense", "monthly": "income", "top_counterparties_expense": "total", "top_counterparties_income": "total", "periods": None, "heatmap": "spend", "category_monthly": "spend", "by_weekday": "avg_spend", "by_day_of_month": "spend", "by_tx_type": "spend", "treemap": "spend", "kpis": "biggest_amount", "accounts": "net", "balance_history": "balance"}
+
+
+def _page(a: Archive) -> DataFrame:
+    """A row for each result of the finance page: how many rows it has and the sum of one of its columns."""
+    out = None
+    for name, rows in finance_page.page(a).items():
+        if name in _NUMBERS:
+            total = F.round(F.sum(_NUMBERS[name]), 2) if _NUMBERS[name] else F.lit(0.0)
+            one = rows.agg(F.lit(name).alias("result"), F.count("*").alias("n"), total.alias("total"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+add("l5_finance_page", _page)
+ORACLE_SQL["l5_finance_page"] = "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(
+    f"SELECT '{name}' AS result, count(*) AS n, {f'round(sum({c}), 2)' if c else '0.0::DOUBLE'} AS total FROM ({ORACLE_SQL['a13_finance_summary' if name == 'summary' else _ON_PAGE[name]]})" for name, c in _NUMBERS.items()
+) + ")"
 
 # --- changes: what the tables are afterwards
 
@@ -412,6 +530,43 @@ add("m18_meta", _meta, f"SELECT k AS key, v AS value, CAST(0 AS BIGINT) AS accou
 add("m18_set_overrides", lambda a: writes.set_overrides(a.overrides, a.transactions.where("id % 25 = 0").select("tx_hash", F.lit("bildung").alias("category")), "2026-01-01").groupBy("category", "set_at").agg(F.count("*").alias("n")), """
 SELECT category, set_at, count(*) AS n FROM (SELECT 'bildung' AS category, '2026-01-01' AS set_at FROM tx WHERE id % 25 = 0 UNION ALL SELECT 'freizeit', '2025-01-01' FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey NOT IN (SELECT id FROM tx WHERE id % 25 = 0)) GROUP BY 1, 2""")
 
+
+
+def _stored_changes(a: Archive) -> DataFrame:
+    """Changes made to stored tables, one version after the other: reclassified, relabelled, deleted, the trash emptied."""
+    store = versions.Store(a.accounts.sparkSession, scratch(a.accounts.sparkSession))
+    first = versions.create_archive(store, a, buckets=4)
+    updates = lambda x: x.documents.where("id % 4 = 0").select("id", F.lit("neu").alias("category"), F.lit(10).cast("long").alias("input_tokens"))
+    versions.change(store, lambda x: {"documents": updates(x)}, lambda x: replace(x, documents=writes.reclassify(x.documents, updates(x))))
+    labelled = lambda x: x.transactions.where("id % 7 = 0")
+    versions.change(store, lambda x: {"overrides": labelled(x)}, lambda x: writes.recategorise(x, labelled(x).select("id"), "haushalt", "2026-01-01"))
+    gone = lambda x: x.transactions.where("id % 5 = 0").select("id")
+    versions.change(store, lambda x: {"transactions": gone(x)}, lambda x: writes.delete_transactions(x, gone(x)))
+
+    def trash(x: Archive) -> dict[str, DataFrame]:
+        docs = x.documents.where("deleted_at IS NOT NULL").select(F.col("id").alias("doc_id"))
+        s, r = x.statements.join(docs, "doc_id", "left_semi"), x.receipts.join(docs, "doc_id", "left_semi")
+        t = x.transactions.join(s.select(F.col("id").alias("statement_id")), "statement_id", "left_semi")
+        return {"documents": docs.select(F.col("doc_id").alias("id")), "statements": s, "transactions": t, "receipts": r, "receipt_items": r.select(F.col("id").alias("receipt_id"))}
+
+    last = versions.change(store, trash, writes.empty_trash)
+    out = None
+    for n, v in (("first", first), ("last", last)):  # a reader of the first version sees it still
+        x = versions.stored_archive(store, v)
+        for what, rows in (("documents", x.documents.groupBy("category")), ("overrides", x.overrides.groupBy("category")), ("transactions", x.transactions.groupBy(F.col("account_id").cast("string").alias("category"))), ("items", x.receipt_items.groupBy(F.lit("").alias("category")))):
+            one = rows.agg(F.count("*").alias("n")).select(F.lit(n).alias("version"), F.lit(what).alias("what"), "category", "n")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+add("v_stored_changes", _stored_changes, f"""
+SELECT 'first' AS version, 'documents' AS what, category, count(*) AS n FROM doc GROUP BY 3 UNION ALL SELECT 'first', 'overrides', 'freizeit', count(*) FROM orders WHERE o_orderkey % 50 = 0
+UNION ALL SELECT 'first', 'transactions', CAST(account_id AS VARCHAR), count(*) FROM tx GROUP BY 3 UNION ALL SELECT 'first', 'items', '', count(*) FROM it
+UNION ALL SELECT 'last', 'documents', CASE WHEN id % 4 = 0 THEN 'neu' ELSE category END, count(*) FROM doc WHERE deleted_at IS NULL GROUP BY 3
+UNION ALL SELECT 'last', 'overrides', CASE WHEN o_orderkey % 7 = 0 THEN 'haushalt' ELSE 'freizeit' END, count(*) FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 50 = 0 GROUP BY 3
+UNION ALL SELECT 'last', 'transactions', CAST(account_id AS VARCHAR), count(*) FROM tx WHERE id % 5 <> 0 AND statement_id NOT IN (SELECT id FROM st WHERE doc_id IN {_GONE}) GROUP BY 3
+UNION ALL SELECT 'last', 'items', '', count(*) FROM it WHERE receipt_id NOT IN (SELECT id FROM rc WHERE doc_id IN {_GONE})""")
+
 # --- flows, with a model that answers by the length of what it is asked
 
 _TREE = {"src1": ["en", "fr"], "src2": [], "src3": ["de"]}
