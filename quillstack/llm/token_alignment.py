@@ -5,7 +5,7 @@ overlap; the gaps between those are spanned. Gaps that no A token spans are wher
 tokens fall into groups. The last tokens of a group end together and are a link.
 
 Texts are cut into cells where both vocabularies prove a cut: before a space or line end that follows other than white
-space. A cell is encoded and aligned once and then found in a bounded cache. Documents are worked in blocks: a block
+space, and between a letter or digit and a mark that no piece of B joins. A cell is encoded and aligned once and then found in a bounded cache. Documents are worked in blocks: a block
 keeps, packed, which linked pairs of ids each of its documents has, and hands on one row for each distinct pair. These
 are summed over the corpus and come back to the block, so a pair that every document has costs a row for each block.
 """
@@ -34,8 +34,10 @@ A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of the texts of a block.
 BLOCK_CHARS = 4_000_000
 #: Bytes of cells that a worker keeps, by estimate; then it starts anew.
-CACHED_BYTES = 96_000_000
+CACHED_BYTES = 160_000_000
 _ENTRY = 400
+#: Letters and digits (the oldest blocks, on which all tables of characters agree), and marks: A never joins the former to a mark after them.
+_KNOWN, _MARKS = "0-9A-Za-zÀ-ÖØ-öø-ʯΑ-Ωα-ωА-я", "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 def groups(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int]]:
@@ -57,6 +59,10 @@ class _Pieces(Codec):
         super().__init__(path)
         #: White space that no piece joins to what is before it.
         self.cuts = " \n" if self._word.findall("a\na") == ["a", "\n", "a"] else " "
+        known = re.compile(f"[{_KNOWN}]")
+        joined = {c for p in self.ids for x, c in zip(p, p[1:]) if c in _MARKS and known.match(x)}
+        #: Marks that no piece joins to a letter or digit before them.
+        self.marks = "".join(sorted(set(_MARKS) - joined))
         self.lengths = [1 if i in self._of_byte else len(p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
         self.raw = [bytes((self._of_byte[i],)) if i in self._of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
@@ -110,8 +116,10 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = (kind(m if os.path.isabs(m) else public_tokenizers.path(m)) for kind, m in ((_Bytes, a), (_Pieces, b)))
         cuts = re.escape(self.b.cuts)
+        stop = f"(?![{re.escape(self.b.marks)}])" if self.b.marks else ""
+        word = rf"(?=\S)(?:[^\s{_KNOWN}]*+[{_KNOWN}]++{stop})*+[^\s{_KNOWN}]*+[{_KNOWN}]*+"
         # a cell goes on over white space of other kinds
-        self._cell = re.compile(rf"\s*\S+(?:[^\S{cuts}]\s*\S+)*(?:[^\S{cuts}]\s*\Z)?|\s+")
+        self._cell = re.compile(rf"\s*+{word}(?:[^\S{cuts}]\s*+{word})*(?:[^\S{cuts}]\s*\Z)?|\s+")
         self.clear()
 
     def clear(self) -> None:
@@ -127,15 +135,17 @@ class Aligner:
         return self._cell.findall(" " + text) if text else []
 
     def add(self, cells: list[str]) -> None:
+        a_raw, b_raw = self.a.raw.__getitem__, self.b.raw.__getitem__
         for at in range(0, len(cells), 20_000):
             part = cells[at : at + 20_000]
             for cell, a_ids, b_ids in zip(part, self.a.encode_parts(part), self.b.encode_parts(part)):
                 raw = cell.encode("utf-8", "surrogatepass")
-                same = b"".join(map(self.a.raw.__getitem__, a_ids)) == raw == b"".join(map(self.b.raw.__getitem__, b_ids))
+                same = b"".join(map(a_raw, a_ids)) == raw == b"".join(map(b_raw, b_ids))
                 cut = groups(_ends(a_ids, self.a.lengths), _ends(b_ids, self.b.lengths)) if same else []
                 text, i, j = [], 0, 0
+                a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
                 for m, n in cut:
-                    text.append(f"{','.join(map(str, a_ids[i:m]))}|{','.join(map(str, b_ids[j:n]))}")
+                    text.append(f"{','.join(a_text[i:m])}|{','.join(b_text[j:n])}")
                     i, j = m, n
                     pair = a_ids[m - 1] << 32 | b_ids[n - 1]
                     number = self._pair_of.setdefault(pair, len(self.pairs))
@@ -159,14 +169,16 @@ class Aligner:
         self.add(sorted(set().union(*cut).difference(self.id_of)))
         view = lambda values, kind: np.frombuffer(values, dtype=kind) if len(values) else np.empty(0, kind)
         sizes = np.array([len(c) for c in cut], dtype=np.int64)
-        ids = np.fromiter(map(self.id_of.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        numbers = list(map(self.id_of.__getitem__, chain.from_iterable(cut)))
+        del cut
+        ids = np.array(numbers, dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
         total = lambda values: np.bincount(owner, weights=values[ids], minlength=len(texts)).astype(np.int64)
         good = total(view(self.bad, np.int8)) == 0
         counts = [total(view(v, np.int32)) * good for v in (self.n_a, self.n_b, self.n_links)]
-        text_of, number = self.text.__getitem__, self.id_of.__getitem__
-        digests = [hashlib.sha256(b";".join(map(text_of, map(number, c)))).hexdigest() if g and c else "" for c, g in zip(cut, good.tolist())]
-        del cut
+        text_of, ends = self.text.__getitem__, np.cumsum(sizes).tolist()
+        digests = [hashlib.sha256(b";".join(map(text_of, numbers[e - n : e]))).hexdigest() if g and n else "" for e, n, g in zip(ends, sizes.tolist(), good.tolist())]
+        del numbers
         use = good[owner]
         ids, owner = ids[use], owner[use]
         first = view(self.first, np.int64)
