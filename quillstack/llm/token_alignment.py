@@ -56,7 +56,10 @@ class _Pieces(Codec):
     """B's encoder, for parts of texts."""
 
     def __init__(self, path: str):
+        import sentencepiece
+
         super().__init__(path)
+        self._library = sentencepiece.SentencePieceProcessor(model_file=path)
         #: White space that no piece joins to what is before it.
         self.cuts = " \n" if self._word.findall("a\na") == ["a", "\n", "a"] else " "
         known = re.compile(f"[{_KNOWN}]")
@@ -67,10 +70,18 @@ class _Pieces(Codec):
         self.raw = [bytes((self._of_byte[i],)) if i in self._of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
-        """The ids of each part, which starts where no piece goes across and has the mark before the text already."""
-        cut = [self._word.findall(p.replace(" ", MARK)) for p in parts]
+        """The ids of each part, which starts where no piece goes across and has the mark before the text already.
+
+        Parts after a space are what the library makes of them, as it puts that space; the others are encoded here.
+        """
+        spaced = [len(p) > 1 and p[0] == " " for p in parts]
+        whole = iter(self._library.encode([p[1:] for p, s in zip(parts, spaced) if s], num_threads=1) if self.prefix else ())
+        if not self.prefix:
+            spaced = [False] * len(parts)
+        cut = [self._word.findall(p.replace(" ", MARK)) for p, s in zip(parts, spaced) if not s]
         known = self.encode_words(set().union(*cut)).__getitem__
-        out = [np.frombuffer(b"".join(map(known, words)), dtype="<i4").tolist() for words in cut]
+        rest = (np.frombuffer(b"".join(map(known, words)), dtype="<i4").tolist() for words in cut)
+        out = [next(whole if s else rest) for s in spaced]
         self._cache, self._cached = {}, 0  # the cells are kept elsewhere
         return out
 
@@ -141,7 +152,12 @@ class Aligner:
             for cell, a_ids, b_ids in zip(part, self.a.encode_parts(part), self.b.encode_parts(part)):
                 raw = cell.encode("utf-8", "surrogatepass")
                 same = b"".join(map(a_raw, a_ids)) == raw == b"".join(map(b_raw, b_ids))
-                cut = groups(_ends(a_ids, self.a.lengths), _ends(b_ids, self.b.lengths)) if same else []
+                if not same:
+                    cut = []
+                elif len(a_ids) == 1 or len(b_ids) == 1:
+                    cut = [(len(a_ids), len(b_ids))]
+                else:
+                    cut = groups(_ends(a_ids, self.a.lengths), _ends(b_ids, self.b.lengths))
                 text, i, j = [], 0, 0
                 a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
                 for m, n in cut:
