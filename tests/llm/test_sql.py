@@ -7,18 +7,19 @@ from test_pairs_and_counts import AWKWARD, SCHEMA
 from quillstack.llm import queries
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))  # awkward conversations: test_joins_and_tries.py
 @pytest.mark.parametrize("which", ["sf0.001", "sf0.01", "awkward"])
 def test_operator_equals_sql(spark, tmp_path, name, which):
     if which == "awkward":
         sf = str(tmp_path)
         rows = spark.createDataFrame(AWKWARD, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
         rows.coalesce(1).write.parquet(f"{sf}/documents.parquet")
+        spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").write.parquet(f"{sf}/conversations.parquet")
     else:
         sf = f"/root/testdata/{which}"
     df = queries.QUERIES[name](spark, sf)
     got = rows_of(df.columns, df.collect())
-    con = duck("/root/testdata/sf0.001")
+    con = duck("/root/testdata/sf0.001" if which == "awkward" else sf)
     con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet{'/*.parquet' if which == 'awkward' else ''}')")
     found = con.execute(queries.ORACLE_SQL[name])
     assert got == rows_of([d[0] for d in found.description], found.fetchall())
