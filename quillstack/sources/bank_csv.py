@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from collections.abc import Iterator
 from dataclasses import replace
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,43 +63,158 @@ def key_of(header: str) -> str | None:
     return next((k for k, names in COLUMNS.items() if plain in names or plain.replace(" ", "") in [n.replace(" ", "") for n in names]), None)
 
 
-def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of files (path, content): their rows as text columns, or one row with what is wrong with the file."""
-    import csv
-    import io
+#: Of a line of each separator: whether its quoted fields end in it. A quote counts where a field begins, and doubled inside.
+_ENDS = {s: re.compile(rb'(?:"(?:[^"]|"")*+"[^%(s)s]*+|[^"%(s)s][^%(s)s]*+|)(?:%(s)s(?:"(?:[^"]|"")*+"[^%(s)s]*+|[^"%(s)s][^%(s)s]*+|))*+\Z' % {b"s": re.escape(s.encode())}) for s in SEPARATORS}
+#: Lines at the start of a file of which the first with a header is sought in one task; a header is there or nowhere.
+_HEAD = 1000
 
-    names = ["path", "line_no", *COLUMNS, "problem"]
+
+def _open_after(line: bytes, was_open: bool, sep: str) -> bool:
+    """Whether a quoted field goes on after a line."""
+    return was_open if b'"' not in line else not _ENDS[sep].match(b'"' + line if was_open else line)
+
+
+def _by_block(frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple[tuple, Iterator[bytes]]]:
+    """The lines of each block of a file, one block after the other, with what else its rows have."""
+    rows = (r for f in frames for r in zip(*(f[c] for c in (*columns, "value"))))
+    for key, lines in groupby(rows, key=lambda r: r[:-1]):
+        yield key, (bytes(r[-1]) for r in lines)
+
+
+def _header(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the first lines of files: separator, the header's cells and the record that it is, or none."""
     for frame in frames:
-        for path, content in zip(frame["path"], frame["content"]):
-            text = decode(bytes(content))
-            reader = csv.reader(io.StringIO(text), delimiter=separator(text))
-            header = next((r for r in reader if any(x.strip() for x in r)), None)
-            keys = [key_of(h) for h in header] if header else []
-            missing = [k for k in REQUIRED if k not in keys]
-            if not header or missing:
-                problem = "empty file" if not header else f"missing columns: {', '.join(missing)}"
-                yield pd.DataFrame([[path, 0, *[None] * len(COLUMNS), problem]], columns=names)
+        for path, lines in zip(frame["path"], frame["lines"]):
+            lines = [bytes(x) for x in lines]
+            sep = separator("\n".join(x.decode("latin-1") for x in lines[:_HEAD]))
+            texts = [x.decode("utf-8-sig" if i == 0 else "utf-8", "replace") + "\n" for i, x in enumerate(lines)]
+            raw = [x.decode("latin-1") + "\n" for x in lines]
+            found = next(((i, r) for i, r in enumerate(csv.reader(texts, delimiter=sep)) if any(x.strip() for x in r)), None)
+            # a name with an umlaut is read in whichever encoding it has
+            other = next((r for r in csv.reader(raw, delimiter=sep) if any(x.strip() for x in r)), [])
+            keys = [key_of(x) or (key_of(other[j]) if j < len(other) else None) for j, x in enumerate(found[1])] if found else []
+            yield pd.DataFrame([[path, sep, keys, found[0] if found else -1]], columns=["path", "sep", "keys", "header"])
+
+
+def _states(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each block: for either state that it can begin in, the records that begin in it and the state that it ends in; and the encodings that its lines are."""
+    for (path, block, sep), lines in _by_block(frames, "path", "block", "sep"):
+        counts, state, utf8, cp1252 = [0, 0], [False, True], True, True
+        for line in lines:
+            for i in (0, 1):
+                counts[i] += not state[i]
+                state[i] = _open_after(line, state[i], sep)
+            if not line.isascii():
+                utf8, cp1252 = utf8 and _is(line, "utf-8"), cp1252 and _is(line, "cp1252")
+        yield pd.DataFrame([[path, block, *counts, *state, utf8, cp1252]], columns=["path", "block", "n_closed", "n_open", "closed_to", "open_to", "utf8", "cp1252"])
+
+
+def _is(line: bytes, encoding: str) -> bool:
+    try:
+        line.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _begin(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Of the blocks of one file: the state that each begins in, the records before it, and the file's encoding."""
+    blocks = blocks.sort_values("block")
+    encoding = "utf-8" if blocks["utf8"].all() else "cp1252" if blocks["cp1252"].all() else "latin-1"
+    rows, before, is_open = [], 0, False
+    for r in blocks.itertuples():
+        rows.append([r.path, r.block, is_open, before, encoding])
+        before += r.n_open if is_open else r.n_closed
+        is_open = r.open_to if is_open else r.closed_to
+    return pd.DataFrame(rows, columns=["path", "block", "is_open", "before", "encoding"])
+
+
+def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records of blocks as text columns. Of a record that lies in several blocks, its pieces: `part` is then the block, and `raw` the text."""
+    names = ["path", "line_no", *COLUMNS, "part", "raw"]
+    for (path, block, sep, keys, header, is_open, before, encoding), lines in _by_block(frames, "path", "block", "sep", "keys", "header", "is_open", "before", "encoding"):
+        keys = list(keys.split("|"))
+        rows: list[list] = []
+        pending: list[str] = []
+        piece = lambda number: [path, number - header, *[None] * len(COLUMNS), block, "".join(pending)]  # noqa: E731, B023
+        record, leading = before - is_open, is_open  # the record that the next line belongs to
+        for n, line in enumerate(lines):
+            is_open = _open_after(line, is_open, sep)
+            pending.append((line[3:] if block == n == 0 and line.startswith(b"\xef\xbb\xbf") and encoding == "utf-8" else line).decode(encoding) + "\n")
+            if is_open:
                 continue
-            rows: list[list] = []
-            for i, r in enumerate(reader, 1):
-                if any(x.strip() for x in r):
-                    found = {k: v.strip() for k, v in zip(keys, r) if k}
-                    rows.append([path, i, *(found.get(k, "") for k in COLUMNS), None])
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            if rows:
+            if leading:
+                rows.append(piece(record))
+            elif record > header:
+                rows += _row(path, record - header, keys, "".join(pending), sep)
+            leading, pending, record = False, [], record + 1
+            if len(rows) >= 10_000:
                 yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if pending:
+            rows.append(piece(record))
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+
+def _row(path: str, number: int, keys: list[str], text: str, sep: str) -> list[list]:
+    """A record as a row, or none if all of it is blank."""
+    cells = next(csv.reader(io.StringIO(text), delimiter=sep), [])
+    if not any(x.strip() for x in cells):
+        return []
+    found = {k: v.strip() for k, v in zip(keys, cells) if k}
+    return [[path, number, *(found.get(k, "") for k in COLUMNS), None, None]]
+
+
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records that were put together from their pieces."""
+    for f in frames:
+        rows = [r for x in f.itertuples() if x.line_no > 0 for r in _row(x.path, x.line_no, x.keys.split("|"), x.raw, x.sep)]
+        yield pd.DataFrame(rows, columns=["path", "line_no", *COLUMNS, "part", "raw"])
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The rows of bank files as text: path, line_no, COLUMNS and problem. Files are read in parallel, each by one task.
+    """The rows of bank files as text: path, line_no (of the records after the header), COLUMNS and problem.
+
+    Spark's reader gives lines, so a file is read by a task for each of its blocks, whatever its size. A first pass says
+    of each block in what state (inside a quoted field or not) it leaves a reader that comes in either state, how many
+    records begin in it, and which encodings its bytes are; from that follow, for each block, the state and the record
+    that it begins with. A second pass reads the records. One that lies in several blocks is put together from its pieces.
 
-    A file of no bytes gives no row, as Spark's reader passes over it; one of blank lines gives an error row.
+    A file without a header within its first lines, or without a column that is needed, gives one row with the problem.
+    A file of no bytes gives no row, as Spark's reader passes over it.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    text = spark.read.option("lineSep", "\n").text(paths)
+    where = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    lines = text.select(*where, F.col("value").cast("binary").alias("value"))
+    # the first lines of the first block: rows of a block come in the file's order
+    order = F.monotonically_increasing_id()
+    heads = lines.where("block = 0").select("path", order.alias("at"), F.substring("value", 1, 100_000).alias("value"))
+    first = heads.groupBy("path").agg(F.min("at").alias("first"))
+    heads = heads.join(first, "path").where(F.col("at") < F.col("first") + _HEAD).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("lines"))
+    files = heads.mapInPandas(_header, "path string, sep string, keys array<string>, header int")
+    folder = scratch(spark)
+    files.write.parquet(folder)
+    files = spark.read.parquet(folder)  # a row a file
+    lacking = F.array_except(F.array(*map(F.lit, REQUIRED)), F.col("keys"))
+    problem = F.when(F.col("header") < 0, "empty file").when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacking, ", ")))
+    files = files.withColumn("problem", problem)
+    good = files.where("problem IS NULL").select("path", "sep", F.array_join(F.transform("keys", lambda k: F.coalesce(k, F.lit(""))), "|").alias("keys"), "header")
+    # files and blocks are few beside their lines
+    states = lines.join(F.broadcast(good.select("path", "sep")), "path").mapInPandas(_states, "path string, block long, n_closed long, n_open long, closed_to boolean, open_to boolean, utf8 boolean, cp1252 boolean")
+    begin = states.groupBy("path").applyInPandas(_begin, "path string, block long, is_open boolean, before long, encoding string")
     fields = ", ".join(f"{c} string" for c in COLUMNS)
-    return files.mapInPandas(_lines, f"path string, line_no int, {fields}, problem string")
+    schema = f"path string, line_no int, {fields}, part long, raw string"
+    rows = lines.join(F.broadcast(begin.join(good, "path")), ["path", "block"]).select("path", "block", "sep", "keys", "header", "is_open", "before", "encoding", "value").mapInPandas(_records, schema)
+    folder = scratch(spark)
+    rows.write.parquet(folder)
+    rows = spark.read.schema(schema).parquet(folder)
+    pieces = rows.where("part IS NOT NULL").groupBy("path", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "raw"))), lambda p: p["raw"]), "").alias("raw"))
+    joined = pieces.join(F.broadcast(good), "path").select("path", "line_no", "raw", "keys", "sep").mapInPandas(_joined, schema)
+    out = ["path", "line_no", *COLUMNS]
+    bad = files.where("problem IS NOT NULL").select("path", F.lit(0).alias("line_no"), *(F.lit(None).cast("string").alias(c) for c in COLUMNS), "problem")
+    none = F.lit(None).cast("string").alias("problem")
+    return rows.where("part IS NULL").select(*out, none).unionByName(joined.select(*out, none)).unionByName(bad)
 
 
 def parse(rows: DataFrame) -> DataFrame:

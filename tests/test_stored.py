@@ -1,5 +1,7 @@
 """Stored tables: versions, the search index, pages after a key, the finance page from one reading, the intake of files."""
 
+import csv
+import io
 import json
 import random
 import time
@@ -12,7 +14,7 @@ from test_archive import a, frame, ids  # noqa: F401  (a: the archive of rows by
 from quillstack.operators import explorer, finance, finance_page, library, search, search_index, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.plans.archive import stand_ins
-from quillstack.sources import json_objects, versions
+from quillstack.sources import bank_csv, json_objects, versions
 from quillstack.streaming import ingest
 
 
@@ -234,6 +236,54 @@ def test_first_object_is_the_first_brace_at_which_one_begins():
     assert json_objects.first_object('{"a": NaN} {"a": 1, "a": 2} {"c": 3}') == '{"c": 3}'
 
 
+# --- bank files in blocks
+
+
+def plain_rows(path):
+    """The rows of a bank file by Python's reader, the whole file at once."""
+    raw = open(path, "rb").read()
+    text = bank_csv.decode(raw)
+    reader = csv.reader(io.StringIO(text), delimiter=bank_csv.separator(text))
+    header = next((r for r in reader if any(x.strip() for x in r)), [])
+    keys = [bank_csv.key_of(h) for h in header]
+    if not set(bank_csv.REQUIRED) <= set(keys):
+        return None
+    found = [(i, {k: v.strip() for k, v in zip(keys, r) if k}) for i, r in enumerate(reader, 1) if any(x.strip() for x in r)]
+    return sorted(((i, *(f.get(k, "") for k in bank_csv.COLUMNS)) for i, f in found), key=repr)
+
+
+def test_bank_files_are_read_by_the_block(spark, tmp_path):
+    rng, want = random.Random(1), {}
+    names = ["Auftragskonto", "Buchungstag", "Betrag", "Verwendungszweck", "Gläubiger ID", "Waehrung"]
+    cells = ["", "DE1", "05.03.24", "1,5", "a;b", 'q"q', '"x"', "zwei\nzeilen", "drei\nzeilen\n\n mehr", "ä ö", "\t", "komma, hier", "\x85 \x0b"]
+    for n in range(14):
+        sep, encoding = rng.choice([";", ",", "\t"]), rng.choice(["utf-8", "utf-8-sig", "cp1252", "latin-1"])
+        rows = [sep.join(names)]
+        for _ in range(rng.choice([0, 1, 60, 90])):
+            row = [c for c in rng.choices(cells, k=len(names))]
+            row = ['"' + c.replace('"', '""') + '"' if rng.random() < 0.6 or sep in c or "\n" in c else c for c in row]
+            rows.append(sep.join(row) if rng.random() < 0.9 else rng.choice(["", sep * 3, " ", f'DE9{sep}01.02.24{sep}5"']))
+        text = rng.choice(["", "\n", " \n\n"]) + "\n".join(rows) + rng.choice(["", "\n", '\nDE1;"never closed'])
+        raw = text.replace("\x85", "…").encode(encoding) if encoding != "latin-1" else text.encode(encoding) + b"\nDE1;\x81"
+        (tmp_path / f"f{n}.csv").write_bytes(raw)
+        want[f"f{n}.csv"] = plain_rows(tmp_path / f"f{n}.csv")
+    (tmp_path / "g.csv").write_bytes(b"Konto;x\n1;2\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = bank_csv.read_files(spark, [str(tmp_path)]).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in rows:
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.line_no, *(r[c] for c in bank_csv.COLUMNS)) if r.problem is None else r.problem)
+    assert got.pop("g.csv") == ["missing columns: booking_date, amount"]
+    assert {k: sorted(v, key=repr) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
 # --- the intake of files
 
 
