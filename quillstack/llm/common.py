@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_tracked: list[list[str]] = []
+
+
+@contextmanager
+def tracked(folders: list[str]) -> Iterator[None]:
+    """The folders of tables that are stored meanwhile are put into a list, for `discard`."""
+    _tracked.append(folders)
+    try:
+        yield
+    finally:
+        _tracked.pop()
+
+
+def discard(spark: SparkSession, folders: list[str], but_for: DataFrame) -> None:
+    """Deletes those of the folders that a table doesn't read from, and takes them off the list."""
+    read = but_for.inputFiles()
+    for folder in list(folders):
+        name = folder.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in read):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            folders.remove(folder)
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: the lineage ends there, and every executor sees it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillstack/{uuid.uuid4().hex}"
+    for folders in _tracked:
+        folders.append(path)
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 

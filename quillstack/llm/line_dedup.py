@@ -12,7 +12,9 @@ under GUARANTEE words is left alone. So what is deleted is exact, not a matter o
 Each fingerprint's first place in the corpus is joined to its later places: as many rows as there are later places,
 not pairs. From there the match is extended both ways while lines are equal, and the later run is deleted. Fingerprints
 that stand in very many places are joined without dealing rows by them, and the lines of a document that very many
-others repeat are dealt out in several copies.
+others repeat are dealt out in several copies. A long later document meets its sources in parts of LINES lines, each with
+the lines of a window beyond it: a window lies whole in the part that it begins in, so no run is lost, and the work
+grows with the lines and not with lines times sources.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from quillstack.llm.common import documents, map_batches, stored
 NOISE, GUARANTEE = 4, 8
 #: Places of one fingerprint that may meet in a task, and documents that may meet the lines of one source.
 CROWD, TOGETHER = 50_000, 1024
+#: Lines of a later document that meet its sources together; its other lines are in rows of their own.
+LINES = 1024
 #: Rows of a table of such fingerprints or sources that is broadcast, of some 40 bytes each; beyond, it is joined.
 BROADCAST_ROWS = 200_000
 _LINES = "doc_id long, th long, hashes array<long>, at array<int>, sizes array<int>, grams array<struct<gram:long,pos:int>>"
@@ -148,7 +152,7 @@ def _extend(guarantee: int):
                 runs = [(f, e) for f, e in extended(own, other, list(zip(pos.tolist(), (src - low).tolist()))) if sizes[f:e].sum() >= guarantee]
                 if runs:
                     rows.append(n)
-                    found.append([(int(at[f]), int(at[e]) - 1 if e < len(at) else _LAST) for f, e in runs])
+                    found.append([(int(at[f]), int(at[e]) - 1 if e < len(at) else _LAST) for f, e in runs])  # at has the line after the part, if there is one
             spans = pa.StructArray.from_arrays([pa.array([s[i] for r in found for s in r], pa.int32()) for i in (0, 1)], names=["first", "last"])
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             kept = b.select([0, 1]).take(pa.array(rows, pa.int64()))
@@ -185,17 +189,22 @@ def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTE
     """(doc_id, th, runs): of each document (doc_id, th, text) with later runs, the numbers of their first and last lines, with the lines without words after them."""
     lines = stored(map_batches(docs.select("doc_id", "th", "text"), _index(noise, guarantee), _LINES))
     places = lines.select("doc_id", "th", F.explode("grams").alias("g")).select(F.col("g.gram").alias("gram"), "doc_id", "th", F.col("g.pos").alias("pos"))
-    pairs = _later_places(places).groupBy("doc_id", "th", "src_id", "src_th").agg(F.collect_set(F.struct("pos", "src_pos")).alias("anchors"))
+    in_part = F.floor(F.col("pos") / LINES).cast("int")
+    pairs = _later_places(places).groupBy("doc_id", "th", in_part.alias("slab"), "src_id", "src_th").agg(F.collect_set(F.struct((F.col("pos") - in_part * LINES).alias("pos"), "src_pos")).alias("anchors"))
     pairs = stored(pairs)
     many = pairs.groupBy("src_id", "src_th").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1")
     many = _small(many.select(F.col("src_id").alias("many_id"), F.col("src_th").alias("many_th"), "parts"))  # no more than pairs / TOGETHER
     dealt = pairs.join(many, _same("src_id", "many_id") & _same("src_th", "many_th"), "left")
-    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "th"), F.col("parts")).cast("int"), F.lit(0))).drop("many_id", "many_th", "parts")
-    own = lines.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "hashes", "at", "sizes").dropDuplicates(["own_id", "own_th"])
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "th", "slab"), F.col("parts")).cast("int"), F.lit(0))).drop("many_id", "many_th", "parts")
+    whole = lines.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "hashes", "at", "sizes").dropDuplicates(["own_id", "own_th"])
+    slabs = whole.where(F.size("hashes") > 0).withColumn("own_slab", F.explode(F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / LINES).cast("int"))))
+    # a line has a word at least, so a window has `guarantee` lines at most
+    cut = lambda c, more: F.slice(c, F.col("own_slab") * LINES + 1, LINES + guarantee + more)
+    own = slabs.select("own_id", "own_th", "own_slab", cut("hashes", 0).alias("hashes"), cut("at", 1).alias("at"), cut("sizes", 0).alias("sizes"))
     other = lines.select(F.col("doc_id").alias("other_id"), F.col("th").alias("other_th"), F.col("hashes").alias("other")).dropDuplicates(["other_id", "other_th"])
     other = other.join(many, _same("other_id", "many_id") & _same("other_th", "many_th"), "left")
     other = other.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("many_id", "many_th", "parts")
-    sides = dealt.join(own, _same("doc_id", "own_id") & _same("th", "own_th"))
+    sides = dealt.join(own, _same("doc_id", "own_id") & _same("th", "own_th") & (F.col("slab") == F.col("own_slab")))
     # of the other's lines only those that a match can reach
     shifts = F.transform("anchors", lambda a: a["src_pos"] - a["pos"])
     low = F.greatest(F.array_min(shifts), F.lit(0))

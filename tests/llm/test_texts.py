@@ -391,6 +391,7 @@ def test_line_dedup_matches_brute_force(spark, small, monkeypatch, crowd):
     """Also with crowded fingerprints and sources, which are dealt otherwise."""
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
     monkeypatch.setattr(line_dedup, "TOGETHER", 1024 if crowd > 3 else 2)
+    monkeypatch.setattr(line_dedup, "LINES", 1024 if crowd > 3 else 2)  # documents in parts
     rows = [(r.doc_id, r.text) for r in small.orderBy("doc_id").collect()]
     top = max(i for i, _ in rows)
     lines = ["a line that many texts of this table hold", "one two three four five", "six seven eight"]
@@ -399,6 +400,27 @@ def test_line_dedup_matches_brute_force(spark, small, monkeypatch, crowd):
     assert got == plain_dedup(rows)
 
 
+@pytest.mark.parametrize("lines", [1024, 3])
+def test_line_dedup_down_to_single_lines(spark, small, monkeypatch, lines):
+    """With a guarantee of one word every line that stands earlier goes."""
+    monkeypatch.setattr(line_dedup, "LINES", lines)
+    rows = [(r.doc_id, r.text) for r in small.orderBy("doc_id").limit(60).collect()]
+    top = max(i for i, _ in rows)
+    rows += [(top + 1 + i, "\n".join(["x", f"own {i}", "x", " ", "short line", "", f"y {i % 3}"])) for i in range(8)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), noise=1, guarantee=1).collect()}
+    assert got == plain_dedup(rows, 1)
+
+
+def test_a_document_of_many_sources_takes_time_by_its_lines(spark):
+    """Lines that each repeat another document: work is by parts of the document, not lines times sources."""
+    n = 6000
+    line = lambda i: " ".join(f"w{i}x{j}" for j in range(9))
+    rows = [(i, line(i)) for i in range(n)] + [(n + 1, "\n".join(x for i in range(n) for x in (line(i), f"own {i}")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    (last,) = line_dedup.without_repeated_runs(docs).where(F.col("row.doc_id") == n + 1).collect()
+    assert last.deleted == n and last.row.text == "\n".join(f"own {i}" for i in range(n))
+
+
 def test_every_repeated_run_of_guaranteed_length_goes(spark):
     rng = random.Random(9)
     line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
