@@ -56,9 +56,21 @@ class TransactionFilter:
         return all_of(tests)
 
 
-def number(text: str | None) -> float | None:
-    """A request's number: empty is none, and a decimal comma will do."""
-    return float(text.replace(",", ".")) if text and text.strip() else None
+def number(text: str | float | None) -> float | None:
+    """A request's number: a decimal comma will do; what is empty or no finite number is none."""
+    try:
+        found = float(str(text).replace(",", "."))
+    except ValueError:
+        return None
+    return found if abs(found) < float("inf") else None
+
+
+def integer(text: str | int | None) -> int | None:
+    """A request's whole number; what is empty or none is none."""
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
 
 
 def page(a: Archive, f: TransactionFilter, limit: int = 200, offset: int = 0) -> DataFrame:

@@ -86,12 +86,36 @@ def after(rows: DataFrame, last: tuple | None, direction: str, limit: int) -> Da
 
 def siblings(a: Archive, doc_id: int, f: DocumentFilter = DocumentFilter(), order_by: str = "doc_date", direction: str = "desc", limit: int = 5000) -> DataFrame:
     """position, total, prev_id (the older), next_id (the newer) of a document in the first rows of a listing."""
-    rows = listing(a, f, order_by=order_by, direction=direction, limit=limit).select("id", DATE().alias("key"), *[c for c in ("category", "sender", "subject", "file_size", "status", "created_at", "doc_date") if c in a.documents.columns])
-    w = W.orderBy(*sort_columns(order_by, direction))  # of `limit` rows
-    placed = rows.select("id", F.row_number().over(w).alias("position"), F.count("*").over(W.partitionBy()).alias("total"), F.lead("id").over(w).alias("prev_id"), F.lag("id").over(w).alias("next_id"))
+    return _among(listing(a, f, order_by=order_by, direction=direction, limit=limit), doc_id, order_by, direction)
+
+
+def _among(rows: DataFrame, doc_id: int, order_by: str, direction: str) -> DataFrame:
+    """A document's place and neighbours among rows, which are few."""
+    kept = [c for c in ("category", "sender", "subject", "file_size", "status", "created_at", "doc_date", "page_count", "confidence") if c in rows.columns]
+    w = W.orderBy(*sort_columns(order_by, direction))
+    placed = rows.select("id", *kept).select("id", F.row_number().over(w).alias("position"), F.count("*").over(W.partitionBy()).alias("total"), F.lead("id").over(w).alias("prev_id"), F.lag("id").over(w).alias("next_id"))
     return placed.where(F.col("id") == doc_id)
 
 
+def page(a: Archive, f: DocumentFilter = DocumentFilter(), order_by: str = "doc_date", direction: str = "desc", limit: int = 500) -> dict[str, DataFrame]:
+    """What the library page shows: the documents of a filter, and years, tree and tags of all."""
+    return {"documents": listing(a, f, order_by=order_by, direction=direction, limit=limit), "years": years(a), "tree": tree(a), "tags": tags(a)}
+
+
+def document_page(a: Archive, doc_id: int, f: DocumentFilter | None = None, order_by: str = "doc_date", direction: str = "desc", limit: int = 5000) -> dict[str, DataFrame]:
+    """What a document's page shows: the document, its neighbours, its receipts and its statements.
+
+    Without a filter the neighbours are those of the document's own category and year; what it lacks doesn't restrict.
+    """
+    own = by_id(a, doc_id).select(F.nullif(F.col("category"), F.lit("")).alias("_category"), F.nullif(F.substring("doc_date", 1, 4), F.lit("")).alias("_year"))
+    if f is None:
+        alike = (F.col("_category").isNull() | (F.col("category") == F.col("_category"))) & (F.col("_year").isNull() | (F.substring("doc_date", 1, 4) == F.col("_year")))
+        rows = library(a).join(F.broadcast(own), alike).drop("_category", "_year").orderBy(*sort_columns(order_by, direction)).limit(limit)  # one row
+    else:
+        rows = listing(a, f, order_by=order_by, direction=direction, limit=limit)
+    return {"document": by_id(a, doc_id), "siblings": _among(rows, doc_id, order_by, direction), "receipts": a.receipts.where(F.col("doc_id") == doc_id), "statements": a.statements.where(F.col("doc_id") == doc_id)}
+
+
 def _cost() -> Column:
     return F.coalesce(F.sum(F.col("cost_usd").cast("decimal(18,6)")), F.lit(0)).cast("double").alias("cost_usd")
 

@@ -88,3 +88,11 @@ def misfiled(a: Archive, promotable: list[str], limit: int = 200, least: int = 2
     rows = rows.withColumn("signals", signal_names(F.col("extracted_text"), with_shops(shops))).withColumn("blockers", F.size(signal_names(F.col("extracted_text"), BLOCKERS)))
     rows = rows.withColumn("signal_count", F.size("signals")).where((F.col("signal_count") >= least) & (F.col("blockers") < most_blockers))
     return rows.orderBy(F.desc("id")).limit(limit).select("id", "category", "subject", "signals", "signal_count")
+
+
+def page(a: Archive, query: str | None = None, shop_type: str | None = None, start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
+    """What the receipts page shows: sums, months and top items of all, receipts and items of a filter."""
+    return {
+        "summary": summary(a), "by_shop_type": by_shop_type(a), "by_item_category": by_item_category(a), "monthly": monthly(a), "receipts": listing(a, shop_type, start, end, 50),
+        "items": search_items(a, query, shop_type=shop_type, start=start, end=end), "top_items": top_items(a, 15),
+    }

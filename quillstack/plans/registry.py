@@ -442,6 +442,35 @@ def _page(a: Archive) -> DataFrame:
     return out
 
 
+def _counted(parts: dict[str, DataFrame], numbers: dict[str, str | None]) -> DataFrame:
+    """A row for each part of a page: how many rows it has and the sum of one of its columns."""
+    out = None
+    for name, c in numbers.items():
+        one = parts[name].agg(F.lit(name).alias("part"), F.count("*").alias("n"), (F.round(F.sum(F.col(c).cast("double")), 2) if c else F.lit(0.0)).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _counted_sql(parts: dict[str, tuple[str, str | None]]) -> str:
+    return " UNION ALL ".join(f"(SELECT '{name}' AS part, count(*) AS n, {f'round(sum(CAST({c} AS DOUBLE)), 2)' if c else '0.0::DOUBLE'} AS total FROM ({body}))" for name, (body, c) in parts.items())
+
+
+_LIBRARY_PAGE = {
+    "documents": (f"SELECT id FROM lib WHERE status = 'filed' ORDER BY {_SORTED} LIMIT 500", "id"), "years": ("SELECT DISTINCT substr(doc_date, 1, 4) AS year FROM lib WHERE doc_date <> ''", "year"),
+    "tree": ("SELECT coalesce(nullif(substr(doc_date, 1, 4), ''), '—') AS year, category, count(*) AS n FROM lib GROUP BY ROLLUP (year, category)", "n"), "tags": ("SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM lib) GROUP BY 1", "count"),
+}
+add("l2_library_page", lambda a: _counted(library.page(a, DocumentFilter(status="filed")), {k: c for k, (_, c) in _LIBRARY_PAGE.items()}), _counted_sql(_LIBRARY_PAGE))
+add("l3_document_page", lambda a: library.document_page(a, 24)["siblings"], f"""
+SELECT id, CAST(position AS INTEGER) AS position, total, prev_id, next_id FROM (SELECT id, row_number() OVER w AS position, count(*) OVER () AS total, lead(id) OVER w AS prev_id, lag(id) OVER w AS next_id
+FROM (SELECT * FROM lib WHERE category = (SELECT category FROM doc WHERE id = 24) AND substr(doc_date, 1, 4) = (SELECT substr(doc_date, 1, 4) FROM doc WHERE id = 24) ORDER BY {_SORTED} LIMIT 5000) WINDOW w AS (ORDER BY {_SORTED})) WHERE id = 24""")
+_RECEIPTS_PAGE = {
+    "summary": ("SELECT count(*) AS receipt_count FROM lrc", "receipt_count"), "by_shop_type": ("SELECT shop_type, sum(total_amount) AS total FROM lrc WHERE shop_type <> '' GROUP BY 1", "total"),
+    "by_item_category": ("SELECT item_category, sum(total_price) AS total FROM lit WHERE item_category <> '' GROUP BY 1", "total"), "monthly": ("SELECT substr(receipt_date, 1, 7) AS month, sum(total_amount) AS total FROM lrc WHERE receipt_date <> '' GROUP BY 1 ORDER BY 1 DESC LIMIT 12", "total"),
+    "receipts": ("SELECT id, total_amount FROM lrc WHERE shop_type = '1-URGENT' AND receipt_date >= '1996-01-01' ORDER BY receipt_date DESC, id DESC LIMIT 50", "total_amount"),
+    "items": (f"SELECT total_price FROM lit WHERE contains({_fold('name')}, 'widget') AND shop_type = '1-URGENT' AND receipt_date >= '1996-01-01' ORDER BY receipt_date DESC, receipt_id DESC, line_no LIMIT 200", "total_price"),
+    "top_items": (f"SELECT count(*) AS times FROM lit WHERE name <> '' GROUP BY {_fold('name')} ORDER BY times DESC, sum(total_price) DESC, {_fold('name')} LIMIT 15", "times"),
+}
+add("l6_receipts_page", lambda a: _counted(receipts.page(a, "Widget", "1-URGENT", "1996-01-01"), {k: c for k, (_, c) in _RECEIPTS_PAGE.items()}), _counted_sql(_RECEIPTS_PAGE))
 add("l5_finance_page", _page)
 ORACLE_SQL["l5_finance_page"] = "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(
     f"SELECT '{name}' AS result, count(*) AS n, {f'round(sum({c}), 2)' if c else '0.0::DOUBLE'} AS total FROM ({ORACLE_SQL['a13_finance_summary' if name == 'summary' else _ON_PAGE[name]]})" for name, c in _NUMBERS.items()

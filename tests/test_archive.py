@@ -322,3 +322,8 @@ def test_upload(spark, tmp_path):
         assert [r.name for r in got if r.stored_as is None] == ["b.exe"]
         held = {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")}
         assert sorted(held.values()) == sorted([b"old", b"1", b"2", b"4" * 1000]) and held["a.pdf"] == b"old" and held["c.TXT"] == b"4" * 1000
+
+
+def test_numbers_of_requests():
+    assert [explorer.number(x) for x in ("1,5", "2.5", "", " ", None, "x", "inf", "nan")] == [1.5, 2.5, None, None, None, None, None, None]
+    assert [explorer.integer(x) for x in ("7", 7, "", None, "x", "1.5")] == [7, 7, None, None, None, None]
