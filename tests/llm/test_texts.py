@@ -576,3 +576,22 @@ def test_empty_tables(awkward, function):
 def test_awkward_rows_are_kept_or_dropped_whole(awkward):
     assert quality.keep_good(awkward).columns == awkward.columns
     assert mixing.mixed(awkward).columns == awkward.columns
+
+
+def test_stages_clear_away_what_is_read_no_more(spark, small):
+    """What a stage put down for itself is deleted when a later stage begins, unless that still reads it."""
+    from pathlib import Path
+
+    from quillstack.llm.common import stored
+
+    corpus_pipeline._left_over.clear()
+    first = corpus_pipeline.quality_rules(spark, small, "")
+    before = list(corpus_pipeline._left_over)
+    assert before and all(Path(p.removeprefix("file:")).exists() for p in before)
+    want = sorted(r.doc_id for r in first.collect())
+    unwritten = corpus_pipeline.line_dedup(spark, first, "")  # handed on as it is: its tables are needed
+    assert all(Path(p.removeprefix("file:")).exists() for p in before if any(p.rsplit("/", 1)[1] in f for f in first.inputFiles()))
+    assert sorted(r.doc_id for r in unwritten.collect()) == want
+    written = stored(unwritten)
+    corpus_pipeline.mixing(spark, written, "").collect()
+    assert not any(Path(p.removeprefix("file:")).exists() for p in before) and Path(written.inputFiles()[0].removeprefix("file://")).exists()
