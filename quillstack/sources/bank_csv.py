@@ -7,7 +7,7 @@ import io
 import re
 from collections.abc import Iterator
 from dataclasses import replace
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,18 +82,17 @@ def _by_block(frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple[t
 
 
 def _header(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the first lines of files: separator, the header's cells and the record that it is, or none."""
-    for frame in frames:
-        for path, lines in zip(frame["path"], frame["lines"]):
-            lines = [bytes(x) for x in lines]
-            sep = separator("\n".join(x.decode("latin-1") for x in lines[:_HEAD]))
-            texts = [x.decode("utf-8-sig" if i == 0 else "utf-8", "replace") + "\n" for i, x in enumerate(lines)]
-            raw = [x.decode("latin-1") + "\n" for x in lines]
-            found = next(((i, r) for i, r in enumerate(csv.reader(texts, delimiter=sep)) if any(x.strip() for x in r)), None)
-            # a name with an umlaut is read in whichever encoding it has
-            other = next((r for r in csv.reader(raw, delimiter=sep) if any(x.strip() for x in r)), [])
-            keys = [key_of(x) or (key_of(other[j]) if j < len(other) else None) for j, x in enumerate(found[1])] if found else []
-            yield pd.DataFrame([[path, sep, keys, found[0] if found else -1]], columns=["path", "sep", "keys", "header"])
+    """Of the first lines of each file, which lie together: separator, the header's cells and the record that it is, or none."""
+    for (path,), rows in _by_block(frames, "path"):
+        lines = list(islice(rows, _HEAD))
+        sep = separator("\n".join(x.decode("latin-1") for x in lines))
+        texts = [x.decode("utf-8-sig" if i == 0 else "utf-8", "replace") + "\n" for i, x in enumerate(lines)]
+        raw = [x.decode("latin-1") + "\n" for x in lines]
+        found = next(((i, r) for i, r in enumerate(csv.reader(texts, delimiter=sep)) if any(x.strip() for x in r)), None)
+        # a name with an umlaut is read in whichever encoding it has
+        other = next((r for r in csv.reader(raw, delimiter=sep) if any(x.strip() for x in r)), [])
+        keys = [key_of(x) or (key_of(other[j]) if j < len(other) else None) for j, x in enumerate(found[1])] if found else []
+        yield pd.DataFrame([[path, sep, keys, found[0] if found else -1]], columns=["path", "sep", "keys", "header"])
 
 
 def _states(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,11 +186,8 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(paths)
     where = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
     lines = text.select(*where, F.col("value").cast("binary").alias("value"))
-    # the first lines of the first block: rows of a block come in the file's order
-    order = F.monotonically_increasing_id()
-    heads = lines.where("block = 0").select("path", order.alias("at"), F.substring("value", 1, 100_000).alias("value"))
-    first = heads.groupBy("path").agg(F.min("at").alias("first"))
-    heads = heads.join(first, "path").where(F.col("at") < F.col("first") + _HEAD).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("lines"))
+    # rows of a block come in the file's order, in one partition
+    heads = lines.where("block = 0").select("path", F.substring("value", 1, 100_000).alias("value"))
     files = heads.mapInPandas(_header, "path string, sep string, keys array<string>, header int")
     folder = scratch(spark)
     files.write.parquet(folder)
