@@ -436,7 +436,7 @@ def _page(a: Archive) -> DataFrame:
     out = None
     for name, rows in finance_page.page(a).items():
         if name in _NUMBERS:
-            total = F.round(F.sum(_NUMBERS[name]), 2) if _NUMBERS[name] else F.lit(0.0)
+            total = F.round(F.sum(F.col(_NUMBERS[name]).cast("decimal(28,6)")), 2).cast("double") if _NUMBERS[name] else F.lit(0.0)
             one = rows.agg(F.lit(name).alias("result"), F.count("*").alias("n"), total.alias("total"))
             out = one if out is None else out.unionByName(one)
     return out
@@ -446,13 +446,13 @@ def _counted(parts: dict[str, DataFrame], numbers: dict[str, str | None]) -> Dat
     """A row for each part of a page: how many rows it has and the sum of one of its columns."""
     out = None
     for name, c in numbers.items():
-        one = parts[name].agg(F.lit(name).alias("part"), F.count("*").alias("n"), (F.round(F.sum(F.col(c).cast("double")), 2) if c else F.lit(0.0)).alias("total"))
+        one = parts[name].agg(F.lit(name).alias("part"), F.count("*").alias("n"), (F.round(F.sum(F.col(c).cast("decimal(28,6)")), 2).cast("double") if c else F.lit(0.0)).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def _counted_sql(parts: dict[str, tuple[str, str | None]]) -> str:
-    return " UNION ALL ".join(f"(SELECT '{name}' AS part, count(*) AS n, {f'round(sum(CAST({c} AS DOUBLE)), 2)' if c else '0.0::DOUBLE'} AS total FROM ({body}))" for name, (body, c) in parts.items())
+    return " UNION ALL ".join(f"(SELECT '{name}' AS part, count(*) AS n, {f'CAST(round(sum(CAST({c} AS DECIMAL(28,6))), 2) AS DOUBLE)' if c else '0.0::DOUBLE'} AS total FROM ({body}))" for name, (body, c) in parts.items())
 
 
 _LIBRARY_PAGE = {
@@ -473,7 +473,7 @@ _RECEIPTS_PAGE = {
 add("l6_receipts_page", lambda a: _counted(receipts.page(a, "Widget", "1-URGENT", "1996-01-01"), {k: c for k, (_, c) in _RECEIPTS_PAGE.items()}), _counted_sql(_RECEIPTS_PAGE))
 add("l5_finance_page", _page)
 ORACLE_SQL["l5_finance_page"] = "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(
-    f"SELECT '{name}' AS result, count(*) AS n, {f'round(sum({c}), 2)' if c else '0.0::DOUBLE'} AS total FROM ({ORACLE_SQL['a13_finance_summary' if name == 'summary' else _ON_PAGE[name]]})" for name, c in _NUMBERS.items()
+    f"SELECT '{name}' AS result, count(*) AS n, {f'CAST(round(sum(CAST({c} AS DECIMAL(28,6))), 2) AS DOUBLE)' if c else '0.0::DOUBLE'} AS total FROM ({ORACLE_SQL['a13_finance_summary' if name == 'summary' else _ON_PAGE[name]]})" for name, c in _NUMBERS.items()
 ) + ")"
 
 # --- changes: what the tables are afterwards
