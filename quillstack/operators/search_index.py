@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,16 @@ from quillstack.sources.versions import Store, Version
 SLOT, LONGEST = 64, 12
 #: Slots that are scored first, for a bar that the rest must reach; slots that are named in a filter and not joined.
 FIRST, NAMED = 16, 1000
-BROADCAST_ROWS = 200_000
 K1, B = 1.2, 0.75
 
-_POSTINGS = "segment int, token string, slot long, n int, max_tf int, min_length int, docs array<struct<id:bigint,tf:int,length:int>>"
+#: Tokens of the documents that a task works on together.
+TOGETHER = 2_000_000
+
+_POSTINGS = "segment int, token string, slot long, n int, max_tf int, min_length int, ids array<bigint>, tfs array<int>, lengths array<int>"
+#: A place: which of the block's ids it is in, the field (4 bits) and the position there (32).
+_PLACES = "segment int, token string, ids array<bigint>, places array<bigint>"
 _PREFIXES = "prefix string, n long"
-_PLACES = "segment int, id long, field string, pos int, token string"
-_DOCS = "segment int, id long, length int, slot long, tokens array<string>"
+_DOCS = "segment int, id long, length int, ends array<int>, body string"
 _GONE = "segment int, id long"
 
 
@@ -52,53 +56,154 @@ def shards_of(term: str, prefix: bool, known: set[str]) -> list[str]:
     return sorted(wanted & known)
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.regexp_extract_all(folded(F.coalesce(F.col(c), F.lit(""))), F.lit(_TOKEN), F.lit(0)).alias("tokens")) for c in FIELDS if c in docs.columns))
-    return docs.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.posexplode("f.tokens").alias("pos", "token"))
-
-
-def _sharded(store: Store, table: str, rows: DataFrame, of: str, order: list[str], name: str) -> dict[str, str]:
-    """Parts `name/shard` of a table. Ranges of shard and order go to files, so a frequent shard is several files."""
-    rows = rows.withColumn("in_shard", shard(F.col(of)))
-    rows = rows.repartitionByRange("in_shard", *order).sortWithinPartitions("in_shard", *order)
-    folder = store.write(table, rows, by=("in_shard",))
-    return {f"{name}/{n.split('=', 1)[1]}": f"{folder}/{n}" for n in store.folders_in(folder)}
-
-
-def _prefix_counts(tokens: DataFrame) -> DataFrame:
-    """(prefix, n): how many of the documents (tokens: their distinct tokens) have a token with each prefix."""
-    each = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(LONGEST))), lambda i: F.substring(t, F.lit(1), i)))))
-    return tokens.where(F.size("tokens") > 0).select(F.explode(each).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
-
-
-def _added(store: Store, docs: DataFrame, number: int) -> tuple[dict[str, dict[str, str | None]], list[int]]:
-    """The parts of a new segment, and its documents and their total length."""
+def _written_blocks(store: Store, blocks: DataFrame, number: int) -> dict[str, str]:
+    """Parts `number/shard` of the postings. Ranges of shard, token and slot go to files, so a frequent shard is several files."""
+    # the folder's name is made after the shuffle, and before the sort, which compares it often
+    ranged = blocks.repartitionByRange(shard(F.col("token")), "token", "slot").withColumn("in_shard", shard(F.col("token"))).sortWithinPartitions("in_shard", "token", "slot")
+    counts = F.size("ids").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length")
+    rows = ranged.select(F.lit(number).alias("segment"), "token", "slot", *counts, "ids", "tfs", "lengths", "places", "in_shard")
+    folder = store.write("postings", rows, by=("in_shard",))
+    return {f"{number}/{n.split('=', 1)[1]}": f"{folder}/{n}" for n in store.folders_in(folder)}
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    """id, length, body and ends of documents: all tokens with a blank between them, field by field, and where each field ends."""
+    fields = F.array(*(F.regexp_extract_all(folded(F.coalesce(F.col(c), F.lit(""))), F.lit(_TOKEN), F.lit(0)) if c in docs.columns else F.array().cast("array<string>") for c in FIELDS))
+    sizes = F.transform("fields", lambda f: F.size(f))
+    counted = docs.select("id", fields.alias("fields")).select("id", sizes.alias("sizes"), F.array_join(F.flatten("fields"), " ").alias("body"))
+    ends = F.array(*(sum((F.get("sizes", F.lit(i)) for i in range(n + 1)), F.lit(0)) for n in range(len(FIELDS))))
+    return counted.select("id", ends.alias("ends"), "body").select("id", F.element_at("ends", -1).alias("length"), "ends", "body")
+
+
+def _pieces(together: int):
+    """Of batches with a length: slices of so many tokens, or of one document."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for b in batches:
+            sums = np.cumsum(b.column("length").to_numpy())
+            at = 0
+            while at < b.num_rows:
+                end = max(int(np.searchsorted(sums, (sums[at - 1] if at else 0) + together, side="right")), at + 1)
+                yield b.slice(at, end - at)
+                at = end
+
+    return run
+
+
+def _blocks(together: int):
+    """Of (slot, id, length, ends, body), slots together: the blocks of their tokens. What is one slot's can come in several."""
+    pieces = _pieces(together)
+
+    def block(slot: int, part):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ids, lengths = part.column("id").to_numpy(), part.column("length").to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        ids, lengths = ids[by_id], lengths[by_id]
+        ends = part.column("ends").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[by_id]
+        tokens = pc.list_flatten(pc.split_pattern(part.column("body").combine_chunks().take(pa.array(by_id)), " ")).dictionary_encode()
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        field = np.zeros(len(doc), np.int32)
+        for f in range(ends.shape[1] - 1):
+            field += pos >= ends[doc, f]
+        pos = pos - np.concatenate([np.zeros((len(ids), 1), ends.dtype), ends[:, :-1]], axis=1)[doc, field]
+        code = tokens.indices.to_numpy()
+        order = np.argsort(code, kind="stable")  # then by id, field and place, as they are
+        code, doc, field, pos = code[order], doc[order], field[order], pos[order]
+        new = np.concatenate([[True], code[1:] != code[:-1]])
+        pair = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))
+        tf, of = np.diff(np.append(pair, len(doc))).astype(np.int32), doc[pair]
+        first, place = np.flatnonzero(new[pair]), np.flatnonzero(new)
+        index = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))  # of a document in its block
+        places = (np.repeat(index, tf) << 36) | (field.astype(np.int64) << 32) | pos
+        lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
+        return pa.RecordBatch.from_arrays([
+            tokens.dictionary.take(pa.array(code[place])), pa.array(np.full(len(first), slot)), lists(first, ids[of]), lists(first, tf), lists(first, lengths[of].astype(np.int32)), lists(place, places),
+        ], names=["token", "slot", "ids", "tfs", "lengths", "places"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in pieces(batches):
+            slots = b.column("slot").to_numpy()
+            starts = np.append(np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])), len(slots))
+            table = pa.Table.from_batches([b])
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                yield block(int(slots[start]), table.slice(start, end - start))
+
+    return run
+
+
+def _prefixed(longest: int, together: int):
+    """Of (length, body): (prefix, n), in how many of the documents of a piece a token has each prefix."""
+    pieces = _pieces(together)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in pieces(batches):
+            tokens = pc.list_flatten(pc.split_pattern(b.column("body"), " ")).dictionary_encode()
+            order = pc.sort_indices(tokens.dictionary)
+            names, rank = tokens.dictionary.take(order), np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            doc = np.repeat(np.arange(b.num_rows), b.column("length").to_numpy())
+            pairs = np.unique(doc * len(names) + rank[tokens.indices.to_numpy()])
+            doc, token = np.divmod(pairs, len(names))
+            sizes = pc.utf8_length(names).to_numpy()
+            for size in range(1, longest + 1):
+                # tokens are in order, so those of a document that have one prefix stand together
+                prefixes = pc.utf8_slice_codeunits(names, 0, size).dictionary_encode()
+                long = sizes[token] >= size
+                which, of = prefixes.indices.to_numpy()[token[long]], doc[long]
+                if not len(which):
+                    break
+                fresh = np.concatenate([[True], (which[1:] != which[:-1]) | (of[1:] != of[:-1])])
+                counts = np.bincount(which[fresh], minlength=len(prefixes.dictionary))
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([prefixes.dictionary.take(pa.array(some)), pa.array(counts[some])], names=["prefix", "n"])
+
+    return run
+
+
+def _written_prefixes(store: Store, docs: DataFrame, sign: int = 1) -> str:
+    """The folder of (prefix, n): in how many of the documents (length, body) a token has each prefix. Sorted, so that files tell what they lack."""
+    rows = docs.where("length > 0").select("length", "body").mapInArrow(_prefixed(LONGEST, TOGETHER), _PREFIXES)
+    counts = rows.groupBy("prefix").agg((F.sum("n") * sign).alias("n"))
+    return store.write("prefixes", counts.repartitionByRange("prefix").sortWithinPartitions("prefix"))
+
+
+def _added(store: Store, bodies: DataFrame, number: int) -> tuple[dict[str, dict[str, str | None]], list[int]]:
+    """The parts of a new segment, and its documents and their total length. bodies: as `_bodies` has them.
+
+    Texts are shuffled once, to their slots, where their blocks are made; blocks are shuffled once, to their folders.
+    """
     name = str(number)
-    places = _sharded(store, "places", _tokens(docs).select(F.lit(number).alias("segment"), "id", "field", "pos", "token"), "token", ["token", "id"], name)
-    written = store.spark.read.schema(_PLACES).parquet(*(f"{store.root}/{f}" for f in places.values())) if places else store.spark.createDataFrame([], _PLACES)
-    counted = written.groupBy("id", "token").agg(F.count("*").cast("int").alias("tf"))
-    each = counted.groupBy("id").agg(F.sum("tf").cast("int").alias("length"), F.collect_list("token").alias("tokens"))
-    each = docs.select("id").distinct().join(each, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-    size = F.floor(F.log2(F.col("length") + 1.0) * 4).cast("long")
-    classes = each.groupBy(size.alias("size")).agg(F.ceil(F.count("*") / F.lit(float(SLOT))).cast("long").alias("parts"))
-    slotted = each.withColumn("size", size).join(F.broadcast(classes), "size")  # sizes are few: four for each doubling
-    slot = F.shiftleft("size", 40).bitwiseOR(F.pmod(F.xxhash64("id"), F.col("parts")))
-    folder = store.write("docs", slotted.select(F.lit(number).alias("segment"), "id", "length", slot.alias("slot"), "tokens").repartitionByRange("id").sortWithinPartitions("id"), ("id",))
+    folder = store.write("docs", bodies.select(F.lit(number).alias("segment"), "id", "length", "ends", "body"))
     held = store.spark.read.schema(_DOCS).parquet(f"{store.root}/{folder}")
-    found = counted.join(held.select("id", "length", "slot"), "id")
-    blocks = found.groupBy("token", "slot").agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("docs"),
-    )
-    postings = _sharded(store, "postings", blocks.select(F.lit(number).alias("segment"), "token", "slot", "n", "max_tf", "min_length", "docs"), "token", ["token", "slot"], name)
-    prefixes = _sharded(store, "prefixes", _prefix_counts(held), "prefix", ["prefix"], name)
     # documents without words have no length, and don't count: so has it the search by texts
-    n, total = held.where("length > 0").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    return {"places": places, "postings": postings, "prefixes": prefixes, "docs": {name: folder}}, [n, total]
+    some = held.where("length > 0").withColumn("size", F.floor(F.log2(F.col("length") + 1.0) * 4).cast("long"))
+    classes = some.groupBy("size").agg(F.ceil(F.count("*") / F.lit(float(SLOT))).cast("long").alias("parts"), F.count("*").alias("docs"), F.sum("length").alias("length")).collect()  # sizes are few: four for each doubling
+    n, total = sum(r.docs for r in classes), sum(r.length for r in classes)
+    parts = {"docs": {name: folder}, "prefixes": {name: _written_prefixes(store, held)}, "postings": {}}
+    if classes:
+        of = F.create_map(*(F.lit(x).cast("long") for r in classes for x in (r["size"], r.parts)))
+        slot = F.shiftleft("size", 40).bitwiseOR(F.pmod(F.xxhash64("id"), F.element_at(of, F.col("size"))))
+        slotted = some.select(slot.alias("slot"), "id", "length", "ends", "body").repartition("slot").sortWithinPartitions("slot")
+        blocks = slotted.mapInArrow(_blocks(TOGETHER), "token string, slot long, ids array<bigint>, tfs array<int>, lengths array<int>, places array<bigint>")
+        parts["postings"] = _written_blocks(store, blocks, number)
+    return parts, [n, total]
 
 
-def _live(store: Store, version: Version) -> DataFrame:
-    docs = store.read(version, "docs", _DOCS)
-    return docs.join(store.read(version, "gone", _GONE), ["segment", "id"], "left_anti")
+def _live(store: Store, version: Version, *columns: str) -> DataFrame:
+    return _without_gone(store, version, store.read(version, "docs", _DOCS).select(*columns))
 
 
 def update_index(store: Store, add: DataFrame | None = None, remove: DataFrame | None = None, version: Version | None = None) -> Version:
@@ -111,15 +216,16 @@ def update_index(store: Store, add: DataFrame | None = None, remove: DataFrame |
     changes: dict[str, dict[str, str | None]] = {}
     n, total = version.notes.get("docs", 0), version.notes.get("length", 0)
     if remove is not None and version.parts.get("docs"):
-        gone = _live(store, version).join(remove.select("id").distinct(), "id", "left_semi")
-        folder = store.write("gone", gone.select("segment", "id", "length", "tokens"))
-        taken = store.spark.read.schema(f"{_GONE}, length int, tokens array<string>").parquet(f"{store.root}/{folder}")
+        gone = _live(store, version, "segment", "id", "length").join(remove.select("id").distinct(), "id", "left_semi")
+        folder = store.write("gone", gone.select("segment", "id", "length"))
+        taken = store.spark.read.schema(f"{_GONE}, length int").parquet(f"{store.root}/{folder}")
         changes["gone"] = {str(number): folder}
-        changes["prefixes"] = _sharded(store, "prefixes", _prefix_counts(taken).withColumn("n", -F.col("n")), "prefix", ["prefix"], f"-{number}")
+        bodies = store.read(version, "docs", _DOCS).join(taken.select("segment", "id"), ["segment", "id"], "left_semi")
+        changes["prefixes"] = {f"-{number}": _written_prefixes(store, bodies, -1)}
         less = taken.where("length > 0").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         n, total = n - less[0], total - less[1]
     if add is not None:
-        parts, more = _added(store, add, number)
+        parts, more = _added(store, _bodies(add), number)
         for t, p in parts.items():
             changes.setdefault(t, {}).update(p)
         n, total = n + more[0], total + more[1]
@@ -130,13 +236,8 @@ def compact(store: Store, version: Version | None = None) -> Version:
     """One segment of all live documents, from the index itself: what is gone takes no more room."""
     version = version or store.current()
     number = int(version.notes["next"])
-    gone = store.read(version, "gone", _GONE)
-    places = store.read(version, "places", _PLACES).join(gone, ["segment", "id"], "left_anti")
-    fields = places.groupBy("id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]), " ").alias("text"))
-    columns = [F.max(F.when(F.col("field") == f, F.col("text"))).alias(f) for f in FIELDS]
-    docs = _live(store, version).select("id").join(fields.groupBy("id").agg(*columns), "id", "left")
-    parts, (n, total) = _added(store, docs, number)
-    old = {t: dict.fromkeys(version.parts.get(t, {}), None) for t in ("places", "postings", "prefixes", "docs", "gone")}
+    parts, (n, total) = _added(store, _live(store, version, "segment", "id", "length", "ends", "body"), number)
+    old = {t: dict.fromkeys(version.parts.get(t, {}), None) for t in ("postings", "prefixes", "docs", "gone")}
     return store.commit(version, {t: {**old[t], **parts.get(t, {})} for t in old}, {"next": number + 1, "docs": n, "length": total})
 
 
@@ -160,8 +261,9 @@ def _phrase(store: Store, version: Version, term: list[str]) -> DataFrame:
     out = None
     for i, t in enumerate(term):
         last = i == len(term) - 1
-        rows = store.read(version, "places", _PLACES, _parts(version, "places", t, last)).where(F.startswith("token", F.lit(t)) if last else F.col("token") == t)
-        step = rows.select("segment", "id", "field", (F.col("pos") - i).alias("pos"))
+        rows = store.read(version, "postings", _PLACES, _parts(version, "postings", t, last)).where(F.startswith("token", F.lit(t)) if last else F.col("token") == t)
+        at = F.transform("places", lambda p: F.struct(F.get("ids", F.shiftright(p, 36).cast("int")).alias("id"), F.shiftright(p, 32).bitwiseAND(F.lit(15)).alias("field"), p.bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")))
+        step = rows.select("segment", F.explode(at).alias("p")).select("segment", "p.id", "p.field", (F.col("p.pos") - i).alias("pos"))
         out = step if out is None else out.join(step, ["segment", "id", "field", "pos"], "left_semi")
     return out.groupBy("segment", "id").agg(F.count("*").cast("int").alias("tf"))
 
@@ -177,10 +279,10 @@ def found(store: Store, query: str, version: Version | None = None) -> DataFrame
     version = version or store.current()
     wanted = terms(query)
     if not wanted:
-        return _live(store, version).select("id")
+        return _live(store, version, "segment", "id").select("id")
     hits = None
     for i, term in enumerate(wanted):
-        rows = _postings(store, version, term[0]).select("segment", F.explode("docs.id").alias("id")) if len(term) == 1 else _phrase(store, version, term).select("segment", "id")
+        rows = _postings(store, version, term[0]).select("segment", F.explode("ids").alias("id")) if len(term) == 1 else _phrase(store, version, term).select("segment", "id")
         rows = rows.distinct().withColumn("term", F.lit(i))
         hits = rows if hits is None else hits.unionByName(rows)
     every = hits.groupBy("segment", "id").agg(F.count("*").alias("terms")).where(F.col("terms") == len(wanted))
@@ -192,9 +294,9 @@ def document_counts(store: Store, version: Version, wanted: list[list[str]]) ->
     rows = None
     for i, term in enumerate(wanted):
         if len(term) == 1 and len(term[0]) <= LONGEST:
-            one = store.read(version, "prefixes", _PREFIXES, _parts(version, "prefixes", term[0], False)).where(F.col("prefix") == term[0])
+            one = store.read(version, "prefixes", _PREFIXES).where(F.col("prefix") == term[0])
         else:
-            hits = _postings(store, version, term[0]).select("segment", F.explode("docs.id").alias("id")).distinct() if len(term) == 1 else _phrase(store, version, term).select("segment", "id")
+            hits = _postings(store, version, term[0]).select("segment", F.explode("ids").alias("id")).distinct() if len(term) == 1 else _phrase(store, version, term).select("segment", "id")
             one = _without_gone(store, version, hits).select(F.lit(1).cast("long").alias("n"))
         one = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("i", F.lit(i))
         rows = one if rows is None else rows.unionByName(one)
@@ -243,7 +345,7 @@ def _scores(store: Store, version: Version, wanted: list[list[str]], idf: list[f
                 blocks = blocks.where(named)
             elif slots is not None:
                 blocks = blocks.join(slots, ["segment", "slot"], "left_semi")
-            rows = blocks.select("segment", F.explode("docs").alias("d")).groupBy("segment", F.col("d.id").alias("id")).agg(F.sum("d.tf").alias("tf"), F.max("d.length").alias("length"))
+            rows = blocks.select("segment", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("d")).groupBy("segment", F.col("d.ids").alias("id")).agg(F.sum("d.tfs").alias("tf"), F.max("d.lengths").alias("length"))
         else:
             rows = _phrase(store, version, term).join(store.read(version, "docs", _DOCS).select("segment", "id", "length"), ["segment", "id"])
         one = rows.select("segment", "id", (_gain(F.col("tf"), F.col("length"), mean) * idf[i]).alias("s"))

@@ -156,6 +156,44 @@ def test_a_changed_index_is_a_rebuilt_one(spark, shelf, tmp_path):
     assert search_index.best(nothing, "the").collect() == [] == search_index.found(nothing, "the").collect()
 
 
+def records_shuffled(spark, act):
+    """Records that the shuffles of what act does have written."""
+    context = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = so_far()
+    act()
+    return sum(n for k, n in so_far().items() if k not in before)
+
+
+def test_an_index_is_built_without_a_shuffled_row_for_each_word(spark, tmp_path):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(200))) for i in range(300)], "id long, extracted_text string")
+    store = versions.Store(spark, f"{tmp_path}/i")
+    assert records_shuffled(spark, lambda: search_index.update_index(store, add=docs)) < 300 * 200 / 4
+    assert records_shuffled(spark, lambda: search_index.compact(store)) < 300 * 200 / 4
+
+
+def test_an_index_of_pieces_is_that_of_whole_batches(spark, tmp_path, monkeypatch):
+    """Blocks that are cut at some hundred tokens say the same, phrases over their places as well."""
+    rng = random.Random(9)
+    rows = [(i, f"f{i % 7}", None if i % 9 == 0 else " ".join(f"w{rng.randrange(30)}" for _ in range(rng.choice([0, 1, 5, 40, 300])))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, sender string, extracted_text string")
+    whole = _indexed(spark, f"{tmp_path}/i", docs)
+    monkeypatch.setattr(search_index, "TOGETHER", 150)
+    pieces = _indexed(spark, f"{tmp_path}/j", docs)
+    got = lambda df: sorted(map(tuple, df.collect()))
+    for q in ("w1", "w1 w2", "w3_w4", "f3_w", "f3"):
+        assert got(search_index.found(pieces, q)) == got(search_index.found(whole, q)), q
+        assert got(search_index.best(pieces, q, 10)) == got(search_index.best(whole, q, 10)), q
+    phrase = {i for i, _, text in rows if "w3 w4" in " ".join(x if x != "w4" and not x.startswith("w4") else "w4" for x in (text or "").split())}
+    assert {i for i, in got(search_index.found(whole, "w3_w4"))} == phrase
+
+
 # --- pages
 
 
