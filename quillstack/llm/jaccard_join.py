@@ -75,7 +75,7 @@ def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _digested(shingle: int):
+def digested(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of (doc_id, th, text): doc_id, th, digest of the set, its size."""
         import xxhash
@@ -300,7 +300,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    rows = stored(map_batches(texts, _digested(shingle), "doc_id long, th long, digest string, size long"))
+    rows = stored(map_batches(texts, digested(shingle), "doc_id long, th long, digest string, size long"))
     nodes = rows.groupBy("digest").agg(F.first("size").alias("size"), F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("of"))
     nodes = stored(nodes.select("digest", "size", "weight", "least", "of.doc_id", "of.th"))
     links = similar_links(texts, nodes, shingle, percent, together)

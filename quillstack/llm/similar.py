@@ -1,39 +1,24 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and the Golay code find pairs, shingles verify them.
+"""Near-duplicates by the Jaccard similarity of word shingles, without a miss: the exact join gives the links.
 
-A text is its set of five-word shingles, hashed to 64 bits. Its sketch has SEGMENTS segments of 23 SimHash bits and 64
-more to compare by. Each segment is decoded to the codewords within four bits, one or six; each two segments of a text,
-with a codeword of each, are a key. So texts meet if two of their segments are within two bits each, and often at three
-or four. What meets is compared by the other 64 bits, and each bucket gives its minimum spanning forest: no more links
-than rows. Every link is then verified by the sets themselves, and components are those of verified links alone.
-
-The nearest link of each text is verified first; of the rest, only links between what those don't connect.
+A text is its set of five-word shingles, hashed to 64 bits. Texts with equal sets are one; of sets, `similar_links` finds
+every pair that shares enough. Of each component of links one row stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm import golay
 from quillstack.llm.common import map_batches, stored
 from quillstack.llm.graph import components
 
 SHINGLE = 5
-#: The least similarity of a link, in tenths.
-TENTHS = 8
-SEGMENTS = 6
-#: Of the 64 bits that are compared in a bucket, how many may differ. Texts of similarity 0.8 differ in 9.7 on average.
-RADIUS = 19
-#: Rows of one key that a task compares; beyond, the key is dealt out in pairs of blocks of half that.
+#: The least similarity of a link.
+PERCENT = 80
+#: Sets, at some 500 elements, that a task compares with each other; more are dealt out in pairs of blocks.
 HOT = 1 << 13
-#: Links of one text that are verified together.
-TOGETHER = 256
 _SLICE = 1 << 15
-_WORDS = 4
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -63,244 +48,28 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """256 SimHash bits of a set in four words: a bit is set if it is set in over half of the hashes."""
-    ones = np.zeros(64 * _WORDS, dtype=np.int64)
-    for at in range(0, len(hashes), _SLICE):
-        part = hashes[at : at + _SLICE]
-        wide = np.stack([_mixed(part, s) for s in range(_WORDS)], axis=1)
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
-
-
-def segment_keys(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys) of sketches, one family of keys for each two segments; the last word isn't used."""
-    rows, near = np.arange(len(words)), []
-    for s in range(SEGMENTS):
-        low = 23 * s
-        v = words[:, low // 64] >> np.uint64(low % 64)
-        if low % 64 > 41:
-            v = v | words[:, low // 64 + 1] << np.uint64(64 - low % 64)
-        near.append(golay.near((v & np.uint64(0x7FFFFF)).astype(np.int64)))
-    family = 0
-    for i in range(SEGMENTS):
-        for j in range(i):
-            (a, va), (b, vb) = near[i], near[j]
-            keys = (family << 24) | (a[:, :, None] << 12) | b[:, None, :]
-            valid = va[:, :, None] & vb[:, None, :]
-            yield np.broadcast_to(rows[:, None, None], keys.shape)[valid], keys[valid]
-            family += 1
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, w0, w1, w2, w3): (key, id, w), w being the word to compare by."""
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            columns = [c.to_numpy(zero_copy_only=False) for c in b.slice(at, 4096).columns]
-            words = np.stack(columns[1:], axis=1).view(np.uint64)
-            for rows, keys in segment_keys(words):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(columns[0][rows]), pa.array(columns[_WORDS][rows])], names=["key", "id", "w"])
-
-
-def _forest(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The minimum spanning forest (a, b, bits) of the links at RADIUS or less, by Prim's algorithm."""
-    left, parent = np.arange(1, len(ids)), np.zeros(len(ids) - 1, dtype=np.int64)
-    bits = np.bitwise_count(words[1:] ^ words[0]).astype(np.int64)
-    found = []
-    while len(left):
-        i = int(bits.argmin())
-        at = int(left[i])
-        if bits[i] <= RADIUS:
-            found.append((ids[parent[i]], ids[at], bits[i]))
-        left[i], parent[i], bits[i] = left[-1], parent[-1], bits[-1]
-        left, parent, bits = left[:-1], parent[:-1], bits[:-1]
-        now = np.bitwise_count(words[left] ^ words[at])
-        closer = now < bits
-        bits[closer], parent[closer] = now[closer], at
-    return np.array(found, dtype=np.int64).reshape(-1, 3)
-
-
-def _links(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Links (a, b, bits), a < b, among the rows of equal keys; keys are sorted. All of them in buckets of under eight rows."""
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    small, found = np.repeat(sizes < 8, sizes), []
-    for d in range(1, 8):
-        at = np.flatnonzero((keys[d:] == keys[:-d]) & small[:-d]) if d < len(keys) else []
-        if not len(at):
-            break
-        bits = np.bitwise_count(words[at] ^ words[at + d]).astype(np.int64)
-        near = bits <= RADIUS
-        found.append(np.stack([ids[at[near]], ids[at[near] + d], bits[near]], axis=1))
-    for s, n in zip(starts[sizes >= 8].tolist(), sizes[sizes >= 8].tolist()):
-        found.append(_forest(ids[s : s + n], words[s : s + n]))
-    if not found:
-        return np.empty((0, 3), dtype=np.int64)
-    links = np.concatenate(found)
-    links[:, :2] = np.sort(links[:, :2], axis=1)
-    return np.unique(links, axis=0)
-
-
-def _scan(hot: int):
-    """Of rows sorted by key: (a, b, bits, null) for a link, (null, null, null, key) for a key with more than `hot` rows."""
-
-    def out(links: np.ndarray, over: list[int]) -> pa.RecordBatch:
-        more = pa.nulls(len(over), pa.int64())
-        columns = [pa.concat_arrays([pa.array(np.ascontiguousarray(links[:, i])), more]) for i in range(3)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(links) + over, pa.int64())], names=["a", "b", "bits", "hot"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64) for _ in range(3)]
-        skip, seen = None, np.empty((0, 3), np.int64)
-
-        def give() -> Iterator[pa.RecordBatch]:
-            nonlocal seen
-            links = _links(held_now[0], held_now[1], held_now[2].view(np.uint64))
-            if len(links):
-                both, at = np.unique(np.concatenate([seen, links]), axis=0, return_index=True)
-                new = both[at >= len(seen)]
-                seen = both if len(both) < 200_000 else links
-                if len(new):
-                    yield out(new, [])
-
-        for b in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if skip is not None:
-                columns = [c[columns[0] != skip] for c in columns]
-            if not len(columns[0]):
-                continue
-            held = [np.concatenate(two) for two in zip(held, columns)]
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                held_now, held = [c[:last] for c in held], [c[last:] for c in held]
-                yield from give()
-            if len(held[0]) > hot:
-                skip = int(held[0][0])
-                yield out(np.empty((0, 3), np.int64), [skip])
-                held = [c[:0] for c in held]
-        if len(held[0]):
-            held_now = held
-            yield from give()
-
-    return run
-
-
-_FOUND = "a long, b long, bits long, hot long"
-
-
-def candidate_links(sketches: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b, bits), distinct: of each bucket of (id, w0, w1, w2, w3), the minimum spanning forest of what is near."""
-    rows = map_batches(sketches, _emit, "key long, id long, w long")
-    found = stored(map_batches(rows.repartition(F.col("key")).sortWithinPartitions("key"), _scan(hot), _FOUND))
-    links, over = found.where("a is not null").select("a", "b", "bits"), found.where("hot is not null").select(F.col("hot").alias("key"))
-    if not over.isEmpty():
-        crowded = stored(rows.join(over, "key"))
-        blocks = crowded.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(float(hot))).cast("int").alias("blocks"))
-        mine = crowded.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "w")
-        again = map_batches(dealt.repartition(F.col("key")).sortWithinPartitions("key"), _scan(1 << 62), _FOUND)
-        links = links.union(again.select("a", "b", "bits"))
-    return links.distinct()
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, set of a, set of b): the links (a, b) whose sets are similar."""
-    for batch in batches:
-        ok = []
-        left, right = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            x, y = (np.asarray(c[i].values) for c in (left, right))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(10 * both >= TENTHS * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-
-def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of links (a, b) whose sets (id, shingles) are similar. An id with many links is dealt out over several tasks."""
-    many = links.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    dealt = links.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    first = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "part")
-    first = first.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    pairs = dealt.join(first, ["a", "part"]).drop("part")
-    # the other way round for b
-    many = links.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    pairs = pairs.join(many, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    second = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", "part")
-    second = second.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    pairs = pairs.join(second, ["b", "part"]).select("a", "b", "of_a", "of_b")
-    return map_batches(pairs, _similar, "a long, b long")
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, th, n, text): doc_id, th, n, the digest of the set, and the sketch."""
-    import xxhash
-
-    names = ["doc_id", "th", "n", "digest", *(f"w{i}" for i in range(_WORDS))]
-    for b in batches:
-        digests, words = [], np.zeros((b.num_rows, _WORDS), dtype=np.uint64)
-        for i, text in enumerate(b.column(3)):
-            found = shingle_set(text.as_py())
-            digests.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
-            words[i] = sketch(found)
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.string()), *(pa.array(w) for w in np.ascontiguousarray(words.view(np.int64).T))], names=names)
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, text): (id, shingles). Rows of one id, which lie together, give one."""
-    before = None
-    for b in batches:
-        for i in range(b.num_rows):
-            if (now := b.column(0)[i].as_py()) != before:
-                found, before = shingle_set(b.column(1)[i].as_py()).astype(np.int64), now
-                shingles = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), shingles], names=["id", "shingles"])
-
-
-_PLACE = ["none", "doc_id", "th", "n"]
-
-
-def _nodes(keyed: DataFrame) -> DataFrame:
-    """The distinct sets of rows (place, doc_id, th, n, text): id, the least place, and the sketch."""
-    rows = map_batches(keyed.select("doc_id", "th", "n", "text"), _sketched, "doc_id long, th long, n long, digest string, " + ", ".join(f"w{i} long" for i in range(_WORDS)))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")
-    found = rows.groupBy("digest").agg(F.min(place).alias("place"), *(F.min(f"w{i}").alias(f"w{i}") for i in range(_WORDS)))
-    return stored(found.drop("digest").withColumn("id", F.monotonically_increasing_id()))
-
-
-def similar_roots(keyed: DataFrame, nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """(node, root) of nodes that verified links connect to a lesser one."""
-    links = stored(candidate_links(nodes.select("id", *(f"w{i}" for i in range(_WORDS))), hot))
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    wanted = nodes.join(ends, "id").select("id", F.col("place").alias("wanted"))
-    texts = keyed.select("place", "text").join(wanted.hint("merge"), F.col("place") == F.col("wanted"))
-    sets = stored(map_batches(texts.select("id", "text"), _sets, "id long, shingles array<long>"))
-    both = links.select(F.col("a").alias("x"), "a", "b", "bits").union(links.select(F.col("b").alias("x"), "a", "b", "bits"))
-    nearest = both.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    known = stored(verified(stored(nearest), sets))
-    root = components(known)
-    apart = links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    rest = apart.join(nearest, ["a", "b"], "left_anti")
-    return components(known.union(verified(stored(rest), sets)))
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """docs with one row of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    The row of the least key stays, nulls last, then of the least hash and length of its text. Links are found by sketch,
-    so pairs near the limit can be missed (the README has the recall); none that is found is below the limit. Texts with
-    equal sets, as those without words, are always linked. Of rows equal in key and text one stays. Null texts are empty.
-    Keys are whole numbers. Columns are left as they are, whatever their names; an empty table gives no rows.
+    The row of the least key stays, nulls last, then of the least hash of its text. All links are found and none is below
+    the limit. Texts with equal sets, as those without words, are always linked. Of rows equal in key and text one stays.
+    Null texts are empty. Keys are whole numbers. Columns are left as they are, whatever their names; an empty table
+    gives no rows.
     """
+    from quillstack.llm.jaccard_join import digested, similar_links  # which takes its sets from here
+
     body = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = docs.select(row, F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), F.octet_length(body).cast("long").alias("n"), body.alias("text"))
-    keyed = keyed.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n"))
-    nodes = _nodes(keyed)
-    roots = similar_roots(keyed, nodes, hot)
-    classed = nodes.join(roots, nodes["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
-    keepers = stored(classed.groupBy("root").agg(F.min("place").alias("kept")).select("kept"))
+    keyed = docs.select(row, F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    texts = keyed.select("doc_id", "th", "text")
+    sets = map_batches(texts, digested(SHINGLE), "doc_id long, th long, digest string, size long")
+    nodes = sets.groupBy("digest").agg(F.first("size").alias("size"), F.count("*").alias("weight"), F.min(place).alias("place"))
+    nodes = stored(nodes.select("digest", "size", "weight", "place.doc_id", "place.th"))
+    links = similar_links(texts, nodes, SHINGLE, PERCENT, hot * 512)
+    roots = components(links.where("b is not null").select("a", "b"))
+    classed = nodes.join(roots, nodes["digest"] == roots["node"], "left").withColumn("root", F.coalesce("root", "digest"))
+    keepers = stored(classed.groupBy("root").agg(F.min(place).alias("kept")).select("kept"))
     # both sides are dealt by place, and so are the rows that repeat
-    found = keyed.select("place", "row").join(keepers.hint("merge"), F.col("place") == F.col("kept"))
+    found = keyed.select(place.alias("place"), "row").join(keepers.hint("merge"), F.col("place") == F.col("kept"))
     return found.dropDuplicates(["place"]).select("row.*")

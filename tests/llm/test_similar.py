@@ -68,6 +68,26 @@ def test_recall_between_six_tenths_and_one(spark):
     assert sum(limit) >= 0.9 * len(limit) and sum(above) >= 0.99 * len(above)
 
 
+def test_no_pair_at_the_limit_is_missed(spark):
+    """Pairs of similarity 0.8 to 0.84, of all sizes, exactly at the limit among them: all of them are linked, and none below."""
+    rng = random.Random(23)
+    rows, pairs = [], []
+    for n in range(400):
+        size = rng.choice([9, 13, 22, 49, 100, 300, 900])
+        base = [f"p{n}_{i}" for i in range(size + 4)]  # of so many shingles
+        cut = size * rng.choice([20, 19, 17, 21]) // 100  # those that lack at an end
+        a, b = " ".join(base), " ".join(base[: len(base) - cut])
+        pairs.append((len(rows), len(rows) + 1, jaccard(plain_set(a), plain_set(b))))
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert sum(j == 0.8 for _, _, j in pairs) > 20 and sum(j < 0.8 for _, _, j in pairs) > 20
+    kept = {r.doc_id for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == plain_kept_pairs(pairs)
+
+
+def plain_kept_pairs(pairs):
+    return {a for a, _, _ in pairs} | {b for _, b, j in pairs if j < 0.8}
+
+
 @pytest.mark.parametrize("hot", [1 << 13, 16])
 def test_groups_of_copies_against_all_pairs(spark, hot):
     """One row of each component stays, in groups up to two hundred, exact copies among them; also with crowded keys."""
