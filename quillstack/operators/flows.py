@@ -83,7 +83,7 @@ def extract_receipts(a: Archive, provider: Provider, ids: DataFrame | None = Non
     """
     rows = library.library(a).where(F.col("category") == RECEIPTS)
     rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
-    rows = rows if again else rows.join(a.receipts.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    rows = rows if again else rows.join(a.receipts.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
     found = replies.receipts(_asked(rows, provider, text, tries).withColumnRenamed("id", "doc_id"))
     known = a.receipts.groupBy("doc_id").agg(F.min("id").alias("_known"))
     good = found.where("parsed").join(known, "doc_id", "left").withColumn("id", F.coalesce("_known", "doc_id"))

@@ -215,7 +215,8 @@ def feed(a: Archive, statuses: list[str] | None = None, limit: int = 20) -> Data
 def without_receipt(a: Archive, categories: list[str]) -> DataFrame:
     """Live documents of some categories without a receipt."""
     rows = library(a).where(F.col("category").isin(categories))
-    return rows.join(a.receipts.select(F.col("doc_id").alias("id")), "id", "left_anti").select("id", "category")
+    # a document may have any number of receipts, and counts once in the join
+    return rows.join(a.receipts.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti").select("id", "category")
 
 
 def to_backfill(a: Archive, with_subcategories: list[str]) -> DataFrame:

@@ -84,7 +84,7 @@ def misfiled(a: Archive, promotable: list[str], limit: int = 200, least: int = 2
     Those that have a receipt already are left out. A name of one of the shops counts as a signal.
     """
     rows = live_documents(a).where(F.col("category").isin(promotable)).where("extracted_text <> ''").orderBy(F.desc("id")).limit(5 * limit)
-    rows = rows.join(a.receipts.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    rows = rows.join(a.receipts.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
     rows = rows.withColumn("signals", signal_names(F.col("extracted_text"), with_shops(shops))).withColumn("blockers", F.size(signal_names(F.col("extracted_text"), BLOCKERS)))
     rows = rows.withColumn("signal_count", F.size("signals")).where((F.col("signal_count") >= least) & (F.col("blockers") < most_blockers))
     return rows.orderBy(F.desc("id")).limit(limit).select("id", "category", "subject", "signals", "signal_count")

@@ -170,6 +170,15 @@ def records_shuffled(spark, act):
     return sum(n for k, n in so_far().items() if k not in before)
 
 
+def test_a_document_with_many_receipts_counts_once_in_the_join(spark, a):  # noqa: F811
+    many = a.receipts.unionByName(spark.range(4000).select((F.col("id") + 1000).alias("id"), F.lit(1).cast("long").alias("doc_id")), True).repartition(4)
+    arch = replace(a, receipts=many)
+    categories = [r.category for r in library.library(a).select("category").distinct().collect()]
+    got = []
+    assert records_shuffled(spark, lambda: got.extend(r.id for r in library.without_receipt(arch, categories).hint("merge").collect())) < 4000 + 1000
+    assert sorted(got) == sorted({r.id for r in library.library(a).collect()} - {r.doc_id for r in many.collect()})
+
+
 def test_an_index_is_built_without_a_shuffled_row_for_each_word(spark, tmp_path):
     rng = random.Random(8)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(200))) for i in range(300)], "id long, extracted_text string")
