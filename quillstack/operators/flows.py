@@ -49,9 +49,11 @@ def retry_review(a: Archive, provider: Provider, tree: dict[str, list[str]], ids
     rows = writes.in_review(a.documents)
     rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
     found = replies.classifications(_asked(rows, provider, text, tries), tree, min_confidence=min_confidence, other=OTHER_CATEGORY)
-    results = found.where("route <> 'failed'").select("id", "category", "subcategory", "tags", "confidence", F.col("route").alias("status"))
-    failed = found.where("route = 'failed'").select("id", F.lit("failed").alias("status"))
-    return replace(a, documents=writes.merge(writes.merge(a.documents, results.select(*[c for c in results.columns if c in a.documents.columns]), "id"), failed, "id"))
+    results = found.select("id", "category", "subcategory", "tags", "confidence", F.col("route").alias("status"))
+    results = results.select(*[c for c in results.columns if c in a.documents.columns])
+    # one merge, as replies would be asked for again in each; where there is no reply all but the status stays
+    kept = {c: F.when(F.col("new_status") == "failed", F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")) for c in results.columns if c not in ("id", "status")}
+    return replace(a, documents=writes.merge(a.documents, results, "id", kept))
 
 
 def backfill(a: Archive, provider: Provider, tree: dict[str, list[str]], cost_per_call: float = 0.0, text: str = "extracted_text", tries: int = 3) -> tuple[Archive, DataFrame]:

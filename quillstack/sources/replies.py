@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,9 +18,9 @@ RECEIPT = f"shop_name string, shop_type string, payment_method string, total_amo
 CLASSIFICATION = "category string, subcategory string, tags array<string>, date string, sender string, subject string, confidence string, reasoning string"
 
 
-@F.pandas_udf(StringType())
-def _first_object(replies: pd.Series) -> pd.Series:
-    return replies.map(lambda text: None if text is None else json_objects.first_object(text))
+@F.udf(StringType(), useArrow=False)  # row by row: a worker holds some replies, and needs neither pandas nor Arrow
+def _first_object(text: str | None) -> str | None:
+    return None if text is None else json_objects.first_object(text)
 
 
 def first_object(reply: Column) -> Column:
@@ -94,8 +93,14 @@ def ask(documents: DataFrame, provider, prompt: str = "prompt", tries: int = 1,
                     time.sleep(wait * 2**n)
         return ""
 
-    def run(frames):
-        for f in frames:
-            yield f.assign(reply=[answer(p) for p in f[prompt]])
+    def run(batches):
+        import pyarrow as pa
 
-    return documents.mapInPandas(run, schema)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                columns = dict(zip(part.schema.names, part.columns))
+                columns["reply"] = pa.array([answer(p) for p in columns[prompt].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return documents.mapInArrow(run, schema)

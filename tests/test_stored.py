@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_archive import a, frame, ids  # noqa: F401  (a: the archive of rows by hand)
 
-from quillstack.operators import explorer, finance, finance_page, library, search, search_index, writes
+from quillstack.operators import explorer, finance, finance_page, flows, library, search, search_index, writes
 from quillstack.operators.explorer import TransactionFilter
 from quillstack.plans.archive import stand_ins
 from quillstack.sources import bank_csv, json_objects, versions
@@ -283,6 +283,23 @@ def test_first_object_is_the_first_brace_at_which_one_begins():
     assert json_objects.first_object('{"a": NaN} {"a": 1, "a": 2} {"c": 3}') == '{"c": 3}'
 
 
+def test_a_retry_asks_once_for_each_document(spark, a):  # noqa: F811
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        asked.add(1)
+        return "" if prompt.startswith("1") else '{"category": "src1", "confidence": 0.9}'
+
+    documents = a.documents.withColumn("filename", F.col("id").cast("string")).withColumn("status", F.lit("review")).withColumn("deleted_at", F.lit(None).cast("string"))
+    after = flows.retry_review(replace(a, documents=documents), model, {"src1": []}, text="filename").documents
+    assert "ArrowEvalPython" not in plan_of(after) and "MapInPandas" not in plan_of(after)
+    got, before = {r.id: r for r in after.collect()}, {r.id: r for r in documents.collect()}
+    assert asked.value == len(got) == len(before)
+    for i, r in got.items():
+        failed = str(i).startswith("1")
+        assert (r.status, r.category) == (("failed", before[i].category) if failed else ("filed", "src1"))
+
+
 # --- bank files in blocks
 
 
