@@ -237,8 +237,10 @@ def parse(rows: DataFrame) -> DataFrame:
 def with_transfers(bookings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Bookings whose other side is an account of our own become transfers."""
     own = accounts.select(F.col("iban_hash").alias("_own")).where("_own IS NOT NULL").distinct()
-    joined = bookings.join(own, iban_hash(F.col("counterparty_iban")) == F.col("_own"), "left")
-    return joined.withColumn("category", F.when(F.col("_own").isNotNull(), "uebertrag").otherwise(F.col("category"))).drop("_own")
+    # bookings without another side match nothing, and are dealt out by what they are, not to one task
+    keyed = bookings.withColumn("_other", F.coalesce(iban_hash(F.col("counterparty_iban")), F.concat(F.lit("-"), F.xxhash64(*bookings.columns).cast("string"))))
+    joined = keyed.join(own, F.col("_other") == F.col("_own"), "left")
+    return joined.withColumn("category", F.when(F.col("_own").isNotNull(), "uebertrag").otherwise(F.col("category"))).drop("_own", "_other")
 
 
 def report(bookings: DataFrame, known: DataFrame) -> DataFrame:

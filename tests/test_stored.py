@@ -170,6 +170,21 @@ def records_shuffled(spark, act):
     return sum(n for k, n in so_far().items() if k not in before)
 
 
+def test_bookings_without_another_side_are_dealt_out(spark):
+    rows = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 100 == 0, "DE1").when(F.col("id") % 2 == 0, "").alias("counterparty_iban"), F.lit("x").alias("category"))
+    own = spark.createDataFrame([("DE1",), (None,)], "iban string").select(F.sha2("iban", 256).alias("iban_hash"))
+    found = bank_csv.with_transfers(rows, own.hint("merge"))
+    assert {r.id for r in found.where("category = 'uebertrag'").collect()} == set(range(0, 4000, 100)) and found.count() == 4000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        counts = bank_csv.with_transfers(rows, own).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count("*").alias("n"), F.max("category")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.columns == rows.columns and max(r.n for r in counts) < 1000
+
+
 def test_a_document_with_many_receipts_counts_once_in_the_join(spark, a):  # noqa: F811
     many = a.receipts.unionByName(spark.range(4000).select((F.col("id") + 1000).alias("id"), F.lit(1).cast("long").alias("doc_id")), True).repartition(4)
     arch = replace(a, receipts=many)
