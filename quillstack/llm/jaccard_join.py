@@ -1,11 +1,17 @@
-"""The Jaccard join of word shingles, exact, by PartEnum signatures.
+"""The Jaccard join of word shingles, exact, by PartEnum signatures or by rare elements.
 
-Sets are put into bands of size. Two similar sets of a band differ in few elements at most (k, from the band's largest
+By signatures: sets are put into bands of size. Two similar sets of a band differ in few elements at most (k, from the band's largest
 size). The elements are partitioned twice: into so many parts that one of them holds at most one difference, and each
 part into three. Leaving out each of the three in turn, the rest of one choice has no difference at all. So a set's
 signatures are, for each part and each of its three choices, the hash of the elements that lie there, and similar sets
 share one (Arasu, Ganti and Kaushik, 2006). A set near the upper end of its band has signatures in the next band too.
 
+By rare elements, for lower limits, where a signature holds so few elements that unlike sets share it: of n elements a
+similar set lacks n - o at most (o, the least that they share), so the n - o + c least hashes of both hold c elements in
+common at least. Of these, elements that stand in no other set go. A set that keeps fewer than c has no similar one; from
+the others those c - 1 that most sets have can go too, and similar sets still share one (prefix filter, Chaudhuri, Ganti
+and Kaushik, 2006). Sets that have one in common are tied to the next in size, if sizes allow.
+
 Equal sets are one. Rows of a signature are combined in each task, so that a frequent one sends a row for each task;
 then its sets are tied to one of them, not to each other. Sets that are tied together are compared with each other, all
 that sizes allow, in one task, or where they are many in tasks for each two blocks of them. So all links are found and
@@ -14,11 +20,13 @@ counted, and what tasks give is a forest of links and a number for each set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import documents, map_batches, stored
@@ -32,8 +40,12 @@ BAND = 1.4
 TOGETHER = 4_000_000
 #: Rows of one set that may meet in a task, and rows of a table that is broadcast.
 CROWD, BROADCAST_ROWS = 100_000, 200_000
+#: Texts whose shuffle is spared where no more than so many hashes of those that are needed are broadcast.
+BROADCAST_HASHES = 3_000_000
 #: Signatures that a task combines before it sends them.
 _HELD = 1 << 20
+#: Sets that have an element are counted up to here.
+OFTEN = 1_000
 
 
 def band_of(size: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -167,6 +179,71 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, i])) for i in (0, 1)], names=["a", "b"])
 
 
+def least_shared(size: int, percent: int) -> int:
+    """How many of its elements a set shares with a similar one, at least; and the least size of a similar set."""
+    return (size * percent + 99) // 100
+
+
+def common(size: int, percent: int) -> int:
+    """How many elements, of those that are sent, similar sets of this size have in common at least; rises with the size."""
+    return min(least_shared(size, percent), size // 8 + 1)
+
+
+def _sent(shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of texts: (element, node), the least hashes of each set that the task has not just seen."""
+        import xxhash
+
+        elements: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held, seen = 0, set()
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (elements, nodes)], names=["element", "node"])
+        for b in batches:
+            for text in b.column(0):
+                found = shingle_set(text.as_py(), shingle)
+                digest = xxhash.xxh3_128_hexdigest(found.tobytes())
+                if not len(found) or digest in seen:
+                    continue
+                seen.add(digest)
+                size = len(found)
+                mine = found[: size - least_shared(size, percent) + common(size, percent)].view(np.int64)
+                elements.append(mine)
+                nodes.append(np.full(len(mine), _short(digest), dtype=np.int64))
+                held += len(mine)
+                if held >= _HELD:
+                    yield give()
+                    elements, nodes, held, seen = [], [], 0, set()
+        if held:
+            yield give()
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (element, node) sorted by both: (node, element, often) of elements that several nodes have, and how many those are."""
+    e, n, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for b in chain(batches, [None]):
+        if b is not None:
+            e, n = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in ((0, e), (1, n)))
+        if not len(e):
+            continue
+        new = np.concatenate([[True], (e[1:] != e[:-1]) | (n[1:] != n[:-1])])
+        e, n = e[new], n[new]
+        first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        sizes = np.diff(np.append(first, len(e)))
+        often = np.minimum(sizes, OFTEN)
+        if e[0] == hot:
+            often[0] = OFTEN  # its first rows have gone out
+        # the last element waits for its other rows, unless it is known to be frequent
+        hot = e[-1] if often[-1] == OFTEN else None
+        end = len(e) if b is None or hot is not None else int(first[-1])
+        often = np.repeat(often, sizes)[:end]
+        ok = often > 1
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array(n[:end][ok]), pa.array(e[:end][ok]), pa.array(often[ok].astype(np.int32))], names=["node", "element", "often"])
+        e, n = e[end:], n[end:]
+
+
 def similar_pairs(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
     """(i, places): the places after i, in order of size, of sets similar to the i-th; sets are given by size, rising.
 
@@ -267,20 +344,41 @@ def _id_of(digest: str) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, together: int = TOGETHER) -> DataFrame:
+def by_signatures(texts: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b), ties that connect all sets with a signature in common."""
+    rows = map_batches(texts.select("text"), _tied(shingle, percent), "key long, a long, b long")
+    return map_batches(rows.repartition(F.col("key")).sortWithinPartitions("key"), _ties, "a long, b long")
+
+
+def by_rare_elements(texts: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b), ties that connect all similar sets: those with a rare element in common and sizes near enough."""
+    rows = map_batches(texts.select("text"), _sent(shingle, percent), "element long, node long")
+    shared = map_batches(rows.repartition(F.col("element")).sortWithinPartitions("element", "node"), _shared, "node long, element long, often int")
+    held = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("often", "element"))).alias("found"))
+    least = f"((size * {percent} + 99) div 100)"  # common(least_shared(size))
+    sizes = nodes.where("size > 0").select(_id_of("digest").alias("node"), "size", F.expr(f"least(({least} * {percent} + 99) div 100, {least} div 8 + 1)").alias("common"))
+    rare = held.join(sizes, "node").where("size(found) >= common").select("node", "size", F.expr("explode(slice(found, 1, cast(size(found) - common + 1 AS int)))").alias("f"))
+    last = F.lag(F.struct("size", "node")).over(W.partitionBy("f.element").orderBy("size", "node"))
+    near = rare.select("node", "size", last.alias("last")).where(F.col("last.size") * 100 >= F.col("size") * percent)
+    return near.where("last.node <> node").select(F.least("last.node", "node").alias("a"), F.greatest("last.node", "node").alias("b")).distinct()
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, together: int = TOGETHER, tying: Callable = by_signatures) -> DataFrame:
     """(a, b, null) and (a, null, links): a forest of the links between sets, and how many rows of other sets each is linked with.
 
     texts (doc_id, th, text) has all texts; nodes the distinct sets: digest, size, weight (rows), and doc_id and th of a
-    text that has the set.
+    text that has the set. tying gives the ties that connect similar sets.
     """
-    rows = map_batches(texts.select("text"), _tied(shingle, percent), "key long, a long, b long")
-    ties = stored(map_batches(rows.repartition(F.col("key")).sortWithinPartitions("key"), _ties, "a long, b long"))
+    ties = stored(tying(texts, nodes, shingle, percent))
     roots = stored(components(ties))
     tied = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct())
     members = stored(nodes.where("size > 0").withColumn("node", _id_of("digest")).join(tied, "node").select("root", "digest", "size", "weight", F.col("doc_id").alias("of_id"), F.col("th").alias("of_th")))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("size") * 2 / F.lit(float(together))).cast("int").alias("blocks")).where("blocks > 1")
     members = members.join(_bounded(blocks), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    hashes = members.select(F.col("of_th").alias("th")).distinct()
+    if hashes.count() <= BROADCAST_HASHES:  # else the texts are dealt out once
+        texts = texts.join(F.broadcast(hashes), "th", "left_semi")
     found = texts.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
     sets = map_batches(found.select("root", "blocks", "mine", "digest", "weight", "text"), _sets(shingle), "root long, blocks int, mine int, digest string, weight long, shingles array<long>")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

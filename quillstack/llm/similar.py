@@ -56,7 +56,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: i
     Null texts are empty. Keys are whole numbers. Columns are left as they are, whatever their names; an empty table
     gives no rows.
     """
-    from quillstack.llm.jaccard_join import digested, similar_links  # which takes its sets from here
+    from quillstack.llm.jaccard_join import by_rare_elements, digested, similar_links  # which takes its sets from here
 
     body = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
@@ -66,7 +66,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: i
     sets = map_batches(texts, digested(SHINGLE), "doc_id long, th long, digest string, size long")
     nodes = sets.groupBy("digest").agg(F.first("size").alias("size"), F.count("*").alias("weight"), F.min(place).alias("place"))
     nodes = stored(nodes.select("digest", "size", "weight", "place.doc_id", "place.th"))
-    links = similar_links(texts, nodes, SHINGLE, PERCENT, hot * 512)
+    links = similar_links(texts, nodes, SHINGLE, PERCENT, hot * 512, by_rare_elements)
     roots = components(links.where("b is not null").select("a", "b"))
     classed = nodes.join(roots, nodes["digest"] == roots["node"], "left").withColumn("root", F.coalesce("root", "digest"))
     keepers = stored(classed.groupBy("root").agg(F.min(place).alias("kept")).select("kept"))

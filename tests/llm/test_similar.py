@@ -1,13 +1,15 @@
 """Near-duplicates by verified shingle similarity, against brute force over all pairs."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_pairs_and_counts import AWKWARD, SCHEMA
 
-from quillstack.llm import similar
+from quillstack.llm import jaccard_join, similar
 
 
 def plain_set(text):
@@ -123,3 +125,41 @@ def test_one_of_each_of_awkward_rows(spark):
     want = {min((k is None, k or 0) for k in keys) for keys in texts.values()}
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(want)
     assert similar.one_of_each(awkward.limit(0)).collect() == []
+
+
+def test_unlike_texts_are_not_tied(spark, monkeypatch):
+    """Texts without a shingle in common are not brought together to be compared, however alike in size."""
+    rng = random.Random(24)
+    rows = [(n, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 64)))) for n in range(600)]
+    ties, components = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: ties.append(edges.count()) or components(edges))
+    assert similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 600
+    assert ties == [0]
+
+
+@pytest.mark.parametrize("often", [1000, 3])
+@pytest.mark.parametrize("rows", [1, 2, 7, 1000])
+def test_elements_of_several_nodes_are_counted_over_batches(monkeypatch, often, rows):
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
+    pairs = sorted([(e, n) for e in range(40) for n in range(e % 6)] + [(e, 0) for e in range(0, 40, 3)])
+    batches = [pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs[at : at + rows]], pa.int64()) for i in (0, 1)], names=["element", "node"]) for at in range(0, len(pairs), rows)]
+    got = {(r["element"], r["node"], r["often"]) for b in jaccard_join._shared(iter(batches)) for r in b.to_pylist()}
+    counts = Counter(e for e, _ in set(pairs))
+    assert got == {(e, n, min(counts[e], often)) for e, n in pairs if counts[e] > 1}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_have_enough_of_what_is_sent_in_common(percent):
+    rng = np.random.default_rng(percent)
+    near = 0
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 200)), dtype=np.uint64))
+        keep, extra = int(rng.integers(max(1, len(a) * percent // 100 - 1), len(a) + 1)), int(rng.integers(0, len(a) // 6 + 2))
+        b = np.unique(np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**63, extra, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            near += 1
+            least = [jaccard_join.least_shared(len(x), percent) for x in (a, b)]
+            sent = [x[: len(x) - o + jaccard_join.common(len(x), percent)] for x, o in zip((a, b), least)]
+            assert len(np.intersect1d(*sent)) >= max(jaccard_join.common(o, percent) for o in least) >= 1
+    assert near > 100
