@@ -157,7 +157,7 @@ def placed(rows: DataFrame, key: str, block: Column, order: list[Column]) -> Dat
     """
     rows = rows.withColumn("_block", block)
     sizes = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy(F.col("_block").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), before.alias("_before"))
     inside = F.row_number().over(W.partitionBy(key, "_block").orderBy(*order))
     joined = rows.withColumn("_inside", inside).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")))
@@ -169,27 +169,40 @@ def tags(a: Archive, trash: bool = False) -> DataFrame:
     return library(a, trash).select(F.explode("tags").alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
 
 
-def duplicate_groups(a: Archive, most: int = 1000) -> DataFrame:
-    """content_hash, n and the ids, oldest first, of live documents with equal content: the first `most` ids of a group, beside its whole count.
+def _by_age(block: Column | None = None) -> list[Column]:
+    """How documents follow each other, the oldest first, or their blocks do; nulls come last."""
+    keys = [F.col("created_at"), F.col("id")] if block is None else [block]
+    return [c for key in keys for c in (key.isNull(), key)]
 
-    Places are numbered by the day, so no task and no row holds a group beyond `most`; duplicate_members has all of them.
+
+def duplicate_groups(a: Archive) -> DataFrame:
+    """content_hash, n and all the ids, oldest first, of live documents with equal content.
+
+    Tasks order the ids of a day, and the days' lists are strung together: a group's row, however long, is all that one
+    task holds of it. duplicate_members has a row a document.
     """
-    first = duplicate_members(a).where(F.col("place") <= most)
-    listed = first.groupBy("content_hash", "n").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("docs"))
-    return listed.select("content_hash", "n", F.transform("docs", lambda d: d["id"]).alias("ids"))
+    rows, day = _duplicates(a), F.substring("created_at", 1, 10)
+    days = rows.groupBy("content_hash", "n", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct(*_by_age()))).alias("docs"))
+    ids = F.transform("docs", lambda d: d["id"]).alias("ids")
+    listed = days.groupBy("content_hash", "n").agg(F.sort_array(F.collect_list(F.struct(*_by_age(F.col("day")), ids))).alias("days"))
+    return listed.select("content_hash", "n", F.flatten(F.transform("days", lambda d: d["ids"])).alias("ids"))
 
 
-def duplicate_members(a: Archive) -> DataFrame:
-    """The same a row a document: content_hash, id, place (1: the one to keep), numbered by the day."""
+def _duplicates(a: Archive) -> DataFrame:
+    """Live documents with content that another has: content_hash, n (how many have it), id, created_at."""
     rows = library(a).where("content_hash <> ''")
     many = rows.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
-    found = rows.join(many, "content_hash").select("content_hash", "n", "id", "created_at")
-    return placed(found, "content_hash", F.substring("created_at", 1, 10), [F.col("created_at"), F.col("id")]).select("content_hash", "n", "id", "place")
+    return rows.join(many, "content_hash").select("content_hash", "n", "id", "created_at")
+
+
+def duplicate_members(a: Archive) -> DataFrame:
+    """The same a row a document: content_hash, id, place (1: the one to keep), numbered by the day."""
+    return placed(_duplicates(a), "content_hash", F.substring("created_at", 1, 10), _by_age()).select("content_hash", "n", "id", "place")
 
 
 def duplicate_waste(a: Archive) -> DataFrame:
     """One row: groups, extras and the bytes that the extras waste, by the size of each group's first."""
-    first = library(a).where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("n"), F.min_by("file_size", F.struct("created_at", "id")).alias("size")).where("n > 1")
+    first = library(a).where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("n"), F.min_by("file_size", F.struct(*_by_age())).alias("size")).where("n > 1")
     return first.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("extras"), F.coalesce(F.sum(F.col("size") * (F.col("n") - 1)), F.lit(0)).cast("long").alias("wasted_bytes"))
 
 

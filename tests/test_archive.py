@@ -106,6 +106,21 @@ def test_library(a):
     assert tree[("—", None, 1)] == 1 and tree[(None, None, 3)] == 3
 
 
+def test_duplicate_groups_list_all_ids(spark, a):
+    """Lists of more than a thousand ids, over many days and within one; nulls come last, as in the SQL."""
+    rows = [(i, f"h{i % 2}", f"2024-01-{1 + i * 7 % 28:02d}T10:00:{i % 60:02d}" if i % 2 else f"2024-01-01T{i % 24:02d}:00:00") for i in range(3000)]
+    rows += [(3001, "h0", None), (3000, "h0", None), (None, "h0", None), (None, "h1", "2024-01-01T00:00:00"), (3002, "h2", None), (3003, None, None), (3004, "", None), (3005, "", None)]
+    documents = spark.createDataFrame(rows, "id long, content_hash string, created_at string")
+    documents = documents.select("*", F.lit("Bank").alias("category"), F.lit(None).cast("string").alias("deleted_at"), F.when(F.col("id").isNull(), 7).otherwise(F.col("id")).alias("file_size"))
+    found = replace(a, documents=documents)
+    last = lambda x: (x is None, x or 0)
+    want = {h: [i for i, g, _ in sorted(rows, key=lambda r: (r[2] is None, r[2] or "", *last(r[0]))) if g == h] for h in ("h0", "h1")}
+    assert {r.content_hash: (r.n, r.ids) for r in library.duplicate_groups(found).collect()} == {h: (len(w), w) for h, w in want.items()}
+    assert sorted((r.content_hash, r.n, r.place, *last(r.id)) for r in library.duplicate_members(found).collect()) == [(h, len(w), k + 1, *last(i)) for h, w in want.items() for k, i in enumerate(w)]
+    (waste,) = library.duplicate_waste(found).collect()
+    assert waste.wasted_bytes == sum((7 if w[0] is None else w[0]) * (len(w) - 1) for w in want.values())
+
+
 def test_search(a):
     assert ids(search.match(a, "muller")) == ids(search.match(a, "Müller")) == [1]
     assert ids(search.match(a, "rechn")) == [5]  # not inside Stromrechnung
